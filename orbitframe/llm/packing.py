@@ -200,6 +200,5 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    # offsets has at most size * SALTS rows
-    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
     return ranked.drop("salt", "before", "nth").mapInArrow(place(slots), f"{PIECES}, sequence_id long, offset long")

@@ -31,6 +31,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbitframe.llm.mixing import mix_sources
 
