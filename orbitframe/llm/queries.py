@@ -43,6 +43,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.embeddings import link_embeddings
+
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbitframe.llm.packing import pack
 
