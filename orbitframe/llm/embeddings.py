@@ -35,7 +35,8 @@ class Config:
     cosine: float = 0.93
     shard_rows: int = 16384
     block_rows: int = 2048
-    beam: int = 48
+    beam: int = 32
+    margin: float = 0.03
     audit_rows: int = 48
     audit_recall: float = 0.98
 
@@ -58,7 +59,7 @@ def build_shard(table: pa.Table) -> pa.Table:
 
 def search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of verified links, with beams as wide as the audit asks for."""
-    q, least, beam = unit(queries), config.cosine - SLACK, config.beam
+    q, least, beam, margin = unit(queries), config.cosine - SLACK, config.beam, config.margin
     norms, qnorms = np.linalg.norm(vectors.astype(np.float64), axis=1), np.linalg.norm(queries.astype(np.float64), axis=1)
 
     def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +73,14 @@ def search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, config: Confi
     truth = [set(np.flatnonzero(graph.vectors @ q[i] >= least).tolist()) for i in sample]
     wanted = sum(map(len, truth))
     while True:
-        a, b, _ = graph.within(q, least, beam)
+        a, b, _ = graph.within(q, least, beam, margin)
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
         lo, hi = np.searchsorted(a, sample), np.searchsorted(a, sample, "right")
         found = sum(len(t & set(b[x:y].tolist())) for t, x, y in zip(truth, lo, hi, strict=True))
         if found >= config.audit_recall * wanted or beam >= 2 * len(vectors):
             return verified(a, b)
-        beam *= 2
+        beam, margin = 2 * beam, 2 * margin
 
 
 def query_shards(config: Config):

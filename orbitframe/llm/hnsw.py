@@ -21,7 +21,7 @@ class Graph:
         rng = np.random.default_rng(11)
         self.level = np.minimum((-np.log(rng.random(n) + 1e-12) / np.log(LINKS)).astype(np.int64), 6)
         self.links: list[np.ndarray] = []
-        self.members: list[int] = [0]
+        self.orphans = np.zeros(0, np.int64)
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> Graph:
@@ -36,15 +36,25 @@ class Graph:
             new = np.arange(at, min(n, at + min(BATCH, at)))
             g._insert(new)
             at = int(new[-1]) + 1
+        # Nodes that few others point to and that even a search for themselves misses are kept aside, for direct comparison.
+        rare = np.flatnonzero(np.bincount(g.links[0][g.links[0] >= 0], minlength=n) <= 3)
+        missed = [rare[~(g.beam(vectors[rare], g._enter(vectors[rare]), BUILD_BEAM, 0)[0] == rare[:, None]).any(1)] for rare in np.array_split(rare, max(1, len(rare) // BATCH))]
+        g.orphans = np.concatenate(missed)
         return g
 
+    def _enter(self, q: np.ndarray) -> np.ndarray:
+        start = np.zeros((len(q), 1), np.int64)
+        for lv in range(len(self.links) - 1, 0, -1):
+            start = self.beam(q, start, 8, lv)[0]
+        return start
+
     def dumps(self) -> bytes:
-        return pickle.dumps((self.vectors, self.level, self.links), 5)
+        return pickle.dumps((self.vectors, self.level, self.links, self.orphans), 5)
 
     @classmethod
     def loads(cls, raw: bytes) -> Graph:
         g = cls.__new__(cls)
-        g.vectors, g.level, g.links = pickle.loads(raw)
+        g.vectors, g.level, g.links, g.orphans = pickle.loads(raw)
         return g
 
     def _spread(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -158,25 +168,40 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node, similarity) of nodes found at ``least`` or more. A beam that such nodes fill by half is widened."""
+    def within(self, q: np.ndarray, least: float, ef: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, similarity) of nodes found at ``least`` or more.
+
+        From a query's beam on, every node within ``margin`` below ``least`` is expanded, so that a query with
+        thousands of links costs as much as it has links, whatever the beam holds.
+        """
         out = []
-        n = len(self.vectors)
-        open_ = np.arange(len(q))
-        while len(open_):
-            wide = []
-            per = max(1, min(256, (64 << 20) // max(1, n + 16 * ef)))
-            for lo in range(0, len(open_), per):
-                rows = open_[lo : lo + per]
-                start = np.zeros((len(rows), 1), np.int64)
-                for lv in range(len(self.links) - 1, 0, -1):
-                    start = self.beam(q[rows], start, 8, lv)[0]
-                ids, sims = self.beam(q[rows], start, min(ef, n), 0)
-                hit = sims >= least
-                full = (hit.sum(1) * 2 > ef) & (ef < n)
-                wide.append(rows[full])
-                r, c = np.nonzero(hit & ~full[:, None])
-                out.append((rows[r], ids[r, c], sims[r, c]))
-            open_ = np.concatenate(wide)
-            ef *= 4
+        n, links = len(self.vectors), self.links[0]
+        per = max(1, min(BATCH, (64 << 20) // max(1, n)))
+        for lo in range(0, len(q), per):
+            part = q[lo : lo + per]
+            ids, sims = self.beam(part, self._enter(part), min(ef, n), 0)
+            r, c = np.nonzero(ids >= 0)
+            row, node, sim = r, ids[r, c], sims[r, c]
+            seen = np.zeros((len(part), n), bool)
+            seen[row, node] = True
+            while len(row):
+                near = sim >= least - margin
+                row, node, sim = row[near], node[near], sim[near]
+                hit = (sim >= least) & ~np.isin(node, self.orphans)
+                out.append((row[hit] + lo, node[hit], sim[hit]))
+                found = []
+                for k in range(0, len(row), 1 << 13):
+                    a, b = np.repeat(row[k : k + (1 << 13)], links.shape[1]), links[node[k : k + (1 << 13)]].ravel().astype(np.int64)
+                    new = b >= 0
+                    a, b = a[new], b[new]
+                    new = ~seen[a, b]
+                    key = np.unique(a[new] * n + b[new])
+                    a, b = key // n, key % n
+                    seen[a, b] = True
+                    found.append((a, b, np.einsum("ad,ad->a", self.vectors[b], part[a])))
+                row, node, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (row[:0], node[:0], sim[:0])
+        for lo in range(0, len(q), BATCH):
+            sims = q[lo : lo + BATCH] @ self.vectors[self.orphans].T
+            r, c = np.nonzero(sims >= least)
+            out.append((r + lo, self.orphans[c], sims[r, c]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
