@@ -49,6 +49,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.substring import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbitframe.llm.embeddings import link_embeddings
 
