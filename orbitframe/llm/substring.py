@@ -39,6 +39,7 @@ from orbitframe.llm import textarrow as ta
 from orbitframe.llm.settings import free_shuffles, remove, scratch, shuffle_partitions, written
 
 WIDTH, GRAM = 20, 6
+NO_ID = -(1 << 63)
 ANCHOR, RUN, CANDIDATE = 0, 1, 2  # kinds of rows on the way to and from a bucket
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("known", "u1")])
 WINDOW = np.dtype([("hash", "<u8"), ("hash2", "<u8"), ("doc", "<u2"), ("start", "<u4")])
@@ -313,7 +314,8 @@ def kept_words(width: int, with_text: bool):
 def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Whole corpus in ``batches`` ranges of doc_id through one index; then repeats are verified and removed."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    # A null doc_id stands first; with no nulls, both joins below read one and the same shuffle of the texts.
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     at = scratch(spark, "substring")
     index = FingerprintIndex(spark, at, 4 * shuffle_partitions(spark), width, gram)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or [] if batches > 1 else []
@@ -324,7 +326,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False,
         if lo is not None:
             batch = batch.filter(F.col("doc_id") > lo)
         if hi is not None:
-            batch = batch.filter((F.col("doc_id") <= hi) | F.col("doc_id").isNull() & F.lit(lo is None))
+            batch = batch.filter(F.col("doc_id") <= hi)
         got = index.add(batch)
         found = got if found is None else found.unionByName(got)
     for run in index.runs:
@@ -335,4 +337,4 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False,
     windows = dealt.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(window_messages(index.buckets, width, gram), MOVED)
     repeats = windows.groupBy("bucket").applyInArrow(repeats_of_bucket, MOVED).filter("kind >= 0").groupBy("doc_id").agg(F.collect_list("body").alias("starts"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return dealt.join(repeats.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(kept_words(width, with_text), schema)
+    return dealt.join(repeats.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(kept_words(width, with_text), schema).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
