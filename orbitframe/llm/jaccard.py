@@ -348,7 +348,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each group the row with the smallest doc_id stays, once."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    mine = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), mine, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without near duplicates: of each group the row with the smallest doc_id stays, once.
+
+    Rows with one doc_id are one document. Rows without a doc_id stay, once per text.
+    """
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
