@@ -209,7 +209,7 @@ def reference_pixel(spark, sf_dir):
 @query("""WITH m AS (SELECT o_orderpriority AS pixel, date_trunc('month', o_orderdate)::DATE AS date, round(avg(o_totalprice) / 1000, 6) AS v FROM orders GROUP BY 1, 2),
 e AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS epoch FROM (SELECT DISTINCT date FROM m)),
 f AS (SELECT pixel FROM m GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM e))
-SELECT pixel, epoch, round(v - first_value(v) OVER (PARTITION BY pixel ORDER BY epoch), 4) AS disp FROM m JOIN e USING (date) WHERE pixel IN (SELECT pixel FROM f)""")
+SELECT pixel, epoch, round(v - first_value(v) OVER (PARTITION BY pixel ORDER BY epoch), 6) AS disp FROM m JOIN e USING (date) WHERE pixel IN (SELECT pixel FROM f)""")
 def sbas_noise_free(spark, sf_dir):
     m = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("pixel"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).agg(F.round(F.avg("o_totalprice") / 1000, 6).alias("v"))
     e = select.epochs(m.select("date"))
@@ -222,7 +222,7 @@ def sbas_noise_free(spark, sf_dir):
     b = series.select("pixel", F.col("epoch").alias("sec_epoch"), F.col("v").alias("vb"))
     obs = pairs.join(a, "ref_epoch").join(b, ["pixel", "sec_epoch"]).select("pixel", "ref_epoch", "sec_epoch", (F.col("vb") - F.col("va")).alias("disp"), (0.45 + 0.5 * F.pmod(F.xxhash64("ref_epoch", "sec_epoch"), F.lit(1000)) / 1000).alias("coh"))
     out = sbas.invert(obs, n, InversionConfig())
-    return out.select("pixel", "epoch", (F.round("disp", 4) + F.lit(0.0)).alias("disp"))
+    return out.select("pixel", "epoch", (F.round("disp", 6) + F.lit(0.0)).alias("disp"))
 
 
 @query("""WITH d AS (SELECT user_id, ts >= TIMESTAMP '2024-01-16' AS post, CASE WHEN value > 0 THEN 10 * log10(value) END AS db FROM events)
@@ -322,11 +322,11 @@ def coverage_report(spark, sf_dir):
     return coverage.coverage_report(o, "place", "track", "o_orderdate", "o_orderkey", F.lit("2001-08-01").cast("timestamp_ntz"))
 
 
-SLOTS = "slots AS (SELECT event_type, ts::DATE AS day, hour(ts) // 2 AS slot, round(avg(value), 9) AS v FROM events GROUP BY 1, 2, 3)"
+SLOTS = "slots AS (SELECT event_type, ts::DATE AS day, hour(ts) // 2 AS slot, avg(value) AS v FROM events GROUP BY 1, 2, 3)"
 
 
 def two_hour_slots(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 2).alias("slot")).agg(F.round(F.avg("value"), 9).alias("v"))
+    return t(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 2).alias("slot")).agg(F.avg("value").alias("v"))
 
 
 TRAIL = f"""{SLOTS}, q AS (SELECT *, quantile_cont(v, [0.25, 0.5, 0.75]) OVER w AS q, count(v) OVER w AS n_prior FROM slots
@@ -339,9 +339,9 @@ def trailing(spark, sf_dir):
     return detectors.trailing_quartiles(s, ["event_type", "slot"], "at", "v", TrailingConfig())
 
 
-@query(f"WITH {TRAIL} SELECT event_type, day, slot, v, n_prior, round(lower, 10) AS lower, round(upper, 10) AS upper, exceeds FROM flags")
+@query(f"WITH {TRAIL} SELECT event_type, day, slot, round(v, 9) AS v, n_prior, round(lower, 10) AS lower, round(upper, 10) AS upper, exceeds FROM flags")
 def trailing_quartile(spark, sf_dir):
-    return trailing(spark, sf_dir).select("event_type", "day", "slot", "v", "n_prior", F.round("lower", 10).alias("lower"), F.round("upper", 10).alias("upper"), "exceeds")
+    return trailing(spark, sf_dir).select("event_type", "day", "slot", F.round("v", 9).alias("v"), "n_prior", F.round("lower", 10).alias("lower"), F.round("upper", 10).alias("upper"), "exceeds")
 
 
 KP = "kp AS (SELECT ts::DATE AS day, max(value % 9) AS level FROM events WHERE event_type = 'click' GROUP BY 1)"
