@@ -13,7 +13,8 @@ merged into one and the old ones deleted.
 
 Verification. Candidates' windows (only those under shared anchors) get 128-bit hashes, two independent ones
 of 64 bits over the window's words, and are compared on all 128 bits together with their order in the corpus;
-all but the first of each are repeats.
+all but the first of each are repeats. Windows go to buckets by their anchor, so that neighbours stay together
+and a bucket says in one row what it found of a stretch of a document.
 
 Hot keys. A task sends each anchor, and each window, once per slice of text, with the first place it has; the
 others of the slice are settled on the spot. So a passage that a third of all documents hold reaches its bucket
@@ -242,7 +243,7 @@ def window_messages(buckets: int, width: int, gram: int):
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
                     wanted = np.concatenate([np.frombuffer(b.as_buffer(), ta.U64) for b in batch.column(2)[lo + row[s]].values])
                     keep[s:e] = np.isin(key[s:e], wanted)
-                start, row = start[keep], row[keep]
+                start, row, key = start[keep], row[keep], key[keep]
                 if not len(start):
                     continue
                 body = np.empty(len(start), WINDOW)
@@ -250,11 +251,11 @@ def window_messages(buckets: int, width: int, gram: int):
                 body["start"] = start - words.rows[row]
                 doc = ids[lo:hi][row]
                 order = np.lexsort((body["start"], doc, body["hash2"], body["hash"]))
-                body, row, doc = body[order], row[order], doc[order]
+                body, row, doc, key = body[order], row[order], doc[order], key[order]
                 body["doc"] = row
                 head = np.ones(len(body), bool)
                 head[1:] = (body["hash"][1:] != body["hash"][:-1]) | (body["hash2"][1:] != body["hash2"][:-1])
-                rows = packed_rows(ANCHOR, (body["hash"][head] % ta.U64(buckets)).astype(np.int64), body[head], ids[lo:hi])
+                rows = packed_rows(ANCHOR, (ta.mix(key[head]) % ta.U64(buckets)).astype(np.int64), body[head], ids[lo:hi])
                 rows += per_document(CANDIDATE, int(ids[lo]) % buckets, doc[~head], body["start"][~head])
                 yield moved(rows)
 
