@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The rules, in order.
+# The rules, in order; what exempts a heading; the length of a snippet.
 RULES = (
     (r"\w — \w|\w—\w", "em-dash in prose (use comma, colon, or split the sentence)"),
     (r"\w &mdash; \w|\w&mdash;\w|&mdash; \w|\w &mdash;", "em-dash entity in prose (use comma, colon, or split the sentence)"),
