@@ -8,10 +8,13 @@ here is by a sketch of shingle frequencies of fixed size, rarest first, so text
 1. One pass gives each row's set size and key, and the frequency sketch.
 2. Prefix shingles go, packed, to buckets; equal sets of a slice are sent once. A bucket sorts them into inverted
    lists. A list of two gives its pair; a longer one gives its neighbours by size, and is written down.
-3. Each set is searched against the neighbour it meets most often. Links give components.
-4. Of the longer lists only pairs that lie in different components, and that sizes and positions still allow,
-   are searched. So groups of thousands of near copies cost about one search a member, and no link is lost
-   that could join two components.
+3. Pairs are held against profiles: how many of a set's shingles fall to each of CELLS hash cells. The sum of the
+   smaller counts bounds the overlap from above, so what it rules out is no link. Of the pairs left, each set is
+   searched against the neighbour it meets most often. Links give components.
+4. Of the longer lists only pairs that lie in different components, and that sizes, positions and profiles still
+   allow, are searched: in rounds of a few pairs a member while these join components, then all that are left.
+   So groups of thousands of near copies cost a few searches a member, and no link is lost that could join two
+   components. Lists are compared in blocks of BLOCK members.
 5. A search takes a query set and its candidates: the lists of the query's shingles over the candidates are
    divided into the longest L, which are only probed, and the rest, which are merged; candidates whose merged
    count stays under T - L are dropped, the others are probed and kept if they reach T.
@@ -23,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +36,15 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm import textarrow as ta
 from orbitframe.llm.components import connected_components
-from orbitframe.llm.settings import free_shuffles, scratch, shuffle_partitions, written
+from orbitframe.llm.settings import free_shuffles, remove, scratch, shuffle_partitions, written
 
 WORDS, PERCENT = 5, 75
-TOKEN_BITS, SKETCH_BITS, BLOCK_BITS = 52, 18, 12
+TOKEN_BITS, SKETCH_BITS, BLOCK_BITS = 52, 20, 14
 MASK = ta.U64((1 << TOKEN_BITS) - 1)
 FAR = 0xFFFF
+BLOCK = 4096  # members of a list that a task compares at a time
+CELLS_LOG2 = 7
+CELLS = 1 << CELLS_LOG2
 
 
 def slices(off: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -74,8 +81,17 @@ def set_keys(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ta.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(ta.U64)).view(np.int64)
 
 
+def profiles(rows: np.ndarray, tokens: np.ndarray, n: int) -> list[bytes | None]:
+    """One byte per cell; none for a set so large that a count doesn't fit, which is then never ruled out."""
+    cell = (tokens >> ta.U64(TOKEN_BITS - CELLS_LOG2)).astype(np.int64)
+    counts = np.bincount(rows * CELLS + cell, minlength=n * CELLS).reshape(n, CELLS)
+    fits = (counts.max(axis=1) < 256).tolist()
+    packed = counts.astype(np.uint8)
+    return [p.tobytes() if ok else None for p, ok in zip(packed, fits, strict=True)]
+
+
 def measured(k: int):
-    """kind 0: a row's id, set size and key; kind 1: a block of this task's shingle frequencies."""
+    """kind 0: a row's id, set size, key and profile; kind 1: a block of this task's shingle frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -83,11 +99,11 @@ def measured(k: int):
         for batch in batches:
             data, off = ta.utf8(batch.column(1))
             for lo, hi in slices(off):
-                _, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
+                row, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 sketch += np.bincount((tokens & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), pa.array(np.diff(first)), pa.array(set_keys(tokens, first)), pa.nulls(m, pa.binary())], names)
-        blocks = [b.tobytes() for b in sketch.reshape(-1, 1 << BLOCK_BITS)] if sketch.any() else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), pa.array(np.diff(first)), pa.array(set_keys(tokens, first)), pa.array(profiles(row, tokens, m), pa.binary())], names)
+        blocks = [zlib.compress(b.astype("<i8").tobytes(), 1) for b in sketch.reshape(-1, 1 << BLOCK_BITS)] if sketch.any() else []
         m = len(blocks)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.arange(m)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(blocks, pa.binary())], names)
 
@@ -95,7 +111,9 @@ def measured(k: int):
 
 
 def sum_blocks(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(b, np.int64) for b in table["counts"].to_pylist()], axis=0)
+    total = np.zeros(1 << BLOCK_BITS, np.int64)
+    for b in table["counts"].to_pylist():
+        total += np.frombuffer(zlib.decompress(b), np.int64)
     return pa.table({"id": pa.array([table["id"][0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -103,7 +121,7 @@ def at_least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def postings(classes: np.ndarray, buckets: int, k: int, percent: int):
+def postings(ranks: np.ndarray, buckets: int, k: int, percent: int):
     """One row per slice and bucket: the prefix shingles that fall to it, packed."""
     layout = np.dtype([("token", "<u8"), ("set", "<u2"), ("rest", "<u2")])
 
@@ -118,8 +136,8 @@ def postings(classes: np.ndarray, buckets: int, k: int, percent: int):
                 keys = set_keys(tokens, first)
                 one = np.zeros(len(n), bool)
                 one[np.unique(keys, return_index=True)[1]] = True
-                cls = classes[(tokens & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(ta.U64)
-                order = np.argsort((rows.astype(ta.U64) << ta.U64(TOKEN_BITS)) | (cls << ta.U64(46)) | (tokens >> ta.U64(6)), kind="stable")
+                rank = ranks[(tokens & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(ta.U64)
+                order = np.argsort((rows.astype(ta.U64) << ta.U64(TOKEN_BITS)) | (rank << ta.U64(32)) | (tokens >> ta.U64(20)), kind="stable")
                 length = np.where(one & (n > 0), n - at_least(n, percent) + 1, 0)
                 row = np.repeat(np.arange(len(n)), length)
                 pos = ta.ranges(length)
@@ -168,7 +186,7 @@ def inverted_lists(layout: np.dtype, percent: int):
         length = np.repeat(count, count)
         i = np.flatnonzero(token[1:] == token[:-1]) if len(token) else np.zeros(0, np.int64)
         can = possible(size[i], size[i + 1], rest[i], rest[i + 1], percent)
-        i = i[can | (length[i] > 2)]
+        i = i[can]
         pairs = np.stack([(length[i] > 2).astype(np.int64), key[i], key[i + 1]], 1)
         pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
         # Longer lists with the same members are one list; each member keeps the most it has left in any of them.
@@ -178,6 +196,8 @@ def inverted_lists(layout: np.dtype, percent: int):
         names, which = np.unique(ta.mix(same), return_inverse=True)
         at = np.repeat(first[long_], count[long_]) + ta.ranges(count[long_])
         lid = np.repeat(which, count[long_])
+        some = with_partner(first, count, size, rest, percent)[at]
+        at, lid = at[some], lid[some]
         by = np.lexsort((-rest[at], key[at], lid))
         at, lid = at[by], lid[by]
         top = np.ones(len(at), bool)
@@ -197,6 +217,28 @@ def inverted_lists(layout: np.dtype, percent: int):
     return run
 
 
+def with_partner(first: np.ndarray, count: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries have another one in their list, sorted by size, that sizes and positions allow."""
+    out = np.zeros(len(size), bool)
+    end = np.repeat(first + count, count)
+    at = np.arange(len(size))
+    step = 1
+    while len(at):  # neighbours ever farther apart, as far as lists and sizes reach
+        at = at[at + step < end[at]]
+        at = at[size[at] * 100 >= size[at + step] * percent]
+        ok = at[possible(size[at], size[at + step], rest[at], rest[at + step], percent)]
+        out[ok] = out[ok + step] = True
+        step += 1
+        if step > 64:  # what is left of longer lists is kept
+            out[at] = out[np.minimum(at + step, end[at] - 1)] = True
+            tail = np.zeros(len(size) + 1, np.int64)
+            np.add.at(tail, at, 1)
+            np.add.at(tail, end[at], -1)
+            out |= np.cumsum(tail)[:-1] > 0
+            break
+    return out
+
+
 def needed(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     """T: shingles that sets of sizes m and n must share."""
     return -(-(m + n) * percent // (100 + percent))
@@ -209,20 +251,35 @@ def possible(m: np.ndarray, n: np.ndarray, rest_m: np.ndarray, rest_n: np.ndarra
     return sizes & (left >= needed(m, n, percent))
 
 
-def pairs_across(percent: int):
-    """Pairs of a list's members in different components that sizes and positions allow; blocks of it at a time."""
+def pairs_across(percent: int, most: int | None):
+    """Pairs of a list's members in different components that sizes, positions and profiles allow.
+
+    ``most``: per member only so many, those with the most to spare; None: all. A group is one block of a list,
+    or two, of which only pairs between them count.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        key, size, rest, comp = (table[c].to_numpy() for c in ("key", "size", "rest", "comp"))
+        key, size, rest, comp, block = (table[c].to_numpy() for c in ("key", "size", "rest", "comp", "block"))
         order = np.lexsort((key, size))
-        key, size, rest, comp = key[order], size[order], rest[order], comp[order]
-        a, b = [], []
+        key, size, rest, comp, block = key[order], size[order], rest[order], comp[order], block[order]
+        two = len(block) > 0 and bool((block != block[0]).any())
+        blobs = table["profile"].to_pylist()
+        known = np.array([blobs[i] is not None for i in order.tolist()])
+        profile = np.frombuffer(b"".join(blobs[i] or bytes(CELLS) for i in order.tolist()), np.uint8).reshape(-1, CELLS)
+        a, b = [key[:0]], [key[:0]]
         for i in range(len(key)):
-            end = np.searchsorted(size, size[i] * 100 // percent, "right")
-            j = np.arange(i + 1, end)
-            ok = (comp[j] != comp[i]) & possible(size[i], size[j], rest[i], rest[j], percent) if len(j) else np.zeros(0, bool)
-            a.append(np.full(int(ok.sum()), key[i]))
-            b.append(key[j[ok]])
+            j = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
+            j = j[(comp[j] != comp[i]) & possible(size[i], size[j], rest[i], rest[j], percent)]
+            if two:
+                j = j[block[j] != block[i]]
+            if len(j):
+                bound = np.where(known[i] & known[j], np.minimum(profile[i], profile[j]).sum(axis=1, dtype=np.int64), size[i])
+                spare = bound - needed(size[i], size[j], percent)
+                j, spare = j[spare >= 0], spare[spare >= 0]
+                if most and len(j) > most:
+                    j = j[np.argpartition(-spare, most - 1)[:most]]
+                a.append(np.full(len(j), key[i]))
+                b.append(key[j])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -283,14 +340,36 @@ def searched(percent: int, block: int = 512):
     return run
 
 
+def not_ruled_out(percent: int):
+    """Rows (a, b, ..., na, nb, pa, pb) whose profiles leave a link possible, without those four columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(batch.num_columns - i).to_numpy() for i in (4, 3))
+            x, y = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            ok = np.minimum(m, n) * 100 >= np.maximum(m, n) * percent
+            both = np.flatnonzero(ok & x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False))
+            for lo in range(0, len(both), 1 << 14):
+                i = both[lo : lo + (1 << 14)]
+                at = pa.array(i)
+                u, v = (np.frombuffer(b"".join(c.take(at).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (x, y))
+                ok[i] = np.minimum(u, v).sum(axis=1, dtype=np.int64) >= needed(m[i], n[i], percent)
+            yield batch.select(list(range(batch.num_columns - 4))).filter(pa.array(ok))
+
+    return run
+
+
 def tokens_of(k: int):
+    """Sets of the rows whose text has the key that is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = ta.utf8(batch.column(1))
             for lo, hi in slices(off):
                 _, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                blobs = [tokens[x:y].tobytes() for x, y in zip(first.tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["key", "tokens"])
+                right = np.flatnonzero(set_keys(tokens, first) == batch.column(0).slice(lo, hi - lo).to_numpy())
+                blobs = [tokens[first[i] : first[i + 1]].tobytes() for i in right.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right + lo)), pa.array(blobs, pa.binary())], ["key", "tokens"])
 
     return run
 
@@ -302,43 +381,80 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     first = written(docs.mapInArrow(measured(words), "kind int, id long, n long, key long, counts binary"), f"{at}/measured")
     rows = first.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "key")
-    blocks = first.filter("kind = 1").groupBy("id").applyInArrow(sum_blocks, "id long, counts binary").collect()  # 2**18 counts in all
+    blocks = first.filter("kind = 1").groupBy("id").applyInArrow(sum_blocks, "id long, counts binary").collect()  # 2**20 counts in all
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(blocks, key=lambda r: r["id"])]) if blocks else np.zeros(1 << SKETCH_BITS, np.int64)
-    classes = np.minimum(np.floor(2 * np.log2(counts + 1)), 63).astype(np.uint8)
-    run, layout = postings(classes, shuffle_partitions(spark), words, percent)
+    ranks = np.unique(counts, return_inverse=True)[1].astype(np.uint32)  # whatever the counts, a rank has 20 bits
+    run, layout = postings(ranks, shuffle_partitions(spark), words, percent)
     packed = docs.select("text").mapInArrow(run, "bucket long, entries binary, keys binary, sizes binary")
     lists = written(packed.groupBy("bucket").applyInArrow(inverted_lists(layout, percent), LISTS), f"{at}/lists")
+    sets_seen = first.filter("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("profile"))
+    reps = written(sets_seen, f"{at}/reps")
     free_shuffles(spark)
 
-    reps = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    met = lists.filter("kind < 2").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"))
-    wanted = met.select(F.explode(F.array("a", "b")).alias("key")).unionByName(lists.filter("kind = 2").select(F.col("b").alias("key"))).distinct()
-    ids = written(reps.join(wanted, "key"), f"{at}/wanted")
-    texts = docs.join(ids.select(F.col("rep").alias("doc_id"), "key"), "doc_id").dropDuplicates(["key"]).select("key", "text")
-    sets = written(texts.mapInArrow(tokens_of(words), "key long, tokens binary"), f"{at}/sets")
-    free_shuffles(spark)
+    def pruned(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs(a, b, ...) without those that profiles rule out."""
+        cols = pairs.columns
+        b = pairs.join(reps.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")), "b")
+        both = b.join(reps.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
+        out = written(both.select(*cols, "na", "nb", "pa", "pb").mapInArrow(not_ruled_out(percent), schema), f"{at}/{name}")
+        free_shuffles(spark)
+        return out
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        b = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+    def token_sets(pairs: DataFrame, name: str) -> DataFrame:
+        """(key, tokens) of all sets in pairs: one pass over the texts of their documents."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        ids = written(reps.join(wanted, "key").select(F.col("rep").alias("doc_id"), "key"), f"{at}/{name}-ids")
+        out = written(docs.join(ids, "doc_id").select("key", "text").mapInArrow(tokens_of(words), "key long, tokens binary"), f"{at}/{name}")
+        free_shuffles(spark)
+        return out
+
+    def linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        b = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
         both = b.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
         out = written(both.select("a", "b", "ta", "tb").mapInArrow(searched(percent), "src long, dst long"), f"{at}/{name}")
         free_shuffles(spark)
         return out
 
+    met = pruned(lists.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.sum("times").alias("times")), "met")
+    members = lists.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("key"), "size", "rest")
     best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-    links = linked(best, "links1")
-    parts = written(connected_components(links), f"{at}/parts")
+    n_members, parts, sets, links = members.count(), None, None, None
 
     def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
+        if parts is None:
+            return df.withColumn(out, F.col(key))
         return df.join(parts.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
 
-    twos = labelled(labelled(met.filter("kind = 0").select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    members = labelled(lists.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("key"), "size", "rest"), "key", "comp")
-    mixed = members.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
-    across = members.join(mixed, "list").groupBy("list").applyInArrow(pairs_across(percent), "a long, b long")
-    more = twos.unionByName(across).distinct().join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(linked(more, "links2"))
+    # Rounds of a few pairs a member join what they can; when they find little more, all pairs still open are searched.
+    k, last = 0, False
+    while True:
+        tagged = labelled(members, "key", "comp")
+        mixed = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / float(BLOCK)).alias("blocks")).filter("lo < hi").select("list", "blocks")
+        tagged = tagged.join(mixed, "list").join(reps.select("key", "profile"), "key").withColumn("block", F.pmod(F.xxhash64("key", F.lit(k)), F.col("blocks")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)) if last else F.col("block")
+        dealt = tagged.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+        open_ = dealt.groupBy("list", "x", "y").applyInArrow(pairs_across(percent, None if last else 2), "a long, b long")
+        if k == 0:
+            open_ = open_.unionByName(met.filter("kind = 0").select("a", "b")).unionByName(best)
+        open_ = written(open_.distinct(), f"{at}/open-{k}")
+        free_shuffles(spark)
+        lacking = open_.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+        if sets is not None:
+            lacking = lacking.join(sets.select(F.col("key").alias("a")), "a", "left_anti")
+        if sets is None or lacking.limit(1).count():
+            more = token_sets(lacking.withColumn("b", F.col("a")), f"sets-{k}")
+            sets = more if sets is None else sets.unionByName(more)
+        new = linked(open_, sets, f"links-{k}")
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        if last:
+            break
+        parts = written(connected_components(links), f"{at}/parts-{k}")
+        last, k = found * 100 <= n_members or k > 0 and not found, k + 1
     final = connected_components(links)
+    for name in ["lists", "met", *(f"{n}-{i}" for n in ("parts", "open", "links", "sets") for i in range(k + 1)), *(f"sets-{i}-ids" for i in range(k + 1))]:
+        remove(spark, f"{at}/{name}")
 
     nodes = reps.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
     smallest = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
