@@ -10,14 +10,16 @@ here is by a sketch of shingle frequencies of fixed size, rarest first, so text
    lists. A list of two gives its pair; a longer one gives its neighbours by size, and is written down.
 3. Pairs are held against profiles: how many of a set's shingles fall to each of CELLS hash cells. The sum of the
    smaller counts bounds the overlap from above, so what it rules out is no link. Of the pairs left, each set is
-   searched against the neighbour it meets most often. Links give components.
+   searched against the neighbour it meets most often. Links give components. Large sets fill CELLS cells too
+   evenly; they have a second profile whose cells grow with the set, held against each pair before its search.
 4. Of the longer lists only pairs that lie in different components, and that sizes, positions and profiles still
    allow, are searched: in rounds of a few pairs a member while these join components, then all that are left.
    So groups of thousands of near copies cost a few searches a member, and no link is lost that could join two
    components. Lists are compared in blocks of BLOCK members.
 5. A search takes a query set and its candidates: the lists of the query's shingles over the candidates are
    divided into the longest L, which are only probed, and the rest, which are merged; candidates whose merged
-   count stays under T - L are dropped, the others are probed and kept if they reach T.
+   count stays under T - L are dropped, the others are probed and kept if they reach T. Only texts of sets that
+   are searched travel: a bitmap of fixed size tells most others apart where they are read, a join the rest.
 
 Defined cases: null text and text without words have an empty set, linked with nothing; fewer words than the
 shingle length make one shingle of all; repeated rows have equal sets; an empty table gives an empty result;
@@ -45,6 +47,7 @@ FAR = 0xFFFF
 BLOCK = 4096  # members of a list that a task compares at a time
 CELLS_LOG2 = 7
 CELLS = 1 << CELLS_LOG2
+SIEVE_LOG2, SIEVE_PART = 23, 1 << 15  # bits of a sieve (1 MB), and of each of the bitmaps it is gathered in
 
 
 def slices(off: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -90,22 +93,43 @@ def profiles(rows: np.ndarray, tokens: np.ndarray, n: int) -> list[bytes | None]
     return [p.tobytes() if ok else None for p, ok in zip(packed, fits, strict=True)]
 
 
+def fine_profiles(tokens: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """For sets of more than 2 CELLS: four bits per cell, one or two tokens to a cell; none if a count doesn't fit."""
+    out: list[bytes | None] = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        counts, log2 = None, (hi - lo).bit_length() - 1
+        if hi - lo > 2 * CELLS:
+            counts = np.bincount((tokens[lo:hi] >> ta.U64(TOKEN_BITS - log2)).astype(np.int64), minlength=1 << log2)
+        out.append(None if counts is None or counts.max() > 15 else (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes())
+    return out
+
+
+def fine_bound(x: bytes, y: bytes) -> int:
+    """The most that two sets with these fine profiles share. The one with more cells is folded to the other's."""
+    counts = []
+    for blob in (x, y):
+        packed = np.frombuffer(blob, np.uint8)
+        counts.append(np.stack([packed & 15, packed >> 4], 1).ravel())
+    u, v = sorted(counts, key=len)
+    return int(np.minimum(u, v.reshape(len(u), -1).sum(axis=1)).sum(dtype=np.int64))
+
+
 def measured(k: int):
-    """kind 0: a row's id, set size, key and profile; kind 1: a block of this task's shingle frequencies."""
+    """kind 0: a row's id, set size, key and profiles; kind 1: a block of this task's shingle frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "id", "n", "key", "counts"]
+        names = ["kind", "id", "n", "key", "counts", "fine"]
         for batch in batches:
             data, off = ta.utf8(batch.column(1))
             for lo, hi in slices(off):
                 row, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 sketch += np.bincount((tokens & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), pa.array(np.diff(first)), pa.array(set_keys(tokens, first)), pa.array(profiles(row, tokens, m), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), pa.array(np.diff(first)), pa.array(set_keys(tokens, first)), pa.array(profiles(row, tokens, m), pa.binary()), pa.array(fine_profiles(tokens, first), pa.binary())], names)
         blocks = [zlib.compress(b.astype("<i8").tobytes(), 1) for b in sketch.reshape(-1, 1 << BLOCK_BITS)] if sketch.any() else []
         m = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.arange(m)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(blocks, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.arange(m)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(blocks, pa.binary()), pa.nulls(m, pa.binary())], names)
 
     return run
 
@@ -359,17 +383,61 @@ def not_ruled_out(percent: int):
     return run
 
 
-def tokens_of(k: int):
-    """Sets of the rows whose text has the key that is asked for."""
+def finely_possible(percent: int):
+    """Rows (a, b, na, nb, fa, fb) whose fine profiles leave a link possible, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            x, y = batch.column(4), batch.column(5)
+            ok = np.ones(len(least), bool)
+            for i in np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                ok[i] = fine_bound(x[i].as_buffer(), y[i].as_buffer()) >= least[i]
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
+def sieve_bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_LOG2))
+
+
+def sieve(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size in which the bit of every key is set."""
+    bits = keys.select(sieve_bit(column).alias("bit"))
+    parts = bits.groupBy(F.floor(F.col("bit") / SIEVE_PART).alias("part")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(SIEVE_PART))).alias("bits"))
+    out = np.zeros((1 << SIEVE_LOG2) // 8, np.uint8)
+    for r in parts.collect():  # 256 rows of 4 KB at most
+        out[r["part"] * SIEVE_PART // 8 : (r["part"] + 1) * SIEVE_PART // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_sieve(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def sifted(bits: np.ndarray):
+    """Rows (..., bit) whose bit is set, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            yield batch.select(list(range(last))).filter(pa.array(in_sieve(bits, batch.column(last).to_numpy())))
+
+    return run
+
+
+def tokens_of(k: int, bits: np.ndarray):
+    """(doc_id, key, tokens) of rows (doc_id, text, bit) whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_sieve(bits, batch.column(2).to_numpy())))
             data, off = ta.utf8(batch.column(1))
             for lo, hi in slices(off):
                 _, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                right = np.flatnonzero(set_keys(tokens, first) == batch.column(0).slice(lo, hi - lo).to_numpy())
-                blobs = [tokens[first[i] : first[i + 1]].tobytes() for i in right.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right + lo)), pa.array(blobs, pa.binary())], ["key", "tokens"])
+                blobs = [tokens[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_keys(tokens, first)), pa.array(blobs, pa.binary())], ["doc_id", "key", "tokens"])
 
     return run
 
@@ -379,7 +447,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     at = scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    first = written(docs.mapInArrow(measured(words), "kind int, id long, n long, key long, counts binary"), f"{at}/measured")
+    first = written(docs.mapInArrow(measured(words), "kind int, id long, n long, key long, counts binary, fine binary"), f"{at}/measured")
     rows = first.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "key")
     blocks = first.filter("kind = 1").groupBy("id").applyInArrow(sum_blocks, "id long, counts binary").collect()  # 2**20 counts in all
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(blocks, key=lambda r: r["id"])]) if blocks else np.zeros(1 << SKETCH_BITS, np.int64)
@@ -387,7 +455,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     run, layout = postings(ranks, shuffle_partitions(spark), words, percent)
     packed = docs.select("text").mapInArrow(run, "bucket long, entries binary, keys binary, sizes binary")
     lists = written(packed.groupBy("bucket").applyInArrow(inverted_lists(layout, percent), LISTS), f"{at}/lists")
-    sets_seen = first.filter("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("profile"))
+    sets_seen = first.filter("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("profile"), F.first("fine").alias("fine"))
     reps = written(sets_seen, f"{at}/reps")
     free_shuffles(spark)
 
@@ -405,11 +473,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         """(key, tokens) of all sets in pairs: one pass over the texts of their documents."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         ids = written(reps.join(wanted, "key").select(F.col("rep").alias("doc_id"), "key"), f"{at}/{name}-ids")
-        out = written(docs.join(ids, "doc_id").select("key", "text").mapInArrow(tokens_of(words), "key long, tokens binary"), f"{at}/{name}")
+        read = docs.filter("doc_id is not null").select("doc_id", "text", sieve_bit("doc_id").alias("bit"))
+        some = read.mapInArrow(tokens_of(words, sieve(ids, "doc_id")), "doc_id long, key long, tokens binary")
+        # Rows may repeat an id, with one text or several; a set is wanted once.
+        out = written(some.join(ids, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "tokens"), f"{at}/{name}")
+        free_shuffles(spark)
+        return out
+
+    def narrowed(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs(a, b) without those that fine profiles rule out."""
+        of = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+        both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "fa", "fb")
+        out = written(both.mapInArrow(finely_possible(percent), "a long, b long"), f"{at}/{name}")
         free_shuffles(spark)
         return out
 
     def linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        bits = sieve(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
+        sets = sets.select("key", "tokens", sieve_bit("key").alias("bit")).mapInArrow(sifted(bits), "key long, tokens binary")
         b = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
         both = b.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
         out = written(both.select("a", "b", "ta", "tb").mapInArrow(searched(percent), "src long, dst long"), f"{at}/{name}")
@@ -437,8 +518,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         open_ = dealt.groupBy("list", "x", "y").applyInArrow(pairs_across(percent, None if last else 2), "a long, b long")
         if k == 0:
             open_ = open_.unionByName(met.filter("kind = 0").select("a", "b")).unionByName(best)
-        open_ = written(open_.distinct(), f"{at}/open-{k}")
-        free_shuffles(spark)
+        open_ = narrowed(open_.distinct(), f"open-{k}")
         lacking = open_.select(F.explode(F.array("a", "b")).alias("a")).distinct()
         if sets is not None:
             lacking = lacking.join(sets.select(F.col("key").alias("a")), "a", "left_anti")
