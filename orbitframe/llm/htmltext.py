@@ -2,8 +2,12 @@
 
 The page is cut at block tags. Pass one labels each block from its length, link density and stop-word
 density, and from the containers it lies in (menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are known by their tags, roles, classes and ids; an ``article`` or ``main`` element vouches
-for what it holds). Pass two gives ambiguous short blocks the label of their nearest decided neighbours.
+reader comments are known by their tags, roles, classes and ids). An ``article`` or ``main`` element is one vote
+for what it holds: it lifts a block one step (bad by its words, or by links up to twice the limit, becomes near;
+near becomes good), and does not overrule many links, nor a block between ``short`` and ``long`` with next to no
+stop words. An element of at most ``long`` characters of its own text (a card, a teaser) has no vote where other
+text of the page is good. Pass two gives ambiguous and short blocks the label of their nearest decided neighbours;
+under a vote these are the ones within the element, and the vote counts as one of them.
 
 Defined cases: null or empty html, and pages without content, give an empty text; cut-off pages are read as
 far as they go, a cut-off tag is dropped; blocks are joined in page order; repeated rows are treated alike;
@@ -28,6 +32,7 @@ class Config:
     long: int = 200
     stop_low: float = 0.30
     stop_high: float = 0.32
+    stop_none: float = 0.05
 
 
 # Common function words of the languages at hand.
@@ -62,7 +67,7 @@ GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 class Block:
     __slots__ = ("heading", "inside", "left_out", "linked", "text")
 
-    def __init__(self, text: str, linked: int, left_out: bool, inside: bool, heading: bool):
+    def __init__(self, text: str, linked: int, left_out: bool, inside: int, heading: bool):
         self.text, self.linked, self.left_out, self.inside, self.heading = text, linked, left_out, inside, heading
 
 
@@ -82,9 +87,9 @@ def _hinted(tag: str, attributes: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, left out, within content
+    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, left out, number of the innermost content element
     text: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, contents = 0, 0, 0, 0
     heading = False
 
     def close() -> None:
@@ -133,7 +138,8 @@ def blocks(page: str) -> list[Block]:
                 _, left_out, inside = stack[-1]
                 hinted = tag in LEFT_OUT or tag == "header" and not inside or _hinted(tag, m[2])
                 if tag in CONTENT_TAGS and not hinted and not any(t in LEFT_OUT and t != "form" for t, _, _ in stack):
-                    left_out, inside = False, True
+                    contents += 1
+                    left_out, inside = False, contents
                 stack.append((tag, left_out or hinted, inside))
                 heading = tag in HEADINGS
         elif m[3]:
@@ -151,42 +157,68 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, config: Config) -> str:
+def stop_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(block: Block, config: Config, vouched: bool = False, listed: bool = True) -> str:
+    """``vouched``: an element votes for the block; ``listed``: the stop words fit the element's language."""
     if block.left_out:
         return BAD
     n = len(block.text)
     density = block.linked / n
-    if block.inside:
-        return BAD if density > 0.9 and n < config.short else GOOD
     if density > config.max_link_density or "©" in block.text:
-        return BAD
+        if not vouched:
+            return BAD
+        if n < config.short:
+            return SHORT if block.heading or density <= config.max_link_density else BAD
+        return BAD if density > 2 * config.max_link_density else NEAR
     if n < config.short:
         return SHORT
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = stop_density(block.text)
     if stops >= config.stop_high:
-        return GOOD if n > config.long else NEAR
-    return NEAR if stops >= config.stop_low else BAD
+        return GOOD if n > config.long or vouched else NEAR
+    if stops >= config.stop_low:
+        return GOOD if vouched else NEAR
+    return NEAR if vouched and (n > config.long or stops >= config.stop_none or not listed) else BAD
+
+
+def votes(found: list[Block], first: list[str], config: Config) -> dict[int, bool]:
+    """The content elements that vote for what they hold, and whether the stop words fit their language."""
+    own: dict[int, list[str]] = {}
+    for b in found:
+        if b.inside and not b.left_out:
+            own.setdefault(b.inside, [])
+            if b.linked <= config.max_link_density * len(b.text):
+                own[b.inside].append(b.text)
+    large = {k for k, texts in own.items() if sum(map(len, texts)) > config.long}
+    if not large and not any(x == GOOD for x in first):
+        large = set(own)
+    return {k: stop_density(" ".join(own[k])) >= 2 * config.stop_none for k in large}
 
 
 def labels(found: list[Block], config: Config) -> list[bool]:
     first = [first_pass(b, config) for b in found]
-    vouched = any(b.inside and not b.left_out for b in found)
-    if vouched:  # the page names its content, so nothing outside it is decided by density
-        return [x == GOOD and b.inside for x, b in zip(first, found, strict=True)]
+    vote = votes(found, first, config)
+    if vote:
+        first = [first_pass(b, config, True, vote[b.inside]) if b.inside in vote else x for x, b in zip(first, found, strict=True)]
     n = len(first)
     before, after = [""] * n, [""] * n
-    last = BAD
-    for i in range(n):
-        before[i] = last
-        last = first[i] if first[i] in (GOOD, BAD) else last
-    last = BAD
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = first[i] if first[i] in (GOOD, BAD) else last
+    for near, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last, within = BAD, {}
+        for i in order:
+            b = found[i]
+            near[i] = within.get(b.inside, "") if b.inside in vote else last
+            if first[i] in (GOOD, BAD):
+                last = first[i]
+                if not b.left_out:
+                    within[b.inside] = first[i]
     out = []
     for i, x in enumerate(first):
-        if x == NEAR:
+        if x in (NEAR, SHORT) and found[i].inside in vote:
+            out.append(not before[i] == after[i] == BAD)
+        elif x == NEAR:
             out.append(GOOD in (before[i], after[i]) or {before[i], after[i]} == {BAD} and GOOD not in first)
         elif x == SHORT:
             out.append(before[i] == after[i] == GOOD or found[i].heading and GOOD in (first[i + 1 : i + 2] or [after[i]]))

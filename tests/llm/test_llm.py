@@ -271,6 +271,17 @@ def test_html_blocks(spark):
     assert sorted((r["page_id"], r["n_chars"]) for r in htmltext.extract(df).collect()) == [(1, 15), (2, 0), (2, 0)]
 
 
+def test_html_article_is_one_vote():
+    cards = "".join(f"<article class=card><h2><a href=/{i}>Teaser {i}</a></h2><p>A few words of it.</p></article>" for i in range(2))
+    assert htmltext.main_text(f"<div><p>{GOOD}</p><p>{GOOD}</p></div>{cards}") == "\n".join([GOOD.strip()] * 2)
+    links = "<div><a href=/a>Cheap watches and the best offers of the year for you and all your friends</a> now</div>"
+    wordless = "<div>Watches discount shipping bargain luxury brands clearance voucher premium outlet</div>"
+    page = f"<article><h1><a href=/>Title</a></h1><p>{GOOD}</p>{links}{wordless}<p>Short one.</p><p>{GOOD}</p></article><p>tail</p>"
+    assert htmltext.main_text(page) == "\n".join(["Title", GOOD.strip(), "Short one.", GOOD.strip()])
+    unlisted = "Kissa istui matolla ja katsoi ulos ikkunasta koko pitkän sateisen päivän ajan."
+    assert htmltext.main_text(f"<main><p>{unlisted}</p><p>{unlisted}</p><p>{unlisted}</p></main>") == "\n".join([unlisted] * 3)
+
+
 def test_template_compiler():
     def render(source, **names):
         out = []
