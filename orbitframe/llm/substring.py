@@ -1,7 +1,11 @@
 """Substring dedup on a log-structured index of window fingerprints.
 
 A window is ``width`` consecutive words. Removed are the words of every window whose sequence also starts
-earlier in the corpus (smaller doc_id, or same document and earlier start).
+earlier in the corpus (smaller doc_id, or the same doc_id and a smaller row key, or same row and earlier start).
+
+Rows. A row is known by its key, a 64-bit hash of doc_id and text, together with its doc_id, so rows that share a
+doc_id, or have none, are rows of their own. Rows equal in both are copies: a window and its place are met again
+in a copy, which marks the row (``COPY`` among its starts); one of the copies stays and the others lose all windows.
 
 The index. Each window is filed under its anchor: the ``gram``-word hash that is smallest within it (the leftmost
 on a tie). Equal windows have equal anchors, and about one word in seven is an anchor, so the index is
@@ -20,9 +24,9 @@ Hot keys. A task sends each anchor, and each window, once per slice of text, wit
 others of the slice are settled on the spot. So a passage that a third of all documents hold reaches its bucket
 once per few thousand documents. Buckets are packed arrays, not rows.
 
-Defined cases: null text has no words; documents shorter than a window lose nothing; repeated doc_ids are
-ordered by their text's place in the input only within a slice, so they should be made unique first; repeated
-rows with different ids lose all but the first; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text has no words; documents shorter than a window lose nothing; null doc_ids stand first;
+rows of one doc_id are ordered by their keys; repeated rows lose all but the first; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +48,9 @@ NO_ID = -(1 << 63)
 ANCHOR, RUN, CANDIDATE = 0, 1, 2  # kinds of rows on the way to and from a bucket
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("known", "u1")])
 WINDOW = np.dtype([("hash", "<u8"), ("hash2", "<u8"), ("doc", "<u2"), ("start", "<u4")])
-MOVED = "kind int, bucket long, doc_id long, body binary, ids binary"
+ROW = np.dtype([("doc", "<i8"), ("key", "<i8")])
+COPY = 0xFFFFFFFF  # no window starts there
+MOVED = "kind int, bucket long, doc_id long, key long, body binary, ids binary"
 
 
 def slices(off: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -90,28 +96,45 @@ def packed_rows(kind: int, bucket: np.ndarray, body: np.ndarray, ids=None) -> li
             docs, local = np.unique(part["doc"], return_inverse=True)
             part = part.copy()
             part["doc"], own = local, ids[docs].tobytes()
-        out.append((kind, b, None, part.tobytes(), own))
+        out.append((kind, b, None, None, part.tobytes(), own))
     return out
 
 
-def per_document(kind: int, bucket: int, doc: np.ndarray, value: np.ndarray) -> list[tuple]:
-    """One row per document with its values."""
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    found, first = np.unique(doc, return_index=True)
-    return [(kind, bucket, d, value[s:e].tobytes(), None) for d, s, e in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(doc)])]
+def per_document(kind: int, bucket: int, key: np.ndarray, value: np.ndarray, doc: np.ndarray | None = None) -> list[tuple]:
+    """One row per document with its values. Without ``doc``, keys alone name documents."""
+    order = np.argsort(key, kind="stable") if doc is None else np.lexsort((doc, key))
+    key, value = key[order], value[order]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    docs = None
+    if doc is not None:
+        doc = doc[order]
+        head[1:] |= doc[1:] != doc[:-1]
+        docs = doc[head].tolist()
+    first = np.flatnonzero(head)
+    return [(kind, bucket, docs and docs[i], k, value[s:e].tobytes(), None) for i, (k, s, e) in enumerate(zip(key[head].tolist(), first.tolist(), [*first[1:].tolist(), len(key)]))]
+
+
+def repeats(body: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which windows are not the first of theirs, their starts or COPY) of windows sorted by hash, doc, key and start."""
+    head = np.ones(len(body), bool)
+    head[1:] = (body["hash"][1:] != body["hash"][:-1]) | (body["hash2"][1:] != body["hash2"][:-1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    start = body["start"]
+    copy = (doc == doc[first]) & (key == key[first]) & (start == start[first])
+    return ~head, np.where(copy, np.uint32(COPY), start)[~head]
 
 
 def moved(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "doc_id", "body", "ids"])
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "doc_id", "key", "body", "ids"])
 
 
 def anchor_messages(buckets: int, width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = ta.utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(0).to_numpy()
             for lo, hi in slices(off):
                 words = ta.Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 _, row, at = anchors(words, width, gram)
@@ -161,15 +184,15 @@ def merge(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merge_bucket(table: pa.Table) -> pa.Table:
     """A bucket's new messages, against its part of every run."""
     kinds, bucket = table["kind"].to_pylist(), table["bucket"][0].as_py()
-    bodies, docs = table["body"], table["doc_id"].to_pylist()
+    bodies, keys = table["body"], table["key"].to_pylist()
     of = lambda want: np.concatenate([np.zeros(0, ENTRY), *(np.frombuffer(bodies[i].as_py(), ENTRY) for i, k in enumerate(kinds) if k == want)])
-    rows = [(CANDIDATE, bucket, docs[i], bodies[i].as_py(), None) for i, k in enumerate(kinds) if k == CANDIDATE]
+    rows = [(CANDIDATE, bucket, None, keys[i], bodies[i].as_py(), None) for i, k in enumerate(kinds) if k == CANDIDATE]
     new, old = of(ANCHOR), of(RUN)
     if len(new):
         run, found = merge(new, old)
-        rows.append((RUN, bucket, None, run.tobytes(), None))
+        rows.append((RUN, bucket, None, None, run.tobytes(), None))
         rows += per_document(CANDIDATE, bucket, found["doc"], found["hash"])
-    return pa.Table.from_batches([moved(rows)]) if rows else pa.Table.from_batches([moved([(-1, bucket, None, None, None)])])
+    return pa.Table.from_batches([moved(rows)]) if rows else pa.Table.from_batches([moved([(-1, bucket, None, None, None, None)])])
 
 
 def compact_bucket(table: pa.Table) -> pa.Table:
@@ -181,7 +204,7 @@ def compact_bucket(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(head)
     run = both[first].copy()
     run["known"] = np.maximum.reduceat(both["known"], first)
-    return pa.Table.from_batches([moved([(RUN, table["bucket"][0].as_py(), None, run.tobytes(), None)])])
+    return pa.Table.from_batches([moved([(RUN, table["bucket"][0].as_py(), None, None, run.tobytes(), None)])])
 
 
 @dataclass
@@ -198,17 +221,17 @@ class FingerprintIndex:
     made: int = 0
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Merge-joins a batch (doc_id, text) with all runs, adds its run, and returns (doc_id, body): candidates' shared anchors."""
+        """Merge-joins a batch (key, text) with all runs, adds its run, and returns (key, body): candidates' shared anchors."""
         at = f"{self.path}/batch-{self.made}"
         self.made += 1
         work = docs.mapInArrow(anchor_messages(self.buckets, self.width, self.gram), MOVED)
         for run in self.runs:
-            work = work.unionByName(self.spark.read.parquet(run).select("bucket", "body").selectExpr(f"{RUN} kind", "bucket", "cast(null as long) doc_id", "body", "cast(null as binary) ids"))
+            work = work.unionByName(self.spark.read.parquet(run).select("bucket", "body").selectExpr(f"{RUN} kind", "bucket", "cast(null as long) doc_id", "cast(null as long) key", "body", "cast(null as binary) ids"))
         out = written(work.groupBy("bucket").applyInArrow(merge_bucket, MOVED), at)
         run = f"{self.path}/run-{self.made}"
         written(out.filter(F.col("kind") == RUN).select("bucket", "body"), run)
         self.runs.append(run)
-        found = written(out.filter(F.col("kind") == CANDIDATE).select("doc_id", "body"), f"{self.path}/candidates-{self.made}")
+        found = written(out.filter(F.col("kind") == CANDIDATE).select("key", "body"), f"{self.path}/candidates-{self.made}")
         remove(self.spark, at)
         if len(self.runs) > self.fanout:
             self.compact()
@@ -230,8 +253,9 @@ def window_messages(buckets: int, width: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = ta.utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, off = ta.utf8(batch.column(2))
+            ids = np.empty(batch.num_rows, ROW)
+            ids["doc"], ids["key"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in slices(off):
                 words = ta.Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], second=True)
                 start, row, at = anchors(words, width, gram)
@@ -241,7 +265,7 @@ def window_messages(buckets: int, width: int, gram: int):
                 cut = np.flatnonzero(np.diff(row, prepend=-1))
                 keep = np.zeros(len(start), bool)
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
-                    wanted = np.concatenate([np.frombuffer(b.as_buffer(), ta.U64) for b in batch.column(2)[lo + row[s]].values])
+                    wanted = np.concatenate([np.frombuffer(b.as_buffer(), ta.U64) for b in batch.column(3)[lo + row[s]].values])
                     keep[s:e] = np.isin(key[s:e], wanted)
                 start, row, key = start[keep], row[keep], key[keep]
                 if not len(start):
@@ -249,14 +273,13 @@ def window_messages(buckets: int, width: int, gram: int):
                 body = np.empty(len(start), WINDOW)
                 body["hash"], body["hash2"] = words.grams(width)[start], words.grams(width, second=True)[start]
                 body["start"] = start - words.rows[row]
-                doc = ids[lo:hi][row]
-                order = np.lexsort((body["start"], doc, body["hash2"], body["hash"]))
-                body, row, doc, key = body[order], row[order], doc[order], key[order]
                 body["doc"] = row
-                head = np.ones(len(body), bool)
-                head[1:] = (body["hash"][1:] != body["hash"][:-1]) | (body["hash2"][1:] != body["hash2"][:-1])
-                rows = packed_rows(ANCHOR, (ta.mix(key[head]) % ta.U64(buckets)).astype(np.int64), body[head], ids[lo:hi])
-                rows += per_document(CANDIDATE, int(ids[lo]) % buckets, doc[~head], body["start"][~head])
+                doc, own = ids["doc"][lo:hi][row], ids["key"][lo:hi][row]
+                order = np.lexsort((body["start"], own, doc, body["hash2"], body["hash"]))
+                body, doc, own, key = body[order], doc[order], own[order], key[order]
+                again, starts = repeats(body, doc, own)
+                rows = packed_rows(ANCHOR, (ta.mix(key[~again]) % ta.U64(buckets)).astype(np.int64), body[~again], ids[lo:hi])
+                rows += per_document(CANDIDATE, int(ids["key"][lo]) % buckets, own[again], starts, doc[again])
                 yield moved(rows)
 
     return run
@@ -264,40 +287,47 @@ def window_messages(buckets: int, width: int, gram: int):
 
 def repeats_of_bucket(table: pa.Table) -> pa.Table:
     """Per document, the starts of its windows that also start earlier."""
-    kinds, bucket = table["kind"].to_pylist(), table["bucket"][0].as_py()
-    rows = [(CANDIDATE, bucket, d, b, None) for k, d, b in zip(kinds, table["doc_id"].to_pylist(), table["body"].to_pylist(), strict=True) if k == CANDIDATE]
-    body, doc = [np.zeros(0, WINDOW)], [np.zeros(0, np.int64)]
-    for k, b, i in zip(kinds, table["body"].to_pylist(), table["ids"].to_pylist(), strict=True):
+    kinds, bucket, bodies = table["kind"].to_pylist(), table["bucket"][0].as_py(), table["body"].to_pylist()
+    rows = [(CANDIDATE, bucket, d, i, b, None) for k, d, i, b in zip(kinds, table["doc_id"].to_pylist(), table["key"].to_pylist(), bodies, strict=True) if k == CANDIDATE]
+    body, own = [np.zeros(0, WINDOW)], [np.zeros(0, ROW)]
+    for k, b, i in zip(kinds, bodies, table["ids"].to_pylist(), strict=True):
         if k == ANCHOR:
             body.append(np.frombuffer(b, WINDOW))
-            doc.append(np.frombuffer(i, np.int64)[body[-1]["doc"]])
-    body, doc = np.concatenate(body), np.concatenate(doc)
-    order = np.lexsort((body["start"], doc, body["hash2"], body["hash"]))
-    body, doc = body[order], doc[order]
-    again = np.zeros(len(body), bool)
-    again[1:] = (body["hash"][1:] == body["hash"][:-1]) & (body["hash2"][1:] == body["hash2"][:-1])
-    rows += per_document(CANDIDATE, bucket, doc[again], body["start"][again])
-    return pa.Table.from_batches([moved(rows or [(-1, bucket, None, None, None)])])
+            own.append(np.frombuffer(i, ROW)[body[-1]["doc"]])
+    body, own = np.concatenate(body), np.concatenate(own)
+    order = np.lexsort((body["start"], own["key"], own["doc"], body["hash2"], body["hash"]))
+    body, doc, key = body[order], own["doc"][order], own["key"][order]
+    again, starts = repeats(body, doc, key)
+    rows += per_document(CANDIDATE, bucket, key[again], starts, doc[again])
+    return pa.Table.from_batches([moved(rows or [(-1, bucket, None, None, None, None)])])
 
 
 def kept_words(width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copied = set()  # rows met that have copies; all copies of a row are in one task
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                data, off = ta.utf8(part.column(1))
+                docs, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
+                data, off = ta.utf8(part.column(2))
                 words = ta.Words(data, off)
                 raw = data.tobytes()
                 n, removed, sha, texts = [], [], [], []
                 for r in range(part.num_rows):
                     a, b = int(words.rows[r]), int(words.rows[r + 1])
                     gone = np.zeros(b - a + 1, np.int64)
-                    blobs = part.column(2)[r]
-                    if blobs.is_valid:
-                        for blob in blobs.values:
-                            s = np.frombuffer(blob.as_buffer(), "<u4").astype(np.int64)
-                            np.add.at(gone, s, 1)
-                            np.add.at(gone, s + width, -1)
+                    found = part.column(3)[r]
+                    if found.is_valid:
+                        own, blobs = found.values.flatten()
+                        s = [np.frombuffer(blobs[i].as_buffer(), "<u4") for i in np.flatnonzero(own.to_numpy() == docs[r]).tolist()]
+                        s = np.concatenate([np.zeros(0, "<u4"), *s]).astype(np.int64)
+                        if (s == COPY).any():
+                            if (docs[r], keys[r]) in copied:
+                                s = np.arange(b - a - width + 1)
+                            copied.add((docs[r], keys[r]))
+                            s = s[s != COPY]
+                        np.add.at(gone, s, 1)
+                        np.add.at(gone, s + width, -1)
                     keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
                     text = b" ".join(raw[x:y] for x, y in zip(words.starts[keep].tolist(), words.ends[keep].tolist()))
                     n.append(b - a)
@@ -316,7 +346,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False,
     """Whole corpus in ``batches`` ranges of doc_id through one index; then repeats are verified and removed."""
     spark = docs.sparkSession
     # A null doc_id stands first; with no nulls, both joins below read one and the same shuffle of the texts.
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     at = scratch(spark, "substring")
     index = FingerprintIndex(spark, at, 4 * shuffle_partitions(spark), width, gram)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or [] if batches > 1 else []
@@ -328,14 +358,15 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False,
             batch = batch.filter(F.col("doc_id") > lo)
         if hi is not None:
             batch = batch.filter(F.col("doc_id") <= hi)
-        got = index.add(batch)
+        got = index.add(batch.select("key", "text"))
         found = got if found is None else found.unionByName(got)
     for run in index.runs:
         remove(spark, run)
     parts = shuffle_partitions(spark)
-    dealt = docs.repartition(parts, "doc_id")
-    shared = found.groupBy("doc_id").agg(F.collect_list("body").alias("anchors"))
-    windows = dealt.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(window_messages(index.buckets, width, gram), MOVED)
-    repeats = windows.groupBy("bucket").applyInArrow(repeats_of_bucket, MOVED).filter("kind >= 0").groupBy("doc_id").agg(F.collect_list("body").alias("starts"))
+    dealt = docs.repartition(parts, "key")
+    shared = found.groupBy("key").agg(F.collect_list("body").alias("anchors"))
+    windows = dealt.join(shared.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "anchors").mapInArrow(window_messages(index.buckets, width, gram), MOVED)
+    again = windows.groupBy("bucket").applyInArrow(repeats_of_bucket, MOVED).filter("kind >= 0").groupBy("key").agg(F.collect_list(F.struct("doc_id", "body")).alias("starts"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return dealt.join(repeats.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(kept_words(width, with_text), schema).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    kept = dealt.join(again.hint("shuffle_hash"), "key", "left").select("doc_id", "key", "text", "starts").mapInArrow(kept_words(width, with_text), schema)
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -78,6 +78,24 @@ def test_substring_dedup_null_ids_and_empty(spark, empty):
     assert {r["doc_id"]: r["n_removed"] for r in got} == {None: 0, 3: 30}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substring_dedup_rows_that_share_an_id(spark, parts):
+    say = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b, c, d = say("a", 30), say("b", 60), say("c", 25), say("d", 40)
+    twice = say("e", 30) + " " + say("e", 30)
+    rows = [(1, a)] * 3 + [(2, b), (2, b + " " + c), (None, c), (None, d + " " + d + " " + say("f", 80)), (None, d), (None, say("g", 22)), (None, say("g", 22))]
+    rows += [(4, twice)] * 2 + [(5, "short")] * 2 + [(6, a)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = substring.dedup_substrings(df, with_text=True).collect()
+    assert len(got) == len(rows) and all(len(WORD.findall(r["kept_text"])) == r["n_words"] - r["n_removed"] for r in got)
+    kept = lambda i: sorted(r["kept_text"] for r in got if r["doc_id"] == i)
+    assert kept(1) == ["", "", a] and kept(4) == ["", say("e", 30)] and kept(5) == ["short"] * 2 and kept(6) == ["", ""]
+    assert kept(2) == ["", b]
+    whole = sorted(w for r in got for w in r["kept_text"].split())
+    assert sorted(set(whole)) == sorted({w for _, t in rows for w in t.split()})
+    assert all(whole.count(w) == 1 for w in (a + " " + b + " " + c + " " + d + " " + say("g", 22)).split())
+
+
 def test_compaction_keeps_what_is_known():
     make = lambda *rows: np.array(list(rows), substring.ENTRY)
     run1, found = substring.merge(make((5, 1, 0), (9, 1, 0)), make())
