@@ -3,8 +3,11 @@
 Every source is read as one stream of words cut into blocks of a fixed length. A target in words per source
 comes from weights, capped at ``max_repeat`` times the source (the excess is shared out again by weight).
 Each output shard draws multinomial source counts slot by slot; a source's draws stop at its quota, and the
-last shard takes what is left of it, so totals equal the quotas. Slot i of a source with n blocks is pass
-i div n, and within the pass a pseudorandom permutation maps slots to blocks; blocks join by index.
+last shard takes what is left of it, so totals equal the quotas. The counts are laid out as a table of slots
+(shard, source, slot). Slot i of a source with n blocks is pass i div n, and within the pass a permutation maps
+slots to blocks; blocks join by index, and what the mixture takes of a document follows from that join alone.
+The permutation is affine modulo n, as the query's SQL states it, so on sources of about a million blocks and
+more it takes long runs of neighbouring blocks.
 
 Only DataFrame functions are used. Streams are laid out with two-level prefix sums (source, salt), so that
 one source with most of the rows is still spread over ``SALTS`` groups. The only broadcast is the draw table
@@ -81,13 +84,42 @@ def shard_counts(sources: DataFrame, shards: int = SHARDS, seed: int = 17) -> Da
     )
 
 
+def inverse(a: Column, n: Column) -> Column:
+    """The inverse of a modulo n (coprime) by Euclid's algorithm; 0 for n = 1."""
+    long = lambda x: x.cast("long")
+
+    def step(s: Column, _: Column) -> Column:
+        q = F.when(s["r1"] != 0, F.floor((s["r0"] - F.pmod(s["r0"], s["r1"])) / s["r1"])).otherwise(F.lit(0))
+        done = s["r1"] == 0
+        return F.struct(
+            long(F.when(done, s["r0"]).otherwise(s["r1"])).alias("r0"), long(F.when(done, s["r1"]).otherwise(s["r0"] - q * s["r1"])).alias("r1"),
+            long(F.when(done, s["t0"]).otherwise(s["t1"])).alias("t0"), long(F.when(done, s["t1"]).otherwise(s["t0"] - q * s["t1"])).alias("t1"),
+        )
+
+    zero = F.struct(long(n).alias("r0"), long(F.pmod(a, n)).alias("r1"), F.lit(0).cast("long").alias("t0"), F.lit(1).cast("long").alias("t1"))
+    return F.pmod(F.aggregate(F.sequence(F.lit(1), F.lit(64)), zero, step, lambda s: s["t0"]), n)
+
+
+def laid_slots(counts: DataFrame, sources: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(shard, source_rank, slot, index): the slots the shards drew, and the block each one takes."""
+    n, long = F.col("n_blocks"), F.lit(0).cast("long")
+    multiplier = F.when(n % MULTIPLIERS[0] != 0, MULTIPLIERS[0]).otherwise(MULTIPLIERS[1]).cast("long")
+    plan = sources.filter("n_blocks > 0").select("source_rank", n.cast("long").alias("n"), inverse(multiplier, n.cast("long")).alias("back"))
+    sofar = Window.partitionBy("source_rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.withColumn("from", F.coalesce(F.sum("slots").over(sofar), long)).filter("slots > 0")
+    runs = runs.select("shard", "source_rank", F.explode(F.sequence("from", F.col("from") + F.col("slots") - 1, F.lit(CELLS).cast("long"))).alias("lo"), (F.col("from") + F.col("slots")).alias("end"))
+    runs = runs.join(plan, "source_rank").repartition(shards, "source_rank", "lo")
+    slots = runs.withColumn("slot", F.explode(F.sequence("lo", F.least(F.col("lo") + CELLS, "end") - 1)))
+    return slots.select("shard", "source_rank", "slot", F.pmod(F.pmod(F.col("slot") - F.col("source_rank") * 7919, F.col("n")) * F.col("back"), F.col("n")).alias("index"))
+
+
 def row_keys(docs: DataFrame) -> list[Column]:
     """128 bits that name a row by what it holds; rows that share them are equal."""
     return [F.xxhash64(F.lit(k), *docs.columns).alias(f"k{k}") for k in (1, 2)]
 
 
 class Mixture:
-    """The plan of one mixture: ``sources``, ``counts`` (per shard), ``rows`` (per document) and ``pieces`` (blocks of a document)."""
+    """The plan of one mixture: ``sources``, ``counts`` (per shard), ``slots`` (with their blocks), ``rows`` (per document) and ``pieces`` (blocks of a document)."""
 
     def __init__(self, docs: DataFrame, block: int = 64, share: float = 1.5, max_repeat: int = 2, shards: int = SHARDS):
         spark = docs.sparkSession
@@ -103,6 +135,7 @@ class Mixture:
         planned = written(targets(sizes, share, max_repeat).withColumn("n_blocks", n).withColumn("quota", quota), f"{at}/sources")
         self.counts = written(shard_counts(planned, shards), f"{at}/counts")
         self.sources = planned.join(self.counts.groupBy("source_rank").agg(F.sum("slots").alias("slots")), "source_rank", "left").fillna(0, ["slots"])
+        self.slots = laid_slots(self.counts, planned, shards)
         within = Window.partitionBy("source", "salt").orderBy("doc_id", "size", "k1").rowsBetween(Window.unboundedPreceding, 0)
         laid = salted.withColumn("upto", F.sum("size").over(within))
         laid = laid.join(parts.select(F.col("source").alias("s"), F.col("salt").alias("t"), "offset"), F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("t")))
@@ -113,31 +146,20 @@ class Mixture:
     def pieces(self) -> DataFrame:
         """One row per (document, block) overlap: words, and how often the mixture takes them."""
         b = F.lit(self.block)
-        multiplier = F.when(F.col("n_blocks") % MULTIPLIERS[0] != 0, MULTIPLIERS[0]).otherwise(MULTIPLIERS[1])
-        rank = (F.col("index") * multiplier + F.col("source_rank") * 7919) % F.col("n_blocks")
-        passes = F.floor(F.col("slots") / F.col("n_blocks")).cast("long")
+        times = self.slots.groupBy("source_rank", "index").agg(F.count(F.lit(1)).alias("times"))
         return (
             self.rows.filter("size > 0")
             .withColumn("index", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
             .withColumn("first", F.greatest(F.col("begin"), F.col("index") * b) - F.col("begin"))
             .withColumn("words", F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * b) - F.col("begin") - F.col("first"))
-            .withColumn("times", passes + F.when(rank < F.col("slots") - passes * F.col("n_blocks"), 1).otherwise(0))
+            .join(times.hint("shuffle_hash"), ["source_rank", "index"], "left").fillna(0, ["times"])
         )
 
     def documents(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken; a document's blocks never leave its row, so nothing is shuffled."""
-        b, n = F.lit(self.block), F.col("n_blocks")
-        multiplier = F.when(n % MULTIPLIERS[0] != 0, MULTIPLIERS[0]).otherwise(MULTIPLIERS[1])
-        passes = F.floor(F.col("slots") / n).cast("long")
-
-        def words(i: Column) -> Column:
-            inside = F.least(F.col("begin") + F.col("size"), (i + 1) * b) - F.greatest(F.col("begin"), i * b)
-            rank = (i * multiplier + F.col("source_rank") * 7919) % n
-            return inside * (passes + F.when(rank < F.col("slots") - passes * n, 1).otherwise(0))
-
-        indexes = F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))
-        taken = F.when(F.col("size") > 0, F.aggregate(indexes, F.lit(0).cast("long"), lambda a, i: a + words(i))).otherwise(0)
-        return self.rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        """doc_id, size, source_size, target, taken. A document with words is known by its source and where it begins there."""
+        columns = ["doc_id", "size", "source_size", "target"]
+        taken = self.pieces().groupBy("source_rank", "begin", *columns).agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
+        return taken.select(*columns, "taken").unionByName(self.rows.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
 def mix_sources(docs: DataFrame, block: int = 64, share: float = 1.5, max_repeat: int = 2, shards: int = SHARDS) -> DataFrame:

@@ -414,6 +414,25 @@ def test_mixture_plan(spark, docs, empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_texts(empty).count() == 0
 
 
+def test_mixture_comes_from_the_drawn_slots(spark, docs):
+    m = mixing.Mixture(docs, block=8, shards=8)
+    plan, per, at = {r["source_rank"]: r for r in m.sources.collect()}, defaultdict(int), defaultdict(list)
+    for r in m.slots.collect():
+        s = plan[r["source_rank"]]
+        per[r["shard"], r["source_rank"]] += 1
+        at[r["source_rank"]].append(r["slot"])
+        n = s["n_blocks"]
+        assert 0 <= r["index"] < n and (r["index"] * (1000003 if n % 1000003 else 999983) + r["source_rank"] * 7919 - r["slot"]) % n == 0
+    assert dict(per) == {(r["shard"], r["source_rank"]): r["slots"] for r in m.counts.collect() if r["slots"]}
+    assert all(sorted(x) == list(range(plan[k]["slots"])) for k, x in at.items())
+    whole = sum(r["taken"] for r in m.documents().collect())
+    m.slots = m.slots.filter("shard <> 3")
+    assert sum(r["taken"] for r in m.documents().collect()) < whole
+    odd = [(1000003, 1), (1000003, 2), (1000003, 333334), (999983, 1000003), (1000003, 123456789)]
+    back = spark.createDataFrame(odd, "a long, n long").select("a", "n", mixing.inverse(F.col("a"), F.col("n")).alias("x")).collect()
+    assert all(r["a"] * r["x"] % r["n"] == 1 % r["n"] for r in back)
+
+
 def test_language_id(spark, docs, empty):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert len(got) == len(corpus())
