@@ -6,24 +6,25 @@ share one within the first n - ceil(t n) + 1 shingles of each, in any order that
 here is by a sketch of shingle frequencies of fixed size, rarest first, so text that many documents share comes last.
 
 1. One pass gives each row's set size and key, and the frequency sketch.
-2. Prefix shingles go, packed, to buckets; equal sets of a slice are sent once. A bucket sorts them into inverted
-   lists. A list of two gives its pair; a longer one gives its neighbours by size, and is written down.
-3. Pairs are held against profiles: how many of a set's shingles fall to each of CELLS hash cells. The sum of the
-   smaller counts bounds the overlap from above, so what it rules out is no link. Of the pairs left, each set is
-   searched against the neighbour it meets most often. Links give components. Large sets fill CELLS cells too
-   evenly; they have a second profile whose cells grow with the set, held against each pair before its search.
-4. Of the longer lists only pairs that lie in different components, and that sizes, positions and profiles still
-   allow, are searched: in rounds of a few pairs a member while these join components, then all that are left.
-   So groups of thousands of near copies cost a few searches a member, and no link is lost that could join two
-   components. Lists are compared in blocks of BLOCK members.
-5. A search takes a query set and its candidates: the lists of the query's shingles over the candidates are
-   divided into the longest L, which are only probed, and the rest, which are merged; candidates whose merged
-   count stays under T - L are dropped, the others are probed and kept if they reach T. Only texts of sets that
-   are searched travel: a bitmap of fixed size tells most others apart where they are read, a join the rest.
+2. The inverted lists of these first shingles, the short lists, are built and stored. Postings go, packed, to buckets;
+   equal sets of a slice are sent once; a list that the sketch calls long is dealt over several buckets by set.
+3. Sets that are neighbours by size in a list are searched for each other first, each set for the one it meets most
+   often. That joins most groups of copies, at one pair a set. Profiles (how many shingles fall to each of CELLS hash
+   cells; for large sets, to cells that grow with the set) rule most other pairs out before any set travels.
+4. What is left are lists whose members lie in several components. Such a list is a shard: its members come together
+   in blocks of about BLOCK (fewer for large sets), block by block, then block against block. In a shard every set
+   is a query against the inverted lists of all the shard's sets: the short lists are merged, the L longest are only
+   probed, by binary search, for candidates whose merged count reaches T - L. A candidate is a result when it reaches
+   T, and only one result is given for two components that meet: rows grow with members, never with pairs.
+   Members that no profile allows any partner in another component stay away from the search.
+
+Only texts of sets that are searched travel: a bitmap of fixed size tells most others apart where they are read, a
+join the rest.
 
 Defined cases: null text and text without words have an empty set, linked with nothing; fewer words than the
-shingle length make one shingle of all; repeated rows have equal sets; an empty table gives an empty result;
-other columns are ignored.
+shingle length make one shingle of all; repeated rows have equal sets; rows with a null doc_id link like all others,
+and have the smallest doc_id of their component (null if it has none); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.llm import textarrow as ta
 from orbitframe.llm.components import connected_components
-from orbitframe.llm.settings import free_shuffles, remove, scratch, shuffle_partitions, written
+from orbitframe.llm.settings import remove, scratch, shuffle_partitions, written
 
 WORDS, PERCENT = 5, 75
 TOKEN_BITS, SKETCH_BITS, BLOCK_BITS = 52, 20, 14
 MASK = ta.U64((1 << TOKEN_BITS) - 1)
 FAR = 0xFFFF
-BLOCK = 4096  # members of a list that a task compares at a time
+BLOCK = 4096  # members of a list that a task searches at a time
+CLASS = 10  # sets of more than 2**(CLASS + 1) shingles meet in smaller blocks, by size class
 CELLS_LOG2 = 7
 CELLS = 1 << CELLS_LOG2
 SIEVE_LOG2, SIEVE_PART = 23, 1 << 15  # bits of a sieve (1 MB), and of each of the bitmaps it is gathered in
@@ -115,21 +117,21 @@ def fine_bound(x: bytes, y: bytes) -> int:
 
 
 def measured(k: int):
-    """kind 0: a row's id, set size, key and profiles; kind 1: a block of this task's shingle frequencies."""
+    """kind 0: a row's id, text hash, set size, key and profiles; kind 1: a block of this task's shingle frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "id", "n", "key", "counts", "fine"]
+        names = ["kind", "id", "at", "n", "key", "counts", "fine"]
         for batch in batches:
             data, off = ta.utf8(batch.column(1))
             for lo, hi in slices(off):
                 row, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 sketch += np.bincount((tokens & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), pa.array(np.diff(first)), pa.array(set_keys(tokens, first)), pa.array(profiles(row, tokens, m), pa.binary()), pa.array(fine_profiles(tokens, first), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), pa.array(np.diff(first)), pa.array(set_keys(tokens, first)), pa.array(profiles(row, tokens, m), pa.binary()), pa.array(fine_profiles(tokens, first), pa.binary())], names)
         blocks = [zlib.compress(b.astype("<i8").tobytes(), 1) for b in sketch.reshape(-1, 1 << BLOCK_BITS)] if sketch.any() else []
         m = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.arange(m)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(blocks, pa.binary()), pa.nulls(m, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.arange(m)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(blocks, pa.binary()), pa.nulls(m, pa.binary())], names)
 
     return run
 
@@ -145,9 +147,19 @@ def at_least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def postings(ranks: np.ndarray, buckets: int, k: int, percent: int):
-    """One row per slice and bucket: the prefix shingles that fall to it, packed."""
-    layout = np.dtype([("token", "<u8"), ("set", "<u2"), ("rest", "<u2")])
+def parts_of(counts: np.ndarray) -> np.ndarray:
+    """Over how many parts a list is dealt, by its sketched count. What every cell of a full sketch has doesn't count."""
+    over = np.maximum(counts - 4 * counts.mean(), 0)
+    return np.maximum(np.ceil(over / BLOCK), 1).astype(np.uint32)
+
+
+def part_of(token: np.ndarray, key: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return ta.mix(token ^ ta.mix(key)) % parts.astype(ta.U64)
+
+
+def postings(ranks: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent: int):
+    """One row per slice and bucket: the first shingles of sets that fall to it, packed. ranks, parts: by cell of the sketch."""
+    layout = np.dtype([("token", "<u8"), ("set", "<u2"), ("rest", "<u2"), ("parts", "<u4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,60 +179,67 @@ def postings(ranks: np.ndarray, buckets: int, k: int, percent: int):
                 pos = ta.ranges(length)
                 token = tokens[order[first[row] + pos]]
                 rest = np.minimum(n[row] - pos, FAR)
-                bucket = (ta.mix(token) % ta.U64(buckets)).astype(np.int64)
+                split = parts[(token & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                part = part_of(token, keys[row].view(ta.U64), split)
+                bucket = (ta.mix(token + ta.mix(part)) % ta.U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                row, token, rest, bucket = row[by], token[by], rest[by], bucket[by]
+                row, token, rest, bucket, split = row[by], token[by], rest[by], bucket[by], split[by]
                 found, starts = np.unique(bucket, return_index=True)
                 out = []
                 for b, s, e in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
                     sets, local = np.unique(row[s:e], return_inverse=True)
                     packed = np.empty(e - s, layout)
-                    packed["token"], packed["set"], packed["rest"] = token[s:e], local, rest[s:e]
+                    packed["token"], packed["set"], packed["rest"], packed["parts"] = token[s:e], local, rest[s:e], split[s:e]
                     out.append((b, packed.tobytes(), keys[sets].tobytes(), n[sets].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["bucket", "entries", "keys", "sizes"])
 
     return run, layout
 
 
-LISTS = "kind int, a long, b long, size long, rest long, times long"
+LISTS = "kind int, a long, b long, size long, rest long, times long, part long"
 
 
 def inverted_lists(layout: np.dtype, percent: int):
     """kind 0: a pair met in lists of two; kind 1: neighbours in a longer list; kind 2: a member of a longer list (a: list, b: set)."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, key, size, rest = [], [], [], []
+        token, key, size, rest, parts = [], [], [], [], []
         for e, k, n in zip(*(table[c].to_pylist() for c in ("entries", "keys", "sizes")), strict=True):
             x = np.frombuffer(e, layout)
             token.append(x["token"])
             key.append(np.frombuffer(k, np.int64)[x["set"]])
             size.append(np.frombuffer(n, "<u4")[x["set"]].astype(np.int64))
             rest.append(x["rest"].astype(np.int64))
-        token, key, size, rest = map(np.concatenate, (token, key, size, rest))
+            parts.append(x["parts"])
+        token, key, size, rest, parts = map(np.concatenate, (token, key, size, rest, parts))
         again = np.unique(token, return_counts=True)
-        shared = again[0][again[1] > 1]
-        keep = np.isin(token, shared)
-        token, key, size, rest = token[keep], key[keep], size[keep], rest[keep]
-        order = np.lexsort((key, size, token))
-        token, key, size, rest = token[order], key[order], size[order], rest[order]
+        keep = np.isin(token, again[0][again[1] > 1]) | (parts > 1)
+        token, key, size, rest, parts = token[keep], key[keep], size[keep], rest[keep], parts[keep]
+        part = part_of(token, key.view(ta.U64), parts).astype(np.int64)
+        order = np.lexsort((key, size, part, token))
+        token, key, size, rest, parts, part = token[order], key[order], size[order], rest[order], parts[order], part[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, size, rest = token[new], key[new], size[new], rest[new]
-        _, first, count = np.unique(token, return_index=True, return_counts=True)
-        length = np.repeat(count, count)
-        i = np.flatnonzero(token[1:] == token[:-1]) if len(token) else np.zeros(0, np.int64)
-        can = possible(size[i], size[i + 1], rest[i], rest[i + 1], percent)
-        i = i[can]
-        pairs = np.stack([(length[i] > 2).astype(np.int64), key[i], key[i + 1]], 1)
+        token, key, size, rest, parts, part = token[new], key[new], size[new], rest[new], parts[new], part[new]
+        begins = np.ones(len(token), bool)
+        begins[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(begins)
+        count = np.diff(np.append(first, len(token)))
+        many = (count > 2) | (parts[first] > 1)
+        i = np.flatnonzero(~begins[1:]) if len(token) else first
+        i = i[possible(size[i], size[i + 1], rest[i], rest[i + 1], percent)]
+        pairs = np.stack([np.repeat(many, count)[i].astype(np.int64), key[i], key[i + 1]], 1)
         pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
         # Longer lists with the same members are one list; each member keeps the most it has left in any of them.
-        long_ = np.flatnonzero(count > 2)
+        # Parts of a list that is dealt over several keep its name, and all members: partners may be in another part.
+        long_ = np.flatnonzero(many)
         keyed = np.append(ta.U64(0), np.cumsum(ta.mix(key.view(ta.U64))))
-        same = keyed[first[long_] + count[long_]] - keyed[first[long_]] + count[long_].astype(ta.U64)
-        names, which = np.unique(ta.mix(same), return_inverse=True)
+        same = ta.mix(keyed[first[long_] + count[long_]] - keyed[first[long_]] + count[long_].astype(ta.U64))
+        dealt = parts[first[long_]] > 1
+        name = np.where(dealt, ta.mix(token[first[long_]]), same)
         at = np.repeat(first[long_], count[long_]) + ta.ranges(count[long_])
-        lid = np.repeat(which, count[long_])
-        some = with_partner(first, count, size, rest, percent)[at]
+        lid = np.repeat(name, count[long_])
+        some = with_partner(first, count, size, rest, percent)[at] | np.repeat(dealt, count[long_])
         at, lid = at[some], lid[some]
         by = np.lexsort((-rest[at], key[at], lid))
         at, lid = at[by], lid[by]
@@ -230,11 +249,12 @@ def inverted_lists(layout: np.dtype, percent: int):
         m, z = len(at), np.zeros(len(pairs), np.int64)
         columns = [
             np.append(pairs[:, 0], np.full(m, 2)).astype(np.int32),
-            np.append(pairs[:, 1], names.view(np.int64)[lid]),
+            np.append(pairs[:, 1], lid.view(np.int64)),
             np.append(pairs[:, 2], key[at]),
             np.append(z, size[at]),
             np.append(z, rest[at]),
             np.append(times, np.zeros(m, np.int64)),
+            np.append(z, part[at]),
         ]
         return pa.table(dict(zip((f.split()[0] for f in LISTS.split(", ")), columns, strict=True)))
 
@@ -275,91 +295,124 @@ def possible(m: np.ndarray, n: np.ndarray, rest_m: np.ndarray, rest_n: np.ndarra
     return sizes & (left >= needed(m, n, percent))
 
 
-def pairs_across(percent: int, most: int | None):
-    """Pairs of a list's members in different components that sizes, positions and profiles allow.
-
-    ``most``: per member only so many, those with the most to spare; None: all. A group is one block of a list,
-    or two, of which only pairs between them count.
-    """
+def members_left(percent: int):
+    """Members of a shard that sizes, positions and profiles allow a partner in another component (and block, if there are two)."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, size, rest, comp, block = (table[c].to_numpy() for c in ("key", "size", "rest", "comp", "block"))
+        key, size, rest, comp, block = (table[c].to_numpy() for c in ("key", "size", "rest", "comp", "v"))
         order = np.lexsort((key, size))
         key, size, rest, comp, block = key[order], size[order], rest[order], comp[order], block[order]
-        two = len(block) > 0 and bool((block != block[0]).any())
+        two = bool((block != block[0]).any())
         blobs = table["profile"].to_pylist()
         known = np.array([blobs[i] is not None for i in order.tolist()])
         profile = np.frombuffer(b"".join(blobs[i] or bytes(CELLS) for i in order.tolist()), np.uint8).reshape(-1, CELLS)
-        a, b = [key[:0]], [key[:0]]
+        left = np.zeros(len(key), bool)
         for i in range(len(key)):
             j = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
+            if left[i]:
+                j = j[~left[j]]
             j = j[(comp[j] != comp[i]) & possible(size[i], size[j], rest[i], rest[j], percent)]
             if two:
                 j = j[block[j] != block[i]]
             if len(j):
                 bound = np.where(known[i] & known[j], np.minimum(profile[i], profile[j]).sum(axis=1, dtype=np.int64), size[i])
-                spare = bound - needed(size[i], size[j], percent)
-                j, spare = j[spare >= 0], spare[spare >= 0]
-                if most and len(j) > most:
-                    j = j[np.argpartition(-spare, most - 1)[:most]]
-                a.append(np.full(len(j), key[i]))
-                b.append(key[j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                j = j[bound >= needed(size[i], size[j], percent)]
+                left[j] = True
+                left[i] |= len(j) > 0
+        m = int(left.sum())
+        same = {c: table[c].take(pa.array(np.zeros(m, np.int64))) for c in ("list", "class", "x", "y")}
+        return pa.table(same | {"key": key[left], "comp": comp[left], "v": block[left]})
 
     return run
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], required: np.ndarray) -> np.ndarray:
-    """How many of the query's tokens each candidate has; exact where it reaches what is required, else 0.
+def shard_search(percent: int):
+    """Every set of a shard against the shard's inverted lists: links between sets of different components."""
 
-    The inverted lists run over the candidates. The L longest are not merged, only probed.
-    """
-    counts = np.array([len(c) for c in candidates])
-    tokens, owner = np.concatenate(candidates), np.repeat(np.arange(len(candidates)), counts)
-    at = np.searchsorted(query, tokens)
-    at[at == len(query)] = 0
-    hit = query[at] == tokens
-    at, owner = at[hit], owner[hit]
-    lengths = np.bincount(at, minlength=len(query))
-    least = int(required.min())
-    longest = int(lengths.max(initial=0))
-    skip = min(len(query), max(least - 1, 0), int(least / (0.01 * np.log2(max(longest, 2)) + 1))) if longest > 1 else 0
-    if skip:
-        long_ = np.zeros(len(query), bool)
-        long_[np.argpartition(-lengths, skip - 1)[:skip]] = True
-        merged = np.bincount(owner[~long_[at]], minlength=len(candidates))
-        alive = np.flatnonzero(merged >= required - skip)
-        keys = np.sort(at[long_[at]] * len(candidates) + owner[long_[at]])
-        probe = (np.flatnonzero(long_)[:, None] * len(candidates) + alive).ravel()
-        i = np.searchsorted(keys, probe)
-        found = np.zeros(len(probe), bool)
-        inside = i < len(keys)
-        found[inside] = keys[i[inside]] == probe[inside]
-        out = np.zeros(len(candidates), np.int64)
-        out[alive] = merged[alive] + found.reshape(skip, len(alive)).sum(0)
-    else:
-        out = np.bincount(owner, minlength=len(candidates))
-    return np.where(out >= required, out, 0)
-
-
-def searched(percent: int, block: int = 512):
-    """Rows (a, b, ta, tb) in runs of one a -> the pairs that link."""
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table["tokens"].combine_chunks().cast(pa.large_binary())
+        bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1] // 8
+        tokens = np.frombuffer(blobs.buffers()[2], ta.U64)
+        size = np.diff(bounds)
+        order = np.argsort(size, kind="stable")
+        tokens = tokens[np.repeat(bounds[order], size[order]) + ta.ranges(size[order])]
+        size = size[order]
+        key, comp, block = (table[c].to_numpy()[order] for c in ("key", "comp", "v"))
+        shard = Shard(tokens, size)
+        label = np.unique(comp, return_inverse=True)[1]
+        largest = np.bincount(label).argmax()
+        two = bool((block != block[0]).any())
+        a, b = [], []
+        for q in np.flatnonzero(label != largest).tolist():  # a pair has at least one member outside the largest component
+            may = label != label[q]
+            if two:
+                may &= block != block[q]
+            hits = shard.search(q, may, percent)
+            while len(hits):  # one link for each component met, which is then this one
+                a.append(q)
+                b.append(int(hits[0]))
+                label[label == label[hits[0]]] = label[q]
+                hits = hits[label[hits] != label[q]]
+        return pa.table({"src": pa.array(key[a], pa.int64()), "dst": pa.array(key[b], pa.int64())})
+
+    return run
+
+
+class Shard:
+    """Inverted lists over the sets of a shard, sorted by size. Lists hold members in ascending order."""
+
+    def __init__(self, tokens: np.ndarray, size: np.ndarray):
+        n = len(size)
+        self.size, self.first = size, np.append(0, np.cumsum(size))
+        owner = np.repeat(np.arange(n), size)
+        names, self.token = np.unique(tokens, return_inverse=True)
+        order = np.argsort(self.token, kind="stable")
+        self.members = owner[order]
+        self.length = np.bincount(self.token, minlength=len(names))
+        self.start = np.append(0, np.cumsum(self.length))
+        self.postings = self.token[order] * n + self.members  # ascending: a list is probed by binary search in it
+
+    def search(self, q: int, may: np.ndarray, percent: int) -> np.ndarray:
+        """Members among ``may`` that link with member q, by DivideSkip."""
+        n, size = int(self.size[q]), self.size
+        lo, hi = np.searchsorted(size, [-(-n * percent // 100), n * 100 // percent + 1])
+        may = may[lo:hi]
+        if not may.any():
+            return np.zeros(0, np.int64)
+        required = needed(np.int64(n), size[lo:hi], percent)
+        mine = self.token[self.first[q] : self.first[q + 1]]
+        mine = mine[self.length[mine] > 1]  # a list of q alone has no candidate
+        least = int(required[0])
+        if len(mine) < least:
+            return np.zeros(0, np.int64)
+        length = self.length[mine]
+        skip = min(least - 1, int(least / (0.01 * np.log2(length.max()) + 1)))
+        by = np.argpartition(length, len(mine) - skip - 1) if skip else np.arange(len(mine))
+        short, long_ = mine[by[: len(mine) - skip]], mine[by[len(mine) - skip :]]
+        met = self.members[np.repeat(self.start[short], self.length[short]) + ta.ranges(self.length[short])] - lo
+        met = met[(met >= 0) & (met < hi - lo)]
+        count = np.bincount(met, minlength=hi - lo)
+        alive = np.flatnonzero(may & (count >= required - skip))
+        if len(alive) and skip:
+            probe = long_[:, None] * len(size) + (alive + lo)
+            i = np.searchsorted(self.postings, probe)
+            i[i == len(self.postings)] = 0
+            count[alive] += (self.postings[i] == probe).sum(axis=0)
+        return alive[count[alive] >= required[alive]] + lo
+
+
+def searched(percent: int):
+    """Rows (a, b, ta, tb) -> the pairs that link: one query each, probed in the other's sorted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-            for s, e in zip(cuts, cuts[1:]):
-                for lo in range(s, e, block):
-                    hi = min(e, lo + block)
-                    query = np.frombuffer(batch.column(2)[lo].as_buffer(), ta.U64)
-                    others = [np.frombuffer(batch.column(3)[i].as_buffer(), ta.U64) for i in range(lo, hi)]
-                    n = np.array([len(o) for o in others])
-                    shared = divide_skip(query, others, needed(np.full(len(n), len(query)), n, percent))
-                    ok = (shared > 0) & (shared * 100 >= percent * (len(query) + n - shared))
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(a[lo:hi][ok]), pa.array(b[lo:hi][ok])], ["src", "dst"])
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = sorted((np.frombuffer(batch.column(c)[i].as_buffer(), ta.U64) for c in (2, 3)), key=len)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                ok[i] = int((y[at] == x).sum()) >= needed(np.int64(len(x)), np.int64(len(y)), percent)
+            yield batch.select([0, 1]).filter(pa.array(ok)).rename_columns(["src", "dst"])
 
     return run
 
@@ -416,28 +469,17 @@ def in_sieve(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def sifted(bits: np.ndarray):
-    """Rows (..., bit) whose bit is set, without that column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last = batch.num_columns - 1
-            yield batch.select(list(range(last))).filter(pa.array(in_sieve(bits, batch.column(last).to_numpy())))
-
-    return run
-
-
 def tokens_of(k: int, bits: np.ndarray):
-    """(doc_id, key, tokens) of rows (doc_id, text, bit) whose bit is set."""
+    """(key, tokens) of rows (text, bit) whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_sieve(bits, batch.column(2).to_numpy())))
-            data, off = ta.utf8(batch.column(1))
+            batch = batch.filter(pa.array(in_sieve(bits, batch.column(1).to_numpy())))
+            data, off = ta.utf8(batch.column(0))
             for lo, hi in slices(off):
                 _, tokens, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 blobs = [tokens[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_keys(tokens, first)), pa.array(blobs, pa.binary())], ["doc_id", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(tokens, first)), pa.array(blobs, pa.binary())], ["key", "tokens"])
 
     return run
 
@@ -446,18 +488,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     at = scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    first = written(docs.mapInArrow(measured(words), "kind int, id long, n long, key long, counts binary, fine binary"), f"{at}/measured")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("at"))
+    first = written(docs.mapInArrow(measured(words), "kind int, id long, at long, n long, key long, counts binary, fine binary"), f"{at}/measured")
     rows = first.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "key")
     blocks = first.filter("kind = 1").groupBy("id").applyInArrow(sum_blocks, "id long, counts binary").collect()  # 2**20 counts in all
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(blocks, key=lambda r: r["id"])]) if blocks else np.zeros(1 << SKETCH_BITS, np.int64)
     ranks = np.unique(counts, return_inverse=True)[1].astype(np.uint32)  # whatever the counts, a rank has 20 bits
-    run, layout = postings(ranks, shuffle_partitions(spark), words, percent)
+    run, layout = postings(ranks, parts_of(counts), shuffle_partitions(spark), words, percent)
     packed = docs.select("text").mapInArrow(run, "bucket long, entries binary, keys binary, sizes binary")
     lists = written(packed.groupBy("bucket").applyInArrow(inverted_lists(layout, percent), LISTS), f"{at}/lists")
-    sets_seen = first.filter("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("profile"), F.first("fine").alias("fine"))
+    # A set's figures follow from its key; texts with one set may differ, and the one with the smallest hash is read again.
+    sets_seen = first.filter("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("counts").alias("profile"), F.first("fine").alias("fine"))
     reps = written(sets_seen, f"{at}/reps")
-    free_shuffles(spark)
 
     def pruned(pairs: DataFrame, name: str) -> DataFrame:
         """pairs(a, b, ...) without those that profiles rule out."""
@@ -465,82 +507,82 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         b = pairs.join(reps.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")), "b")
         both = b.join(reps.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a")
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-        out = written(both.select(*cols, "na", "nb", "pa", "pb").mapInArrow(not_ruled_out(percent), schema), f"{at}/{name}")
-        free_shuffles(spark)
-        return out
-
-    def token_sets(pairs: DataFrame, name: str) -> DataFrame:
-        """(key, tokens) of all sets in pairs: one pass over the texts of their documents."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        ids = written(reps.join(wanted, "key").select(F.col("rep").alias("doc_id"), "key"), f"{at}/{name}-ids")
-        read = docs.filter("doc_id is not null").select("doc_id", "text", sieve_bit("doc_id").alias("bit"))
-        some = read.mapInArrow(tokens_of(words, sieve(ids, "doc_id")), "doc_id long, key long, tokens binary")
-        # Rows may repeat an id, with one text or several; a set is wanted once.
-        out = written(some.join(ids, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "tokens"), f"{at}/{name}")
-        free_shuffles(spark)
-        return out
+        return written(both.select(*cols, "na", "nb", "pa", "pb").mapInArrow(not_ruled_out(percent), schema), f"{at}/{name}")
+
+    def token_sets(keys: DataFrame, name: str) -> DataFrame:
+        """(key, tokens) of the sets in keys(key): one pass over the texts."""
+        wanted = written(reps.join(keys, "key", "left_semi").select("key", "at"), f"{at}/{name}-keys")
+        some = docs.select("text", sieve_bit("at").alias("bit")).mapInArrow(tokens_of(words, sieve(wanted, "at")), "key long, tokens binary")
+        # Rows may repeat a text; a set is wanted once.
+        return written(some.join(wanted, "key", "left_semi").dropDuplicates(["key"]), f"{at}/{name}")
 
     def narrowed(pairs: DataFrame, name: str) -> DataFrame:
         """pairs(a, b) without those that fine profiles rule out."""
         of = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "fa", "fb")
-        out = written(both.mapInArrow(finely_possible(percent), "a long, b long"), f"{at}/{name}")
-        free_shuffles(spark)
-        return out
+        return written(both.mapInArrow(finely_possible(percent), "a long, b long"), f"{at}/{name}")
 
     def linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        bits = sieve(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
-        sets = sets.select("key", "tokens", sieve_bit("key").alias("bit")).mapInArrow(sifted(bits), "key long, tokens binary")
-        b = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+        b = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
         both = b.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-        out = written(both.select("a", "b", "ta", "tb").mapInArrow(searched(percent), "src long, dst long"), f"{at}/{name}")
-        free_shuffles(spark)
-        return out
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(searched(percent), "src long, dst long"), f"{at}/{name}")
 
     met = pruned(lists.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.sum("times").alias("times")), "met")
-    members = lists.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("key"), "size", "rest")
     best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-    n_members, parts, sets, links = members.count(), None, None, None
-
-    def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
-        if parts is None:
-            return df.withColumn(out, F.col(key))
-        return df.join(parts.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
-
-    # Rounds of a few pairs a member join what they can; when they find little more, all pairs still open are searched.
-    k, last = 0, False
-    while True:
-        tagged = labelled(members, "key", "comp")
-        mixed = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / float(BLOCK)).alias("blocks")).filter("lo < hi").select("list", "blocks")
-        tagged = tagged.join(mixed, "list").join(reps.select("key", "profile"), "key").withColumn("block", F.pmod(F.xxhash64("key", F.lit(k)), F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)) if last else F.col("block")
-        dealt = tagged.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-        open_ = dealt.groupBy("list", "x", "y").applyInArrow(pairs_across(percent, None if last else 2), "a long, b long")
-        if k == 0:
-            open_ = open_.unionByName(met.filter("kind = 0").select("a", "b")).unionByName(best)
-        open_ = narrowed(open_.distinct(), f"open-{k}")
-        lacking = open_.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-        if sets is not None:
-            lacking = lacking.join(sets.select(F.col("key").alias("a")), "a", "left_anti")
-        if sets is None or lacking.limit(1).count():
-            more = token_sets(lacking.withColumn("b", F.col("a")), f"sets-{k}")
-            sets = more if sets is None else sets.unionByName(more)
-        new = linked(open_, sets, f"links-{k}")
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        if last:
+    near = narrowed(met.filter("kind = 0").select("a", "b").unionByName(best).distinct(), "near")
+    sets = token_sets(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "sets-0")
+    links = linked(near, sets, "links-0")
+    parts = connected_components(links)
+    members = lists.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("key"), "size", "rest", "part")
+
+    for k, across in ((1, False), (2, True)):
+        shards = shards_of(members, parts, across)
+        if across and not shards.limit(1).count():
             break
-        parts = written(connected_components(links), f"{at}/parts-{k}")
-        last, k = found * 100 <= n_members or k > 0 and not found, k + 1
-    final = connected_components(links)
-    for name in ["lists", "met", *(f"{n}-{i}" for n in ("parts", "open", "links", "sets") for i in range(k + 1)), *(f"sets-{i}-ids" for i in range(k + 1))]:
-        remove(spark, f"{at}/{name}")
-
-    nodes = reps.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+        left = shards.join(reps.select("key", "profile"), "key").groupBy("list", "class", "x", "y").applyInArrow(members_left(percent), "list long, class int, x long, y long, key long, comp long, v long")
+        left = written(left, f"{at}/left-{k}")
+        lacking = left.select("key").distinct().join(sets.select("key"), "key", "left_anti")
+        sets = sets.unionByName(token_sets(lacking, f"sets-{k}"))
+        found = left.join(sets, "key").groupBy("list", "class", "x", "y").applyInArrow(shard_search(percent), "src long, dst long")
+        links = links.unionByName(written(found.distinct(), f"{at}/links-{k}"))
+        parts = connected_components(links)
+
+    nodes = reps.select("key", "rep").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
     smallest = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = nodes.join(smallest, "root").select("key", "component_id")
     done = rows.join(known, "key", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def shards_of(members: DataFrame, parts: DataFrame, across: bool) -> DataFrame:
+    """Members of lists that lie in several components, by shard: (list, class, x, y). x = y is one block, else two.
+
+    Parts of a list make blocks of about BLOCK members. Sets of a larger size class share out each block once more, so
+    that a shard's sets have a bounded size in all; sets that may link with the next class are in that one as well.
+    """
+    comps = parts.select(F.col("node").alias("key"), F.col("component").alias("_c"))
+    tagged = members.join(comps, "key", "left").withColumn("comp", F.coalesce("_c", "key")).drop("_c")
+    per_list = Window.partitionBy("list")
+    blocks = (
+        tagged.groupBy("list", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .withColumn("mixed", F.min("lo").over(per_list) < F.max("hi").over(per_list))
+        .withColumn("block", F.floor((F.sum("n").over(per_list.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / BLOCK))
+        .filter("mixed").select("list", "part", "block")
+    )
+    size_class = F.greatest(F.lit(CLASS), F.floor(F.log2("size"))).cast("int")
+    next_too = F.col("size") * 4 >= F.lit(3) * F.pow(F.lit(2.0), F.col("own") + 1)
+    share = F.pow(F.lit(2.0), F.col("class") - CLASS).cast("long")
+    placed = (
+        tagged.join(blocks, ["list", "part"]).withColumn("own", size_class)
+        .withColumn("class", F.explode(F.when(next_too, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
+        .withColumn("v", F.col("block") * share + F.pmod(F.xxhash64("key"), share))
+        .select("list", "class", "v", "key", "size", "rest", "comp")
+    )
+    if not across:
+        return placed.withColumn("x", F.col("v")).withColumn("y", F.col("v"))
+    there = placed.select("list", "class", "v").distinct()
+    grid = there.withColumnRenamed("v", "x").join(there.withColumnRenamed("v", "y"), ["list", "class"]).filter("x < y")
+    return placed.join(grid.withColumn("v", F.explode(F.array("x", "y"))), ["list", "class", "v"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

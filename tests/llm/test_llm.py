@@ -153,14 +153,44 @@ def test_ngram_jaccard_on_many_near_copies(spark):
     assert got == brute_jaccard(rows)
 
 
-def test_divide_skip_counts():
+def test_divide_skip_searches_a_shard():
     rng = np.random.default_rng(2)
-    for _ in range(200):
-        q = np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64))
-        cands = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(rng.integers(1, 9))]
-        need = rng.integers(1, 20, len(cands))
-        want = [len(np.intersect1d(q, c)) for c in cands]
-        assert jaccard.divide_skip(q, cands, need).tolist() == [w if w >= n else 0 for w, n in zip(want, need)]
+    base = rng.choice(400, 120, replace=False)
+    sets = [np.unique(np.where(rng.random(120) < p, rng.integers(0, 4000, 120), base)).astype(np.uint64) for p in rng.choice([0.02, 0.05, 0.1, 0.5], 150)]
+    sets = sorted([*sets, *(s[:3] for s in sets[:5]), *(s[:1] for s in sets[:5])], key=len)
+    shard = jaccard.Shard(np.concatenate(sets), np.array([len(s) for s in sets]))
+    as_sets = [set(s.tolist()) for s in sets]
+    found = 0
+    for q, x in enumerate(as_sets):
+        may = (rng.random(len(sets)) < 0.9) & (np.arange(len(sets)) != q)
+        want = [i for i, y in enumerate(as_sets) if may[i] and 100 * len(x & y) >= 75 * len(x | y)]
+        assert shard.search(q, may, 75).tolist() == want
+        found += len(want)
+    assert found > 500
+
+
+def test_ngram_jaccard_in_many_parts_and_blocks(spark, monkeypatch):
+    """Lists dealt over parts, shards of a few members, block against block; families on both sides of the threshold."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "CLASS", 4)
+    rng = random.Random(8)
+    rows = []
+    for f in range(4):
+        words = [f"w{f}x{rng.randrange(500)}" for _ in range(90 + 60 * f)]
+        for i in range(25):
+            w = list(words)
+            for j in range(rng.choice([0, 1, 2, 4, 5, 6])):
+                w[rng.randrange(len(w))] = f"z{f}q{i}q{j}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_ngram_jaccard_links_rows_without_an_id(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(80)) for p in "ab")
+    rows = [(None, a + " tail"), (5, a), (None, b), (None, b + " tail"), (9, "other words only here today"), (7, a + " tail")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 5), (5, 5), (7, 5), (None, None), (None, None), (9, 9)], key=str)
 
 
 def test_components(spark):
