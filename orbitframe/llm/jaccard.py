@@ -11,9 +11,9 @@ here is by a sketch of shingle frequencies of fixed size, rarest first, so text
 3. Sets that are neighbours by size in a list are searched for each other first, each set for the one it meets most
    often. That joins most groups of copies, at one pair a set. Profiles (how many shingles fall to each of CELLS hash
    cells; for large sets, to cells that grow with the set) rule most other pairs out before any set travels.
-4. What is left are lists whose members lie in several components. Such a list is a shard: its members come together
-   in blocks of about BLOCK (fewer for large sets), block by block, then block against block. In a shard every set
-   is a query against the inverted lists of all the shard's sets: the short lists are merged, the L longest are only
+4. What is left are lists whose members lie in several components. Those with the same smallest member are a shard:
+   their members come together in blocks of about BLOCK (fewer for large sets), block by block, then block against
+   block. In a shard every set is a query against the inverted lists of all the shard's sets: the short lists are merged, the L longest are only
    probed, by binary search, for candidates whose merged count reaches T - L. A candidate is a result when it reaches
    T, and only one result is given for two components that meet: rows grow with members, never with pairs.
    Members that no profile allows any partner in another component stay away from the search.
@@ -46,6 +46,7 @@ TOKEN_BITS, SKETCH_BITS, BLOCK_BITS = 52, 20, 14
 MASK = ta.U64((1 << TOKEN_BITS) - 1)
 FAR = 0xFFFF
 BLOCK = 4096  # members of a list that a task searches at a time
+PIECES = 64  # in which the members of a shard are counted
 CLASS = 10  # sets of more than 2**(CLASS + 1) shingles meet in smaller blocks, by size class
 CELLS_LOG2 = 7
 CELLS = 1 << CELLS_LOG2
@@ -320,7 +321,7 @@ def members_left(percent: int):
                 left[j] = True
                 left[i] |= len(j) > 0
         m = int(left.sum())
-        same = {c: table[c].take(pa.array(np.zeros(m, np.int64))) for c in ("list", "class", "x", "y")}
+        same = {c: table[c].take(pa.array(np.zeros(m, np.int64))) for c in ("shard", "class", "x", "y")}
         return pa.table(same | {"key": key[left], "comp": comp[left], "v": block[left]})
 
     return run
@@ -539,11 +540,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         shards = shards_of(members, parts, across)
         if across and not shards.limit(1).count():
             break
-        left = shards.join(reps.select("key", "profile"), "key").groupBy("list", "class", "x", "y").applyInArrow(members_left(percent), "list long, class int, x long, y long, key long, comp long, v long")
+        left = shards.join(reps.select("key", "profile"), "key").groupBy("shard", "class", "x", "y").applyInArrow(members_left(percent), "shard long, class int, x long, y long, key long, comp long, v long")
         left = written(left, f"{at}/left-{k}")
         lacking = left.select("key").distinct().join(sets.select("key"), "key", "left_anti")
         sets = sets.unionByName(token_sets(lacking, f"sets-{k}"))
-        found = left.join(sets, "key").groupBy("list", "class", "x", "y").applyInArrow(shard_search(percent), "src long, dst long")
+        found = left.join(sets, "key").groupBy("shard", "class", "x", "y").applyInArrow(shard_search(percent), "src long, dst long")
         links = links.unionByName(written(found.distinct(), f"{at}/links-{k}"))
         parts = connected_components(links)
 
@@ -555,34 +556,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def shards_of(members: DataFrame, parts: DataFrame, across: bool) -> DataFrame:
-    """Members of lists that lie in several components, by shard: (list, class, x, y). x = y is one block, else two.
+    """Members of lists that lie in several components, by shard: (shard, class, x, y). x = y is one block, else two.
 
-    Parts of a list make blocks of about BLOCK members. Sets of a larger size class share out each block once more, so
-    that a shard's sets have a bounded size in all; sets that may link with the next class are in that one as well.
+    Lists with the same smallest member share a shard, in which a set is once, in whatever number of the lists it is:
+    copies of one text have most lists in common. A shard makes blocks of about BLOCK members. Sets of a larger size
+    class share out each block once more, so that a task's sets have a bounded size in all; sets that may link with
+    the next class are in that one as well.
     """
     comps = parts.select(F.col("node").alias("key"), F.col("component").alias("_c"))
     tagged = members.join(comps, "key", "left").withColumn("comp", F.coalesce("_c", "key")).drop("_c")
-    per_list = Window.partitionBy("list")
-    blocks = (
-        tagged.groupBy("list", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .withColumn("mixed", F.min("lo").over(per_list) < F.max("hi").over(per_list))
-        .withColumn("block", F.floor((F.sum("n").over(per_list.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / BLOCK))
-        .filter("mixed").select("list", "part", "block")
+    per = Window.partitionBy
+    mixed = (
+        tagged.groupBy("list", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("least"))
+        .withColumn("mixed", F.min("lo").over(per("list")) < F.max("hi").over(per("list"))).withColumn("shard", F.min("least").over(per("list")))
+        .filter("mixed").select("list", "part", "shard")
     )
-    size_class = F.greatest(F.lit(CLASS), F.floor(F.log2("size"))).cast("int")
+    once = tagged.join(mixed, ["list", "part"]).groupBy("shard", "key").agg(F.first("size").alias("size"), F.first("comp").alias("comp"), F.max("rest").alias("rest"))
+    once = once.withColumn("piece", F.pmod(F.xxhash64("key"), F.lit(PIECES)))
+    sizes = once.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.sum("n").over(per("shard")) / F.lit(float(BLOCK)))).select("shard", "piece", "blocks")
+    own = F.greatest(F.lit(CLASS), F.floor(F.log2("size"))).cast("int")
     next_too = F.col("size") * 4 >= F.lit(3) * F.pow(F.lit(2.0), F.col("own") + 1)
-    share = F.pow(F.lit(2.0), F.col("class") - CLASS).cast("long")
+    all_blocks = (F.col("blocks") * F.pow(F.lit(2.0), F.col("class") - CLASS)).cast("long")
     placed = (
-        tagged.join(blocks, ["list", "part"]).withColumn("own", size_class)
+        once.join(sizes, ["shard", "piece"]).withColumn("own", own)
         .withColumn("class", F.explode(F.when(next_too, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
-        .withColumn("v", F.col("block") * share + F.pmod(F.xxhash64("key"), share))
-        .select("list", "class", "v", "key", "size", "rest", "comp")
+        .withColumn("v", F.pmod(F.xxhash64("key", F.lit(1)), all_blocks)).select("shard", "class", "v", "key", "size", "rest", "comp")
     )
     if not across:
         return placed.withColumn("x", F.col("v")).withColumn("y", F.col("v"))
-    there = placed.select("list", "class", "v").distinct()
-    grid = there.withColumnRenamed("v", "x").join(there.withColumnRenamed("v", "y"), ["list", "class"]).filter("x < y")
-    return placed.join(grid.withColumn("v", F.explode(F.array("x", "y"))), ["list", "class", "v"])
+    there = placed.select("shard", "class", "v").distinct()
+    grid = there.withColumnRenamed("v", "x").join(there.withColumnRenamed("v", "y"), ["shard", "class"]).filter("x < y")
+    return placed.join(grid.withColumn("v", F.explode(F.array("x", "y"))), ["shard", "class", "v"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
