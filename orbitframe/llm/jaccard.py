@@ -12,7 +12,7 @@ here is by a sketch of shingle frequencies of fixed size, rarest first, so text
    often. That joins most groups of copies, at one pair a set. Profiles (how many shingles fall to each of CELLS hash
    cells; for large sets, to cells that grow with the set) rule most other pairs out before any set travels.
 4. What is left are lists whose members lie in several components. Those with the same smallest member are a shard:
-   their members come together in blocks of about BLOCK (fewer for large sets), block by block, then block against
+   their members come together in blocks of bounded size, block by block, then block against
    block. In a shard every set is a query against the inverted lists of all the shard's sets: the short lists are merged, the L longest are only
    probed, by binary search, for candidates whose merged count reaches T - L. A candidate is a result when it reaches
    T, and only one result is given for two components that meet: rows grow with members, never with pairs.
@@ -45,9 +45,8 @@ WORDS, PERCENT = 5, 75
 TOKEN_BITS, SKETCH_BITS, BLOCK_BITS = 52, 20, 14
 MASK = ta.U64((1 << TOKEN_BITS) - 1)
 FAR = 0xFFFF
-BLOCK = 4096  # members of a list that a task searches at a time
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22  # members of a shard, and their shingles, that a task searches at a time (against as many)
 PIECES = 64  # in which the members of a shard are counted
-CLASS = 10  # sets of more than 2**(CLASS + 1) shingles meet in smaller blocks, by size class
 CELLS_LOG2 = 7
 CELLS = 1 << CELLS_LOG2
 SIEVE_LOG2, SIEVE_PART = 23, 1 << 15  # bits of a sieve (1 MB), and of each of the bitmaps it is gathered in
@@ -148,19 +147,27 @@ def at_least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def parts_of(counts: np.ndarray) -> np.ndarray:
+class Parts:
     """Over how many parts a list is dealt, by its sketched count. What every cell of a full sketch has doesn't count."""
-    over = np.maximum(counts - 4 * counts.mean(), 0)
-    return np.maximum(np.ceil(over / BLOCK), 1).astype(np.uint32)
+
+    def __init__(self, counts: np.ndarray):
+        parts = np.ceil(np.maximum(counts - 4 * counts.mean(), 0) / BLOCK).astype(ta.U64)
+        self.cells = np.flatnonzero(parts > 1)
+        self.parts = np.append(parts[self.cells], ta.U64(1))
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        cell = (tokens & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+        i = np.searchsorted(self.cells, cell)
+        return self.parts[np.where(np.append(self.cells, -1)[i] == cell, i, len(self.cells))]
 
 
 def part_of(token: np.ndarray, key: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    return ta.mix(token ^ ta.mix(key)) % parts.astype(ta.U64)
+    return ta.mix(token ^ ta.mix(key)) % parts
 
 
-def postings(ranks: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent: int):
-    """One row per slice and bucket: the first shingles of sets that fall to it, packed. ranks, parts: by cell of the sketch."""
-    layout = np.dtype([("token", "<u8"), ("set", "<u2"), ("rest", "<u2"), ("parts", "<u4")])
+def postings(ranks: np.ndarray, parts: Parts, buckets: int, k: int, percent: int):
+    """One row per slice and bucket: the first shingles of sets that fall to it, packed. ranks: by cell of the sketch."""
+    layout = np.dtype([("token", "<u8"), ("set", "<u2"), ("rest", "<u2")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,17 +187,16 @@ def postings(ranks: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent
                 pos = ta.ranges(length)
                 token = tokens[order[first[row] + pos]]
                 rest = np.minimum(n[row] - pos, FAR)
-                split = parts[(token & ta.U64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                part = part_of(token, keys[row].view(ta.U64), split)
+                part = part_of(token, keys[row].view(ta.U64), parts.of(token))
                 bucket = (ta.mix(token + ta.mix(part)) % ta.U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                row, token, rest, bucket, split = row[by], token[by], rest[by], bucket[by], split[by]
+                row, token, rest, bucket = row[by], token[by], rest[by], bucket[by]
                 found, starts = np.unique(bucket, return_index=True)
                 out = []
                 for b, s, e in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
                     sets, local = np.unique(row[s:e], return_inverse=True)
                     packed = np.empty(e - s, layout)
-                    packed["token"], packed["set"], packed["rest"], packed["parts"] = token[s:e], local, rest[s:e], split[s:e]
+                    packed["token"], packed["set"], packed["rest"] = token[s:e], local, rest[s:e]
                     out.append((b, packed.tobytes(), keys[sets].tobytes(), n[sets].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["bucket", "entries", "keys", "sizes"])
 
@@ -200,19 +206,19 @@ def postings(ranks: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent
 LISTS = "kind int, a long, b long, size long, rest long, times long, part long"
 
 
-def inverted_lists(layout: np.dtype, percent: int):
+def inverted_lists(layout: np.dtype, dealt_over: Parts, percent: int):
     """kind 0: a pair met in lists of two; kind 1: neighbours in a longer list; kind 2: a member of a longer list (a: list, b: set)."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, key, size, rest, parts = [], [], [], [], []
+        token, key, size, rest = [], [], [], []
         for e, k, n in zip(*(table[c].to_pylist() for c in ("entries", "keys", "sizes")), strict=True):
             x = np.frombuffer(e, layout)
             token.append(x["token"])
             key.append(np.frombuffer(k, np.int64)[x["set"]])
             size.append(np.frombuffer(n, "<u4")[x["set"]].astype(np.int64))
             rest.append(x["rest"].astype(np.int64))
-            parts.append(x["parts"])
-        token, key, size, rest, parts = map(np.concatenate, (token, key, size, rest, parts))
+        token, key, size, rest = map(np.concatenate, (token, key, size, rest))
+        parts = dealt_over.of(token)
         again = np.unique(token, return_counts=True)
         keep = np.isin(token, again[0][again[1] > 1]) | (parts > 1)
         token, key, size, rest, parts = token[keep], key[keep], size[keep], rest[keep], parts[keep]
@@ -321,7 +327,7 @@ def members_left(percent: int):
                 left[j] = True
                 left[i] |= len(j) > 0
         m = int(left.sum())
-        same = {c: table[c].take(pa.array(np.zeros(m, np.int64))) for c in ("shard", "class", "x", "y")}
+        same = {c: table[c].take(pa.array(np.zeros(m, np.int64))) for c in ("shard", "x", "y")}
         return pa.table(same | {"key": key[left], "comp": comp[left], "v": block[left]})
 
     return run
@@ -495,9 +501,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks = first.filter("kind = 1").groupBy("id").applyInArrow(sum_blocks, "id long, counts binary").collect()  # 2**20 counts in all
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(blocks, key=lambda r: r["id"])]) if blocks else np.zeros(1 << SKETCH_BITS, np.int64)
     ranks = np.unique(counts, return_inverse=True)[1].astype(np.uint32)  # whatever the counts, a rank has 20 bits
-    run, layout = postings(ranks, parts_of(counts), shuffle_partitions(spark), words, percent)
+    parts = Parts(counts)
+    run, layout = postings(ranks, parts, shuffle_partitions(spark), words, percent)
     packed = docs.select("text").mapInArrow(run, "bucket long, entries binary, keys binary, sizes binary")
-    lists = written(packed.groupBy("bucket").applyInArrow(inverted_lists(layout, percent), LISTS), f"{at}/lists")
+    lists = written(packed.groupBy("bucket").applyInArrow(inverted_lists(layout, parts, percent), LISTS), f"{at}/lists")
     # A set's figures follow from its key; texts with one set may differ, and the one with the smallest hash is read again.
     sets_seen = first.filter("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("counts").alias("profile"), F.first("fine").alias("fine"))
     reps = written(sets_seen, f"{at}/reps")
@@ -511,11 +518,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return written(both.select(*cols, "na", "nb", "pa", "pb").mapInArrow(not_ruled_out(percent), schema), f"{at}/{name}")
 
     def token_sets(keys: DataFrame, name: str) -> DataFrame:
-        """(key, tokens) of the sets in keys(key): one pass over the texts."""
+        """(key, tokens) of the sets in keys(key), and maybe of others: one pass over the texts, dealt by key."""
         wanted = written(reps.join(keys, "key", "left_semi").select("key", "at"), f"{at}/{name}-keys")
         some = docs.select("text", sieve_bit("at").alias("bit")).mapInArrow(tokens_of(words, sieve(wanted, "at")), "key long, tokens binary")
-        # Rows may repeat a text; a set is wanted once.
-        return written(some.join(wanted, "key", "left_semi").dropDuplicates(["key"]), f"{at}/{name}")
+        return some.dropDuplicates(["key"])  # rows may repeat a text; a set is wanted once
 
     def narrowed(pairs: DataFrame, name: str) -> DataFrame:
         """pairs(a, b) without those that fine profiles rule out."""
@@ -531,39 +537,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     met = pruned(lists.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.sum("times").alias("times")), "met")
     best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     near = narrowed(met.filter("kind = 0").select("a", "b").unionByName(best).distinct(), "near")
-    sets = token_sets(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "sets-0")
+    sets = written(token_sets(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-sets"), f"{at}/sets-0")
     links = linked(near, sets, "links-0")
-    parts = connected_components(links)
+    comps = connected_components(links)
     members = lists.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("key"), "size", "rest", "part")
 
     for k, across in ((1, False), (2, True)):
-        shards = shards_of(members, parts, across)
+        shards = shards_of(members, comps, across)
         if across and not shards.limit(1).count():
             break
-        left = shards.join(reps.select("key", "profile"), "key").groupBy("shard", "class", "x", "y").applyInArrow(members_left(percent), "shard long, class int, x long, y long, key long, comp long, v long")
+        left = shards.join(reps.select("key", "profile"), "key").groupBy("shard", "x", "y").applyInArrow(members_left(percent), "shard long, x long, y long, key long, comp long, v long")
         left = written(left, f"{at}/left-{k}")
-        lacking = left.select("key").distinct().join(sets.select("key"), "key", "left_anti")
-        sets = sets.unionByName(token_sets(lacking, f"sets-{k}"))
-        found = left.join(sets, "key").groupBy("shard", "class", "x", "y").applyInArrow(shard_search(percent), "src long, dst long")
+        sets = token_sets(left.select("key").distinct(), f"sets-{k}")
+        found = left.join(sets, "key").groupBy("shard", "x", "y").applyInArrow(shard_search(percent), "src long, dst long")
         links = links.unionByName(written(found.distinct(), f"{at}/links-{k}"))
-        parts = connected_components(links)
+        comps = connected_components(links)
 
-    nodes = reps.select("key", "rep").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    nodes = reps.select("key", "rep").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
     smallest = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = nodes.join(smallest, "root").select("key", "component_id")
     done = rows.join(known, "key", "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def shards_of(members: DataFrame, parts: DataFrame, across: bool) -> DataFrame:
-    """Members of lists that lie in several components, by shard: (shard, class, x, y). x = y is one block, else two.
+def shards_of(members: DataFrame, components: DataFrame, across: bool) -> DataFrame:
+    """Members of lists that lie in several components, by shard: (shard, x, y). x = y is one block, else two.
 
     Lists with the same smallest member share a shard, in which a set is once, in whatever number of the lists it is:
-    copies of one text have most lists in common. A shard makes blocks of about BLOCK members. Sets of a larger size
-    class share out each block once more, so that a task's sets have a bounded size in all; sets that may link with
-    the next class are in that one as well.
+    copies of one text have most lists in common. A shard makes blocks of about BLOCK members and BLOCK_SHINGLES
+    shingles at most, so that what a task holds is bounded.
     """
-    comps = parts.select(F.col("node").alias("key"), F.col("component").alias("_c"))
+    comps = components.select(F.col("node").alias("key"), F.col("component").alias("_c"))
     tagged = members.join(comps, "key", "left").withColumn("comp", F.coalesce("_c", "key")).drop("_c")
     per = Window.partitionBy
     mixed = (
@@ -573,20 +577,14 @@ def shards_of(members: DataFrame, parts: DataFrame, across: bool) -> DataFrame:
     )
     once = tagged.join(mixed, ["list", "part"]).groupBy("shard", "key").agg(F.first("size").alias("size"), F.first("comp").alias("comp"), F.max("rest").alias("rest"))
     once = once.withColumn("piece", F.pmod(F.xxhash64("key"), F.lit(PIECES)))
-    sizes = once.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.sum("n").over(per("shard")) / F.lit(float(BLOCK)))).select("shard", "piece", "blocks")
-    own = F.greatest(F.lit(CLASS), F.floor(F.log2("size"))).cast("int")
-    next_too = F.col("size") * 4 >= F.lit(3) * F.pow(F.lit(2.0), F.col("own") + 1)
-    all_blocks = (F.col("blocks") * F.pow(F.lit(2.0), F.col("class") - CLASS)).cast("long")
-    placed = (
-        once.join(sizes, ["shard", "piece"]).withColumn("own", own)
-        .withColumn("class", F.explode(F.when(next_too, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
-        .withColumn("v", F.pmod(F.xxhash64("key", F.lit(1)), all_blocks)).select("shard", "class", "v", "key", "size", "rest", "comp")
-    )
+    whole = lambda x: F.ceil(F.sum(x).over(per("shard")) / F.lit(float(BLOCK if x == "n" else BLOCK_SHINGLES)))
+    sizes = once.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).select("shard", "piece", F.greatest(whole("n"), whole("shingles")).alias("blocks"))
+    placed = once.join(sizes, ["shard", "piece"]).withColumn("v", F.pmod(F.xxhash64("key", F.lit(1)), "blocks")).select("shard", "v", "key", "size", "rest", "comp")
     if not across:
         return placed.withColumn("x", F.col("v")).withColumn("y", F.col("v"))
-    there = placed.select("shard", "class", "v").distinct()
-    grid = there.withColumnRenamed("v", "x").join(there.withColumnRenamed("v", "y"), ["shard", "class"]).filter("x < y")
-    return placed.join(grid.withColumn("v", F.explode(F.array("x", "y"))), ["shard", "class", "v"])
+    there = placed.select("shard", "v").distinct()
+    grid = there.withColumnRenamed("v", "x").join(there.withColumnRenamed("v", "y"), "shard").filter("x < y")
+    return placed.join(grid.withColumn("v", F.explode(F.array("x", "y"))), ["shard", "v"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def test_divide_skip_searches_a_shard():
 def test_ngram_jaccard_in_many_parts_and_blocks(spark, monkeypatch):
     """Lists dealt over parts, shards of a few members, block against block; families on both sides of the threshold."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "CLASS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
     rng = random.Random(8)
     rows = []
     for f in range(4):
