@@ -81,9 +81,20 @@ def oracle_sql() -> dict[str, str]:
     return {"op9_mix_sources": MIX}
 
 
-MIX = """
+def _noise(x: str, k: str) -> str:
+    """A macro: a number in 0..2147483646 for x >= 0, by two squarings modulo that prime."""
+    y = f"((({x}) % 2147483647 * 48271 + ({x}) // 2147483647 * 69621 + ({k}) * 1299709 + 12345) % 2147483647)"
+    return f"(({y} * {y} % 2147483647 * 16807 + {y} * 7) % 2147483647)"
+
+
+def _drawn(x: str, k: int, n: str) -> str:
+    """A macro: a number in 0..n-1 for x."""
+    return f"(({_noise(_noise(x, str(k)), str(k + 1))} * 2147483647 + {_noise(_noise(x, str(k + 2)), str(k + 3))}) % {n})"
+
+
+MIX = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank FROM sizes),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][(source_rank % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM ranked),
@@ -95,14 +106,33 @@ leveled AS (
 aimed AS (
   SELECT *, least(cap, (SELECT arg_min(level, ratio) FROM leveled WHERE level <= ratio) * weight)::DOUBLE AS target FROM leveled),
 planned AS (
-  SELECT *, ceil(source_size / 64.0::DOUBLE)::BIGINT AS n, floor(target / 64.0::DOUBLE + 0.5)::BIGINT AS slots FROM aimed),
+  SELECT *, ceil(source_size / 64.0::DOUBLE)::BIGINT AS n,
+    CASE WHEN source_size > 0 THEN floor(target / source_size * ceil(source_size / 64.0::DOUBLE)::BIGINT + 0.5::DOUBLE) ELSE 0 END::BIGINT AS quota FROM aimed),
+ends AS (SELECT *, (sum(quota) OVER (ORDER BY source_rank))::BIGINT AS upto, (sum(quota) OVER ())::BIGINT AS total FROM planned),
+ids AS (SELECT unnest(range((SELECT max(total) FROM ends))) AS id, (SELECT max(total) FROM ends) AS total),
+draws AS (SELECT id * 64 // total AS shard, {_drawn("id", 1, "total")} AS u FROM ids),
+drew AS (SELECT shard, source_rank, count(*) AS drew FROM draws JOIN ends ON u >= upto - quota AND u < upto GROUP BY ALL),
+summed AS (
+  SELECT e.source_rank, n, quota, s.shard, sum(coalesce(drew, 0)) OVER (PARTITION BY e.source_rank ORDER BY s.shard) AS so_far, sum(coalesce(drew, 0)) OVER (PARTITION BY e.source_rank) AS drew_all
+  FROM ends e CROSS JOIN (SELECT unnest(range(64)) AS shard) s LEFT JOIN drew d ON d.source_rank = e.source_rank AND d.shard = s.shard WHERE quota > 0),
+scaled AS (SELECT *, CASE WHEN drew_all > 0 THEN quota::HUGEINT * so_far // drew_all ELSE quota::HUGEINT * (shard + 1) // 64 END::BIGINT AS upto FROM summed),
+counts AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY source_rank ORDER BY shard), 0) AS begins FROM scaled),
+slots AS (SELECT source_rank, n, shard, unnest(range(begins, upto)) AS slot FROM counts),
+passes AS (
+  SELECT source_rank, pass, list_transform(range(1, 25), lambda r: {_drawn("(source_rank * 1024 + pass) * 24 + r", 5, "n")}) AS keys
+  FROM (SELECT DISTINCT source_rank, n, slot // n AS pass FROM slots)),
+mapped AS (
+  SELECT source_rank, shard, list_reduce(range(1, 25), lambda x, r:
+      CASE WHEN {_noise("greatest(x, ((keys[r] - x) % n + n) % n)", "r")} % 64 < 32 THEN ((keys[r] - x) % n + n) % n ELSE x END, slot % n) AS index
+  FROM slots JOIN passes p USING (source_rank) WHERE p.pass = slot // n),
+blocks AS (SELECT source_rank, index, count(*) AS times, min(shard) AS first_shard, max(shard) AS last_shard FROM mapped GROUP BY ALL),
 laid AS (
-  SELECT s.*, p.source_size, p.target, p.source_rank, p.n, p.slots,
-    (sum(size) OVER (PARTITION BY s.source ORDER BY ((coalesce(doc_id, -1) % 256) + 256) % 256, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS first
-  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-  coalesce(list_sum(list_transform(CASE WHEN size > 0 THEN range(first // 64, (first + size - 1) // 64 + 1) ELSE [] END,
-    lambda i: (least(first + size, (i + 1) * 64) - greatest(first, i * 64))
-      * (slots // n + CASE WHEN (i * (CASE WHEN n % 1000003 <> 0 THEN 1000003 ELSE 999983 END) + source_rank * 7919) % n < slots % n THEN 1 ELSE 0 END))), 0)::BIGINT AS taken
-FROM laid
+  SELECT s.*, p.source_size, p.target, p.source_rank,
+    (sum(size) OVER (PARTITION BY s.source ORDER BY ((coalesce(doc_id, -1 - size) % 2147483647) + 2147483647) % 2147483647 * 48271 % 2147483647 % 256, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS first
+  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
+pieces AS (SELECT *, unnest(range(first // 64, CASE WHEN size > 0 THEN (first + size - 1) // 64 + 1 ELSE first // 64 END)) AS index FROM laid),
+took AS (
+  SELECT row, sum((least(first + size, (p.index + 1) * 64) - greatest(first, p.index * 64)) * times)::BIGINT AS taken, min(first_shard)::BIGINT AS first_shard, max(last_shard)::BIGINT AS last_shard
+  FROM pieces p JOIN blocks b ON b.source_rank = p.source_rank AND b.index = p.index GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(first_shard, -1) AS first_shard, coalesce(last_shard, -1) AS last_shard FROM laid LEFT JOIN took USING (row)
 """
