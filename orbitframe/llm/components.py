@@ -7,6 +7,7 @@ costs one round; nothing but a count and a checksum reaches the driver.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).filter("src <> dst")
     now = written(pairs.mapInArrow(contracted, "src long, dst long").distinct(), f"{at}/0")  # src > dst
     mark = None
-    for k in range(1, 100):
+    for k in itertools.count(1):  # ends: every round but the last moves an edge to a smaller node
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
         large = both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()

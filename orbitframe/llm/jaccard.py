@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm import textarrow as ta
 from orbitframe.llm.components import connected_components
-from orbitframe.llm.settings import remove, scratch, shuffle_partitions, written
+from orbitframe.llm.mixing import row_keys
+from orbitframe.llm.settings import scratch, shuffle_partitions, written
 
 WORDS, PERCENT = 5, 75
 TOKEN_BITS, SKETCH_BITS, BLOCK_BITS = 52, 20, 14
@@ -590,8 +591,11 @@ def shards_of(members: DataFrame, components: DataFrame, across: bool) -> DataFr
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id stays, once.
 
-    Rows with one doc_id are one document. Rows without a doc_id stay, once per text.
+    Rows with one doc_id are one document; of several, the one with the smallest hash stays. Rows without a doc_id
+    stay, once per text.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    wide = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.struct(*row_keys(docs)).alias("h"), F.struct("*").alias("row"))
+    named = wide.join(kept, F.col("id") == F.col("kept"), "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
+    nameless = wide.filter("id is null").groupBy("t").agg(F.min_by("row", "h").alias("row"))
+    return named.select("row").unionByName(nameless.select("row")).select("row.*")

@@ -6,7 +6,7 @@ length from a bounded sample (``per_language`` rows of each label, the first by
 that short texts are learned too. Part of the sample is kept aside: it sets the softmax temperature and the
 confidence under which a text is rejected.
 
-Only text enters a prediction. Defined cases: null text, or text without any letter, gives ``und`` with
+Only text enters a prediction, and only rows with an id are learned from. Defined cases: null text, or text without any letter, gives ``und`` with
 score 0; repeated rows are predicted alike; with no labelled rows everything is ``und``; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitframe.llm import textarrow as ta
 
@@ -147,14 +148,25 @@ def train(texts: list[str], langs: list[str], config: Config = Config()) -> Mode
 
 
 def fitted(docs: DataFrame, held_out, config: Config = Config()) -> Model | None:
-    """The sample: per label the first ``per_language`` rows by a hash; its size is bounded, whatever the table's."""
-    pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    nth = Window.partitionBy("lang").orderBy("h", "id")
-    ids = pool.select("lang", F.xxhash64(F.col("doc_id"), F.lit(config.seed)).alias("h"), F.col("doc_id").alias("id")).withColumn("n", F.row_number().over(nth))
-    ids = ids.filter(F.col("n") <= config.per_language).select(F.col("lang").alias("l"), "id").distinct()
-    # ids has per_language rows a label at most; repeated rows count once
-    rows = pool.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    """The sample: per label the ``per_language`` ids with the smallest hashes; its size is bounded, whatever the table's.
+
+    Most rows are left out by their hash alone, at a threshold from the label's number of ids, so that no label with
+    most of the rows is ranked in one task. Labels are the model's classes, so a figure for each fits the driver.
+    """
+    pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+    named = pool.select("lang", F.col("doc_id").alias("id"), F.xxhash64(F.col("doc_id"), F.lit(config.seed)).alias("h"))
+    spread, most = 1 << 40, 1.75 * config.per_language + 100
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not sizes:
+        return None
+    below = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(spread * min(1.0, most / n)))))
+    few = named.filter(F.pmod("h", F.lit(spread)) < F.element_at(below, F.col("lang"))).distinct()
+    nth = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(spread)), "id")
+    ids = few.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= config.per_language).select(F.col("lang").alias("l"), "id")
+    # ids has per_language rows a label at most; rows that repeat an id count once, with their smallest text
+    joined = pool.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
+    rows = joined.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows], config)
 
 
@@ -195,7 +207,6 @@ def identify(docs: DataFrame, config: Config = Config()) -> DataFrame:
 def accepted_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """docs without the rows that are rejected; a row's verdict travels with it, so no join is needed."""
     model = fitted(docs, held_out_column(), config)
-    fields = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    judged = docs.select(*[F.col(c) for c in fields], F.col("text").alias("_kept"), "text").mapInArrow(predictor(model), f"{schema}, _kept string, lang_pred string, score double, accepted boolean")
-    return judged.filter("accepted").select(*[F.col("_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    wide = docs.select(F.struct("*").alias("row"), "text")
+    verdicts = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    return wide.mapInArrow(predictor(model), verdicts).filter("accepted").select("row.*")

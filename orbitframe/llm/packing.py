@@ -3,7 +3,8 @@
 1. Each document is tokenised and closed by one end id; whole pieces of ``size`` ids are cut off its front,
    the rest is its last piece. One row of figures per piece is written; ids never leave the task.
 2. The histogram of piece lengths (at most ``size`` counts, whatever the corpus) goes to the driver. Lengths
-   are placed longest first, each into the open pattern with the most room; patterns carry counts.
+   are placed longest first, each into the open pattern with the most room; patterns carry counts. New packs take
+   as many pieces of their length as fit.
 3. Patterns join back to pieces by (length, rank). Ranks come from two-level numbering (length, salt), so a
    length that most pieces share is spread over ``SALTS`` groups.
 
@@ -18,6 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -141,22 +143,35 @@ def pieces_of(size: int, end_id: int, name: str):
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, longest first) with counts that use up the histogram."""
+    """Patterns (lengths, longest first) with counts that use up the histogram.
+
+    A length goes to the pack that is shortest so far, as long as any has room for it; packs opened for the rest of
+    a length take as many of it as fit.
+    """
     room: dict[int, list[tuple[list[int], int]]] = {}
+    largest: list[int] = []
+
+    def add(pattern: list[int], count: int, free: int) -> None:
+        if not room.setdefault(free, []):
+            heapq.heappush(largest, -free)
+        room[free].append((pattern, count))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        for free in sorted((r for r in room if r >= length), reverse=True):
-            while left and room.get(free):
-                pattern, count = room[free].pop()
-                used = min(count, left)
-                if used < count:
-                    room[free].append((pattern, count - used))
-                room.setdefault(free - length, []).append(([*pattern, length], used))
-                left -= used
-            if not left:
-                break
-        if left:
-            room.setdefault(size - length, []).append(([length], left))
+        while left and largest and -largest[0] >= length:
+            free = -largest[0]
+            pattern, count = room[free].pop()
+            if not room[free]:
+                heapq.heappop(largest)
+            used = min(count, left)
+            if used < count:
+                add(pattern, count - used, free)
+            add([*pattern, length], used, free - length)
+            left -= used
+        fit = size // length
+        for each, count in ((fit, left // fit), (left % fit, 1)):
+            if each and count:
+                add([length] * each, count, size - each * length)
     return [x for free in sorted(room) for x in room[free]]
 
 

@@ -7,11 +7,13 @@ speak against it, and its shape. Expectation-maximisation over the counts of vot
 whatever the corpus) estimates each labeler's reliability; the posteriors train a logistic span classifier
 over discrete features, which decides on the candidates that are not base spans.
 
-Two passes read the text and nothing is shuffled but counts; spans are built inside each row, so a row with
-many spans or a common text is no hot key.
+One pass reads the text with the patterns and writes the candidates; training and scoring read those. Nothing is
+shuffled but counts; spans are built inside each row, so a row with many spans or a common text is no hot key, and
+offsets come from sums in chunks, so that a long text with very many spans stays nearly linear.
 
-Defined cases: null and empty texts have no spans; offsets are code points; repeated rows are treated alike;
-an empty table gives an empty result and an untrained classifier, which adds nothing; other columns stay.
+Defined cases: null and empty texts have no spans; offsets are code points; repeated rows are treated alike; spans
+and their parts may have any length; an empty table gives an empty result and an untrained classifier, which adds
+nothing; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.settings import scratch, written
+
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
 BASE = ("email", "ip", "card", "phone")
 VOTERS = ("strict", "gazetteer", "before", "against", "shape")
@@ -38,11 +42,11 @@ PATTERNS = {
     "phone": r"\+[0-9](?:[ ().-]*+[0-9])++",
 }
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[a-z0-9-]{1,63}+){1,5}",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[a-z0-9-]++(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[a-z0-9-]++)++",
     "card": PATTERNS["card"],
     "phone": r"(?<![0-9+.)(-])(?<![0-9] )(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])(?![ .-][0-9])",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Sra?|Mme|Monsieur|Madame|Señora?)\.? \p{Lu}[\p{Ll}']{1,30}+(?: \p{Lu}[\p{Ll}']{1,30}+)?",
-    "secret": r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?[a-z0-9+/_=-]{16,200}+[\"']?",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Sra?|Mme|Monsieur|Madame|Señora?)\.? \p{Lu}[\p{Ll}']++(?: \p{Lu}[\p{Ll}']++)?|(?<=\b(?:name is|my name|signed|contact|dear|named|called) )\p{Lu}[\p{Ll}']++ \p{Lu}[\p{Ll}']++",
+    "secret": r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?[a-z0-9+/_=-]{16,}+[\"']?",
 }
 NEEDS = {"email": "@", "phone": "+"}
 # Fixed word lists of the labelers.
@@ -55,13 +59,28 @@ BEFORE = {
     "secret": "key|token|secret|password|credential",
 }
 AGAINST = "version|license|isbn|chapter|section|page|article|figure|table|order|invoice|§|#"
+# Fixed gazetteers, plain lists.
+GIVEN = (
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen "
+    "anna peter hans klaus ursula monika wolfgang sabine jürgen heike stefan petra jean marie pierre michel nathalie isabelle françois sophie "
+    "josé maría juan carmen antonio ana manuel lucía carlos elena alice bob carol dave eve frank grace heidi"
+).split()
+FAMILY = (
+    "smith johnson williams brown jones miller davis wilson moore taylor anderson jackson white harris martin thompson clark lewis walker hall "
+    "müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann dupont durand leroy moreau laurent bernard petit roux "
+    "garcía martínez lópez sánchez pérez gómez fernández díaz ruiz torres"
+).split()
+DOMAINS = "com org net edu gov mil info biz io co me eu uk de fr es it nl ch at be se no dk fi pl pt cz ru ua us ca br mx ar in cn jp kr au nz za test example invalid".split()
+ISSUERS = r"(?:4|5[1-5]|2[2-7]|3[47]|3[068]|35|6011|65|62|67|63|50|56|57|58)"  # first digits that card networks use
+COUNTRY_CODES = r"(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|35[0-9]|37[0-9]|38[0-9]|42[0-9]|50[0-9]|59[0-9]|85[0-9]|88[0-9]|96[0-9]|97[0-9]|99[0-9])"
+KEY_WORDS = "sk pk ghp gho xox xoxb akia asia aiza eyj glpat npm pypi hf bearer basic"
 GAZETTEER = {
-    "email": r"(?i).*(?:\.|dot ?[\])] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)",
-    "ip": r"(?:[1-9]|1?[0-9][0-9]|2[0-4][0-9]|25[0-5])\..*",
-    "card": r"[2-6].*",
-    "phone": r"\+?[ (]*[1-9].*",
-    "name": r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme).*",
-    "secret": r".*[=:] ?[\"'].*",
+    "email": rf"(?i).*(?:\.|dot ?[\])] ?)(?:{'|'.join(DOMAINS)})",
+    "ip": r"(?:10|127|172|192|[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\..*",
+    "card": rf"{ISSUERS}.*",
+    "phone": rf"\+ ?{COUNTRY_CODES}.*|[ (]*0[1-9].*",
+    "name": rf"(?i).*(?<!\p{{L}})(?:{'|'.join(GIVEN + FAMILY)})(?!\p{{L}}).*",
+    "secret": rf"(?i).*[=: \"'](?:{KEY_WORDS.replace(' ', '|')})[-_a-z0-9].*",
 }
 
 
@@ -70,31 +89,46 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _sum(lengths: Column, upto: Column) -> Column:
-    return F.aggregate(F.slice(lengths, F.lit(1), upto), F.lit(0), lambda a, x: a + x)
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column, chunk: int = 64) -> Column:
+    """For each element what the ones before it come to under an associative op. Whole chunks are taken at a time."""
+    total = lambda part: F.aggregate(part, zero, op)
+    at = lambda i: F.floor(i / chunk).cast("int")
+
+    def within(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), at(F.size(v))), lambda c: total(F.slice(v, c * chunk + 1, F.lit(chunk))))
+        sums = bind(chunks, lambda cs: F.transform(cs, lambda _, c: total(F.slice(cs, F.lit(1), c))))
+        return bind(sums, lambda before: F.transform(v, lambda _, i: op(F.get(before, at(i)), total(F.slice(v, at(i) * chunk + 1, i % chunk)))))
+
+    return bind(values, within)
+
+
+def sums_before(lengths: Column) -> Column:
+    return running(lengths, lambda a, x: a + x, F.lit(0))
+
+
+SPANS = "array<struct<kind:string,start:int,end:int,text:string,left:string>>"
 
 
 def matches(text: Column, pattern: str, kind: str, when: Column) -> Column:
-    """array<struct<kind, start, end, text, left>> of all matches of a pattern, left to right."""
+    """array<struct<kind, start, end, text, left>> of all matches of a pattern, left to right. left: up to 40 characters before it."""
     p = F.lit(pattern)
     found = bind(
-        F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"), text.alias("t")),
+        F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")),
         lambda s: bind(
-            F.struct(s["m"].alias("m"), F.transform(s["m"], F.length).alias("lm"), F.transform(s["p"], F.length).alias("lp"), s["t"].alias("t")),
+            F.struct(s["m"].alias("m"), s["p"].alias("p"), sums_before(F.transform(s["m"], lambda m, i: F.length(m) + F.length(F.get(s["p"], i)))).alias("before")),
             lambda r: F.transform(
                 r["m"],
                 lambda m, i: bind(
-                    _sum(r["lp"], i + 1) + _sum(r["lm"], i),
+                    F.get(r["before"], i) + F.length(F.get(r["p"], i)),
                     lambda at: F.struct(
                         F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), m.alias("text"),
-                        F.lower(F.substring(r["t"], F.greatest(at - 39, F.lit(1)), F.least(at, F.lit(40)))).alias("left"),
+                        F.lower(F.right(F.concat(F.coalesce(F.get(r["m"], i - 1), F.lit("")), F.get(r["p"], i)), F.lit(40))).alias("left"),
                     ),
                 ),
             ),
         ),
     )
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string,left:string>>")
-    return F.when(when, found).otherwise(none)
+    return F.when(when, found).otherwise(F.array().cast(SPANS))
 
 
 def digits(m: Column) -> Column:
@@ -154,7 +188,8 @@ def votes(s: Column) -> list[Column]:
     sign = lambda c: F.when(c, 1).when(~c, -1).otherwise(0)
     return [
         sign(ok),
-        F.when(F.regexp_like(text, F.concat(F.lit("^(?:"), _lookup(GAZETTEER, kind), F.lit(")$"))), 1).otherwise(-1),
+        # a name that the gazetteer doesn't have may be one all the same
+        F.when(F.regexp_like(text, F.concat(F.lit("^(?:"), _lookup(GAZETTEER, kind), F.lit(")$"))), 1).when(kind.isin("name", "secret"), 0).otherwise(-1),
         F.when(F.regexp_like(left, F.concat(F.lit(r"\b(?:"), _lookup(BEFORE, kind), F.lit(")"))), 1).otherwise(0),
         F.when(F.regexp_like(left, F.lit(rf"(?:{AGAINST})[^a-z]*$")), -1).otherwise(0),
         sign(shape),
@@ -245,10 +280,18 @@ def logistic(rows: list[tuple[tuple[str, ...], float, float]], steps: int = 300,
     return weights, bias
 
 
-def train(docs: DataFrame) -> Classifier:
+def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """row (these columns of docs), base, more: what the patterns find, written to the shared store."""
+    text = F.col("body")
+    found = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in columns)).alias("row"), F.col("text").alias("body"))
+    found = found.withColumn("base", F.coalesce(base_spans(text), F.array().cast(SPANS))).withColumn("more", F.coalesce(candidate_spans(text), F.array().cast(SPANS)))
+    return written(found.drop("body"), scratch(docs.sparkSession, "pii"))
+
+
+def train(found: DataFrame) -> Classifier:
     """Counts over all candidates of all rows; what reaches the driver is bounded by the votes' and features' domains."""
     s = F.col("s")
-    spans = docs.select(F.explode(F.concat(base_spans(F.col("text")), candidate_spans(F.col("text")))).alias("s"))
+    spans = found.select(F.explode(F.concat("base", "more")).alias("s"))
     counted = spans.select(F.array(*votes(s)).alias("v"), F.array(*features(s)).alias("f")).groupBy("v", "f").count().collect()
     if not counted:
         return Classifier()
@@ -264,20 +307,29 @@ def train(docs: DataFrame) -> Classifier:
     return Classifier(weights, bias, rel)
 
 
-def _overlaps(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def apart(base: Column, more: Column) -> Column:
+    """Those of more that overlap none of base. All are sorted by start; a span is held against the furthest end before it and the next start after it."""
+    far = F.lit(1 << 30)
+    tagged = F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("at"), F.lit(0).alias("new"), s.alias("s"))), F.transform(more, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("new"), s.alias("s"))))
+
+    def kept(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda x: F.when(x["new"] == 0, x["s"]["end"]).otherwise(F.lit(0))), lambda a, x: F.greatest(a, x), F.lit(0))
+        starts = F.reverse(running(F.reverse(F.transform(all_, lambda x: F.when(x["new"] == 0, x["at"]).otherwise(far))), lambda a, x: F.least(a, x), far))
+        both = F.transform(F.arrays_zip(all_.alias("x"), ends.alias("e"), starts.alias("n")), lambda z: z)
+        return F.transform(F.filter(both, lambda z: (z["x"]["new"] == 1) & (z["e"] <= z["x"]["at"]) & (z["n"] >= z["x"]["s"]["end"])), lambda z: z["x"]["s"])
 
+    return F.when(F.size(more) == 0, more).otherwise(bind(F.array_sort(tagged), kept))
 
-def with_spans(docs: DataFrame, classifier: Classifier | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs with ``base`` and ``spans``: arrays of structs (kind, start, end, text, left)."""
-    if classifier is None:
-        classifier = train(docs)
-    base = docs.withColumn("base", F.coalesce(base_spans(F.col("text")), F.array().cast("array<struct<kind:string,start:int,end:int,text:string,left:string>>")))
-    more = F.filter(candidate_spans(F.col("text")), lambda s: classifier.score(s) >= threshold)
-    both = bind(F.struct(F.col("base").alias("b"), F.coalesce(more, F.slice("base", 1, 0)).alias("m")), lambda x: F.concat(x["b"], F.filter(x["m"], lambda s: ~_overlaps(x["b"], s))))
+
+def with_spans(docs: DataFrame, columns: list[str], classifier: Classifier | None = None, threshold: float = 0.5) -> DataFrame:
+    """row (these columns of docs), ``base`` and ``spans``: arrays of structs (kind, start, end, text, left)."""
+    found = candidates(docs, columns)
+    classifier = classifier or train(found)
+    sure = F.filter("more", lambda s: classifier.score(s) >= threshold)
+    both = bind(sure, lambda more: F.concat("base", apart(F.col("base"), more)))
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s.alias("s"))))
-    return base.withColumn("spans", F.transform(keyed, lambda x: x["s"]))
+    return found.select("row", "base", F.transform(keyed, lambda x: x["s"]).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -286,22 +338,42 @@ def _written(spans: Column) -> Column:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Counts and spans per document."""
-    found = with_spans(docs.select("doc_id", "text"))
+    found = with_spans(docs, ["doc_id"])
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+
+
+def cutter(text: Column, segment: int = 4096) -> tuple[Column, Callable[[Column, Column, Column], Column]]:
+    """(segments of a text, a function of them that cuts code points a..b-1 out without walking the text from its start)."""
+    segments = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / segment).cast("int")), lambda c: F.substring(text, c * segment + 1, F.lit(segment)))
+
+    def cut(held: Column, a: Column, b: Column) -> Column:
+        at = F.floor(a / segment).cast("int")
+        near = F.array_join(F.slice(held, at + 1, F.floor(b / segment).cast("int") - at + 1), "")
+        return F.when(b > a, F.substring(near, a - at * segment + 1, b - a)).otherwise(F.lit(""))
+
+    return segments, cut
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans count as one, named after the first."""
-    found = with_spans(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = with_spans(docs, docs.columns)
+    whole = F.col("row.text")
+    segments, cut = cutter(whole)
+    in_order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(a: Column, x: Column) -> Column:
-        inside = x["start"] < a["at"]
-        out = F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
+    def put_together(x: Column) -> Column:
+        """x: spans in order, for each the furthest end before it, and the segments of the text."""
 
-    in_order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.aggregate(in_order, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    return found.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+        def part(s: Column, i: Column) -> Column:
+            reached = F.get(x["reached"], i)
+            return F.when(s["start"] < reached, F.lit("")).otherwise(F.concat(cut(x["held"], reached, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+        tail = cut(x["held"], F.array_max(F.transform(x["s"], lambda s: s["end"])), F.length(whole))
+        return F.array_join(F.concat(F.transform(x["s"], part), F.array(tail)), "")
+
+    ends = lambda s: running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    new = bind(in_order, lambda s: bind(F.struct(s.alias("s"), ends(s).alias("reached"), segments.alias("held")), put_together))
+    done = found.select("row", F.when(F.size("spans") > 0, new).otherwise(whole).alias("text"))
+    own = lambda c: F.col("row").getField(c).alias(c)
+    return done.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else own(c) for c in docs.columns])

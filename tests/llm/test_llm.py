@@ -264,6 +264,17 @@ def test_tokenizer_equals_the_library(text):
         assert ids[at[k] : at[k + 1]].tolist() == t.whole(x).tolist()
 
 
+@pytest.mark.parametrize("histogram, most", [({10: 1000}, 5), ({700: 1000}, 500), ({300: 1000, 200: 1000}, 252), ({2048: 3, 1: 5000}, 6), ({1500: 100, 500: 150, 40: 300}, 150), ({1024: 7}, 4)])
+def test_packs_of_narrow_histograms(histogram, most):
+    patterns = packing.shortest_pack_first(histogram, 2048)
+    used = defaultdict(int)
+    for pattern, count in patterns:
+        assert sum(pattern) <= 2048 and count > 0
+        for length in pattern:
+            used[length] += count
+    assert dict(used) == histogram and sum(c for _, c in patterns) <= most
+
+
 def test_shortest_pack_first_uses_the_histogram_up():
     rng = random.Random(5)
     histogram = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 101), 60)}
@@ -414,6 +425,40 @@ def test_redaction(spark, docs, empty):
     assert pii.redacted(empty).count() == 0 and pii.find_personal_data(empty).count() == 0
 
 
+def test_added_spans_against_brute_force(spark):
+    """With every candidate accepted: all matches of the looser patterns that overlap no base span."""
+    import regex
+
+    rng = random.Random(6)
+    bits = [
+        "write to jo.ann (at) mail dot example.org now", "call 030 555 7712 today", "Dr. Anna Schmidt said", "dear Peter Fischer,", "api_key = sk-" + "a1" * 3000, "password: 'hunter2hunter2hunter2'",
+        "x@y.zz", "10.20.30.40", "+49 30 1234567", "4111 1111 1111 1111", "4111111111111112", "é漢字 ü", "version 1.2.3.4", "plain words", "Mme Sophie Dupont", "a" * 90 + " [at] b.c", "token=abc",
+    ]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["", None, "x@y.zz " * 200 + "Dr. Anna Schmidt"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in pii.with_spans(df, ["doc_id"], pii.Classifier(), 0.0).select("row.doc_id", "spans").collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        base = [(k, int(a), int(b)) for k, a, b in brute_pii(t)]
+        more = [(k, m.start(), m.end()) for k, p in pii.LOOSE.items() for m in regex.finditer(p, t or "", regex.V0)]
+        more = [x for x in more if not any(a < x[2] and x[1] < b for _, a, b in base)]
+        want = sorted([*base, *more], key=lambda x: (pii.KINDS.index(x[0]), x[1:]))
+        assert got[i] == want
+        added += len(more)
+    assert added > 100
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert all("a1a1a1" not in (t or "") and "x@y.zz" not in (t or "") for t in out.values())
+    assert out[62].count("[EMAIL]") == 200
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = "a@b.co " * 40000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.find_personal_data(df).first()
+    assert r["n_email"] == 40000 and r["base_sha256"] == hashlib.sha256(",".join(f"email:{7 * i}:{7 * i + 6}" for i in range(40000)).encode()).hexdigest()
+    assert pii.redacted(df).first()["text"] == "[EMAIL] " * 40000
+
+
 def test_mixing_against_sql(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     c = duckdb.connect()
