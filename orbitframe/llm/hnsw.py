@@ -49,12 +49,14 @@ class Graph:
         return start
 
     def dumps(self) -> bytes:
-        return pickle.dumps((self.vectors, self.level, self.links, self.orphans), 5)
+        """All but the vectors, which are stored once, as given."""
+        return pickle.dumps((self.level, self.links, self.orphans), 5)
 
     @classmethod
-    def loads(cls, raw: bytes) -> Graph:
+    def loads(cls, raw: bytes, vectors: np.ndarray) -> Graph:
         g = cls.__new__(cls)
-        g.vectors, g.level, g.links, g.orphans = pickle.loads(raw)
+        g.vectors = vectors
+        g.level, g.links, g.orphans = pickle.loads(raw)
         return g
 
     def _spread(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:

@@ -216,7 +216,7 @@ class FingerprintIndex:
     buckets: int
     width: int = WIDTH
     gram: int = GRAM
-    fanout: int = 4
+    fanout: int = 2
     runs: list[str] = field(default_factory=list)
     made: int = 0
 
@@ -341,7 +341,7 @@ def kept_words(width: int, with_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 4, with_text: bool = False, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Whole corpus in ``batches`` ranges of doc_id through one index; then repeats are verified and removed."""
     spark = docs.sparkSession
     # A null doc_id stands first; with no nulls, both joins below read one and the same shuffle of the texts.

@@ -223,12 +223,39 @@ def test_embeddings(spark):
     assert embeddings.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_awkward_ids_and_labels(spark):
+    """Double vectors, text labels, null and repeated ids: all links of a small table, and the same from both sides."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 8))
+    v = np.concatenate([centre[rng.integers(0, 6, 90)] + rng.normal(size=(90, 8)) * 0.25, [[1e200] * 8, [2e200] * 8, [1e-200] * 8]])
+    ids = [None if i % 9 == 4 else i // 2 if i % 7 == 3 else i for i in range(90)] + [500, 501, None]
+    labels = [("a", "b", "1.5")[i % 3] for i in range(90)] + ["a"] * 3
+    rows = [(i, [float(x) for x in e], y) for i, e, y in zip(ids, v, labels)] + [(7, [float(x) for x in v[0]], "a"), (None, [float(x) for x in v[1]], None), (None, [1.0], "a")]
+    wide = [np.array(e) / np.abs(e).max() for _, e, _ in rows]
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    n = len(rows)
+    links = [(a, b) for a, b in itertools.combinations(range(n), 2) if rows[a][2] is not None and rows[a][2] == rows[b][2] and len(wide[a]) == len(wide[b]) and cos(wide[a], wide[b]) >= 0.93]
+    r, count, smallest = roots(range(n), links), [0] * n, {}
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    for i in range(n):
+        if rows[i][0] is not None:
+            smallest[r[i]] = min(smallest.get(r[i], 1 << 40), rows[i][0])
+    want = sorted(((rows[i][0], count[i], smallest.get(r[i]), rows[i][0] == smallest.get(r[i])) for i in range(n)), key=str)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = embeddings.link_embeddings(df, embeddings.Config(shard_rows=20, block_rows=8)).collect()
+    assert sorted((tuple(x) for x in got), key=str) == want and max(count) > 3
+
+
 def test_graph_recall():
     rng = np.random.default_rng(1)
     v = embeddings.unit(rng.normal(size=(30, 32))[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 32)) * 0.3)
-    g = hnsw.Graph.loads(hnsw.Graph.build(v).dumps())
-    a, b = embeddings.search(g, v, v, embeddings.Config(cosine=0.8))
-    truth = (v.astype(float) @ v.T >= 0.8).sum()
+    row = {"nodes": np.arange(1500).tobytes(), "weights": np.ones(1500, np.int64).tobytes(), "vectors": v.tobytes(), "graph": hnsw.Graph.build(v).dumps()}
+    shard = embeddings.Shard(row, "f4")
+    a, b = embeddings.search(shard, 0, 1500, shard, embeddings.Config(cosine=0.8))
+    truth = (v.astype(float) @ v.T >= 0.8).sum() - 1500
+    assert not (a == b).any()
     assert len(a) >= 0.95 * truth
 
 
