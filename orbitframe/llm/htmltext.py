@@ -4,8 +4,7 @@ The page is cut at block tags. Pass one labels each block from its length, link
 density, and from the containers it lies in (menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments are known by their tags, roles, classes and ids). An ``article`` or ``main`` element is one vote
 for what it holds: it lifts a block one step (bad by its words, or by links up to twice the limit, becomes near;
-near becomes good), and does not overrule many links, nor a block between ``short`` and ``long`` with next to no
-stop words. An element of at most ``long`` characters of its own text (a card, a teaser) has no vote where other
+near becomes good), and does not overrule many links in a long block or a row of short ones. An element of at most ``long`` characters of its own text (a card, a teaser) has no vote where other
 text of the page is good. Pass two gives ambiguous and short blocks the label of their nearest decided neighbours;
 under a vote these are the ones within the element, and the vote counts as one of them.
 
@@ -32,7 +31,6 @@ class Config:
     long: int = 200
     stop_low: float = 0.30
     stop_high: float = 0.32
-    stop_none: float = 0.05
 
 
 # Common function words of the languages at hand.
@@ -57,7 +55,12 @@ HINTS = frozenset(
 )
 CONTENT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<]*\Z", re.S)
+# What a compound class may hold besides hints and still be one, inside an article: "share-buttons", not "share-price".
+PARTS = frozenset("area bar block body bottom box button buttons container content count group icon icons inner item items label left link links list main outer page panel post posts right section site slot text title top unit wrap wrapper".split())
+_OPEN = re.compile(r"<(?:!--|[a-zA-Z]|/[a-zA-Z]|[!?])")
+_NAME = re.compile(r"[^\s/>]*")
+_UPTO = re.compile(r">|=\s*(?:\"[^\"]*\"|'[^']*')")  # quotes hide a > only as values
+_RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9])", re.I) for tag in RAW_TAGS}
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -71,7 +74,10 @@ class Block:
         self.text, self.linked, self.left_out, self.inside, self.heading = text, linked, left_out, inside, heading
 
 
-def _hinted(tag: str, attributes: str) -> bool:
+APART = frozenset("comment comments reply replies ad ads advert sponsored promo".split())  # what an article element may be instead
+
+
+def _hinted(tag: str, attributes: str, inside: bool) -> bool:
     if not attributes:
         return False
     for m in _ATTR.finditer(attributes):
@@ -80,11 +86,26 @@ def _hinted(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value in LEFT_OUT_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and not HINTS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return tag != "article" or not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}.isdisjoint(re.split(r"[\s_-]+", value))
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            parts = [re.split(r"[_-]+", token) for token in value.split()]
+            known = APART if tag == "article" else HINTS
+            if inside or tag == "article":
+                if any(not known.isdisjoint(x) and all(w in HINTS or w in PARTS or w.isdigit() or not w for w in x) for x in parts):
+                    return True
+            elif any(not known.isdisjoint(x) for x in parts):
+                return True
     return False
 
 
+def tag_end(page: str, at: int) -> int:
+    """Where the tag that is open at ``at`` ends (behind its >), -1 if it is cut off."""
+    while m := _UPTO.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        at = m.end()
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, left out, number of the innermost content element
@@ -101,10 +122,9 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(joined, linked, left_out, inside, heading))
             text, linked = [], 0
 
-    lower = None
     n = len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         raw = page[at : m.start() if m else n]
         if raw:
             text.append(raw)
@@ -112,18 +132,26 @@ def blocks(page: str) -> list[Block]:
                 linked += len(raw.strip())
         if not m:
             break
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag in RAW_TAGS and not m[2].rstrip().endswith("/"):
-                if lower is None:
-                    lower = page.lower()
-                end = lower.find(f"</{tag}", at)
+        kind = m[0]
+        if kind == "<!--" or kind in ("<!", "<?"):
+            end = page.find("-->" if kind == "<!--" else ">", m.end())
+            if end < 0:
+                break
+            at = end + (3 if kind == "<!--" else 1)
+            continue
+        name = _NAME.match(page, m.end() - 1)
+        end = page.find(">", name.end()) + 1 if kind[1] == "/" else tag_end(page, name.end())
+        if end <= 0:
+            break
+        at, tag, attributes = end, name[0].lower(), page[name.end() : end - 1]
+        if kind[1] != "/":
+            if tag in RAW_TAGS and not attributes.rstrip().endswith("/"):
+                closing = _RAW_END[tag].search(page, at)
                 if tag == "title" or tag in BLOCK_TAGS:
                     close()
-                if end < 0:
+                if not closing:
                     break
-                stop = page.find(">", end)
+                stop = page.find(">", closing.end())
                 at = n if stop < 0 else stop + 1
             elif tag == "a":
                 links = 1
@@ -136,14 +164,13 @@ def blocks(page: str) -> list[Block]:
                 if stack[-1][0] == "p":
                     stack.pop()
                 _, left_out, inside = stack[-1]
-                hinted = tag in LEFT_OUT or tag == "header" and not inside or _hinted(tag, m[2])
+                hinted = tag in LEFT_OUT or tag == "header" and not inside or _hinted(tag, attributes, bool(inside))
                 if tag in CONTENT_TAGS and not hinted and not any(t in LEFT_OUT and t != "form" for t, _, _ in stack):
                     contents += 1
                     left_out, inside = False, contents
                 stack.append((tag, left_out or hinted, inside))
                 heading = tag in HEADINGS
-        elif m[3]:
-            tag = m[3].lower()
+        else:
             if tag == "a":
                 links = 0
             elif tag in BLOCK_TAGS:
@@ -162,8 +189,8 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def first_pass(block: Block, config: Config, vouched: bool = False, listed: bool = True) -> str:
-    """``vouched``: an element votes for the block; ``listed``: the stop words fit the element's language."""
+def first_pass(block: Block, config: Config, vouched: bool = False, menu: bool = False) -> str:
+    """``vouched``: an element votes for the block; ``menu``: it stands in a row of short blocks that are links."""
     if block.left_out:
         return BAD
     n = len(block.text)
@@ -172,7 +199,7 @@ def first_pass(block: Block, config: Config, vouched: bool = False, listed: bool
         if not vouched:
             return BAD
         if n < config.short:
-            return SHORT if block.heading or density <= config.max_link_density else BAD
+            return BAD if menu and not block.heading else SHORT
         return BAD if density > 2 * config.max_link_density else NEAR
     if n < config.short:
         return SHORT
@@ -181,28 +208,35 @@ def first_pass(block: Block, config: Config, vouched: bool = False, listed: bool
         return GOOD if n > config.long or vouched else NEAR
     if stops >= config.stop_low:
         return GOOD if vouched else NEAR
-    return NEAR if vouched and (n > config.long or stops >= config.stop_none or not listed) else BAD
+    return NEAR if vouched else BAD
 
 
-def votes(found: list[Block], first: list[str], config: Config) -> dict[int, bool]:
-    """The content elements that vote for what they hold, and whether the stop words fit their language."""
-    own: dict[int, list[str]] = {}
+def votes(found: list[Block], first: list[str], config: Config) -> set[int]:
+    """The content elements that vote for what they hold."""
+    own: dict[int, int] = {}
     for b in found:
         if b.inside and not b.left_out:
-            own.setdefault(b.inside, [])
-            if b.linked <= config.max_link_density * len(b.text):
-                own[b.inside].append(b.text)
-    large = {k for k, texts in own.items() if sum(map(len, texts)) > config.long}
-    if not large and not any(x == GOOD for x in first):
-        large = set(own)
-    return {k: stop_density(" ".join(own[k])) >= 2 * config.stop_none for k in large}
+            own[b.inside] = own.get(b.inside, 0) + (len(b.text) + 1) * (b.linked <= config.max_link_density * len(b.text))
+    large = {k for k, size in own.items() if size > config.long}
+    return large or (set() if GOOD in first else set(own))
+
+
+def menus(found: list[Block], config: Config, row: int = 3) -> list[bool]:
+    """Which blocks are among at least ``row`` short ones on end that are mostly links."""
+    out, run = [False] * len(found), 0
+    for i, b in enumerate(found):
+        linked = len(b.text) < config.short and b.linked > config.max_link_density * len(b.text) and not b.left_out
+        run = 0 if not linked else run + 1 if i and found[i - 1].inside == b.inside else 1
+        if run >= row:
+            out[i - row + 1 : i + 1] = [True] * row
+    return out
 
 
 def labels(found: list[Block], config: Config) -> list[bool]:
     first = [first_pass(b, config) for b in found]
     vote = votes(found, first, config)
     if vote:
-        first = [first_pass(b, config, True, vote[b.inside]) if b.inside in vote else x for x, b in zip(first, found, strict=True)]
+        first = [first_pass(b, config, True, menu) if b.inside in vote else x for x, b, menu in zip(first, found, menus(found, config), strict=True)]
     n = len(first)
     before, after = [""] * n, [""] * n
     for near, order in ((before, range(n)), (after, range(n - 1, -1, -1))):

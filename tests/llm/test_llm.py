@@ -357,13 +357,60 @@ def test_html_blocks(spark):
     assert sorted((r["page_id"], r["n_chars"]) for r in htmltext.extract(df).collect()) == [(1, 15), (2, 0), (2, 0)]
 
 
+def page_and_text(rng):
+    """A page put together from parts, and the text of those that belong to the article."""
+    words = "the of and to in a is that was he for it with as his on be at by i this had not are but from or have an they which one you were her".split()
+    say = lambda n: " ".join(rng.choice(words) if rng.random() < 0.45 else "".join(rng.choice("bcdlmnrstaeiou") for _ in range(rng.randrange(3, 9))) for _ in range(n)) + "."
+    odd = lambda n: " ".join("".join(rng.choice("bcdlmnrstaeiouäé") for _ in range(6)) for _ in range(n)) + "."
+    esc = lambda t: t.replace("a ", "a &amp; ").replace("e ", "é ", 1)
+    said = lambda t: t.replace("a ", "a & ").replace("e ", "é ", 1)
+    links = lambda n: "".join(f'<li><a href="/{i}">{say(2)}</a></li>' for i in range(n))
+    junk = [
+        lambda: f"<nav><ul>{links(5)}</ul></nav>", lambda: f'<div class="ad-box top">{say(40)}</div>', lambda: f"<aside><p>{say(60)}</p></aside>", lambda: f"<footer>© 2024 {say(12)}</footer>",
+        lambda: f'<form action="/s"><p>{say(20)}</p><input name="q"></form>', lambda: f'<div id="comments"><p>{say(50)}</p></div>', lambda: f"<script>if (a < b) x = '</p>{say(9)}'</script>", lambda: f"<style>p {{ color: red }}</style><!-- {say(30)} > -->",
+        lambda: f'<div role="banner">{say(30)}</div>', lambda: f'<section class="cookie_notice">{say(40)}</section>', lambda: f'<p hidden>{say(40)}</p>', lambda: f"<SCRIPT>var t = '{say(5)}'</Script>",
+    ]
+    page, text = ["<!DOCTYPE html><html><head><title>x</title></head><body>", *(rng.choice(junk)() for _ in range(3)), '<div class="story"><article class="post-body share-story">'], []
+    for i in range(rng.randrange(3, 9)):
+        if rng.random() < 0.3:
+            page.append(rng.choice(junk)())
+        body = say(rng.choice([45, 60, 90])) if i < 2 or rng.random() < 0.6 else rng.choice([say(3), say(15), odd(14), odd(40)])
+        mark = rng.choice(["{}", "<b>{}</b>", "<i title='a > b'>{}</i>", '<p class="share-price">{}</p>'])
+        page.append(f"<p>\n  {mark.format(esc(body))} \n</p>")
+        text.append(" ".join(said(body).split()))
+    if rng.random() < 0.5:
+        page.append('<p><a href="/r">Read the full report</a></p>')
+        text.append("Read the full report")
+    page += ["</article></div>", *(rng.choice(junk)() for _ in range(3)), "</body></html>"]
+    return "".join(page), "\n".join(text)
+
+
+def test_html_of_made_pages(spark):
+    rng = random.Random(12)
+    made = [page_and_text(rng) for _ in range(150)]
+    for page, text in made:
+        assert htmltext.main_text(page) == text
+
+
+def test_html_awkward_pages():
+    import time
+
+    started = time.process_time()
+    for part in ("<a '", '<a "', "<a =\"", "<a ='\"", "<", "</a ", "<!--", "<p>", "<script", "<script>", "<b =' =\" "):
+        htmltext.main_text(part * 30000)
+    assert time.process_time() - started < 20
+    assert htmltext.main_text(f"<article><p>{'İ' * 12}</p><script>x</script><p>{GOOD}</p></article>").endswith(GOOD.strip())
+    page = f'<article><p>{GOOD}</p><p class="login-story">{GOOD}</p><p class="share-buttons">{GOOD}</p></article>'
+    assert htmltext.main_text(page) == "\n".join([GOOD.strip()] * 2)
+
+
 def test_html_article_is_one_vote():
     cards = "".join(f"<article class=card><h2><a href=/{i}>Teaser {i}</a></h2><p>A few words of it.</p></article>" for i in range(2))
     assert htmltext.main_text(f"<div><p>{GOOD}</p><p>{GOOD}</p></div>{cards}") == "\n".join([GOOD.strip()] * 2)
     links = "<div><a href=/a>Cheap watches and the best offers of the year for you and all your friends</a> now</div>"
-    wordless = "<div>Watches discount shipping bargain luxury brands clearance voucher premium outlet</div>"
+    wordless = "<div>Watches discount shipping bargain luxury brands clearance voucher premium outlet</div>"  # not marked as an advert, so it stays
     page = f"<article><h1><a href=/>Title</a></h1><p>{GOOD}</p>{links}{wordless}<p>Short one.</p><p>{GOOD}</p></article><p>tail</p>"
-    assert htmltext.main_text(page) == "\n".join(["Title", GOOD.strip(), "Short one.", GOOD.strip()])
+    assert htmltext.main_text(page) == "\n".join(["Title", GOOD.strip(), wordless[5:-6].partition("</div>")[0], "Short one.", GOOD.strip()])
     unlisted = "Kissa istui matolla ja katsoi ulos ikkunasta koko pitkän sateisen päivän ajan."
     assert htmltext.main_text(f"<main><p>{unlisted}</p><p>{unlisted}</p><p>{unlisted}</p></main>") == "\n".join([unlisted] * 3)
 
