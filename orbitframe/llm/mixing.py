@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitframe.llm.settings import scratch, written
+from orbitframe.llm.settings import scratch, shuffle_partitions, written
 
 WEIGHTS = (5, 2, 1)
-SALTS, CELLS, SHARDS, ROUNDS, RUN = 256, 4096, 64, 24, 1 << 14
+SALTS, CELLS, SHARDS, ROUNDS, RUN = 256, 4096, 64, 16, 1 << 12
 PRIME = (1 << 31) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,7 +93,12 @@ def shard_counts(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
     cell = lambda x: over(x * CELLS, F.lit(max(n, 1)))
     lo = F.col("upto") - F.col("quota")
     held = sources.filter("quota > 0").select("source_rank", lo.alias("lo"), F.col("upto").alias("hi"), F.explode(F.sequence(cell(lo), cell(F.col("upto") - 1))).alias("cell"))
-    draws = spark.range(n).select(over(F.col("id") * shards, max(n, 1)).alias("shard"), drawn(F.col("id"), 1, F.lit(max(n, 1))).alias("u")).withColumn("cell", cell(F.col("u")))
+    # Columns known not to be null keep the optimizer from restating all of this in a filter; steps of their own keep it compiled.
+    known = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    draws = spark.range(n).withColumn("a", known(noise(F.col("id"), 1))).withColumn("b", known(noise(F.col("id"), 3)))
+    draws = draws.withColumn("c", known(noise(F.col("a"), 2))).withColumn("d", known(noise(F.col("b"), 4)))
+    draws = draws.withColumn("u", known((F.col("c") * PRIME + F.col("d")) % max(n, 1)))  # drawn(id, 1, n)
+    draws = draws.select(known(over(F.col("id") * shards, max(n, 1))).alias("shard"), "u", known(cell(F.col("u"))).alias("cell"))
     drew = draws.join(held, "cell").filter("u >= lo and u < hi").groupBy("shard", "source_rank").agg(F.count(F.lit(1)).alias("drew"))
     each = sources.filter("quota > 0").select("source_rank", "n_blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     sofar = Window.partitionBy("source_rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
@@ -108,27 +113,28 @@ def shard_counts(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
     return summed.select("shard", "source_rank", "n_blocks", before.alias("from"), "upto").filter("upto > from")
 
 
-def permuted(x: Column, n: Column, keys: Column) -> Column:
-    """Where x of 0..n-1 goes: in each round, x and key - x (mod n) change places or not, as both of them tell."""
+def permuted(x: Column, n: Column, steps: Column) -> Column:
+    """Where x of 0..n-1 goes: in each step, x and k - x (mod n) change places or not, as both of them and m tell."""
 
-    def swap_or_not(at: Column, r: Column) -> Column:
-        other = F.pmod(F.element_at(keys, r) - at, n)
-        return F.when(noise(F.greatest(at, other), r.cast("long")) % 64 < 32, other).otherwise(at)
+    def swap_or_not(at: Column, step: Column) -> Column:
+        other = F.pmod(step["k"] - at, n)
+        return F.when(F.greatest(at, other) % PRIME * step["m"] % PRIME % 64 < 32, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swap_or_not)
+    return F.coalesce(F.aggregate(steps, x, swap_or_not), F.lit(0).cast("long"))  # never null, and known not to be
 
 
 def laid_slots(counts: DataFrame) -> DataFrame:
     """(shard, source_rank, slot, index): the slots the shards drew, and the block each one takes."""
     n = F.col("n_blocks")
     runs = counts.select("*", F.explode(F.sequence("from", F.col("upto") - 1, F.lit(RUN).cast("long"))).alias("lo"))
-    runs = runs.withColumn("hi", F.least(F.col("lo") + RUN, "upto")).repartition("source_rank", "lo")
-    # a run may reach over the end of a pass; keys are those of a source and pass
+    runs = runs.withColumn("hi", F.least(F.col("lo") + RUN, "upto")).repartition(4 * shuffle_partitions(counts.sparkSession), "source_rank", "lo")
+    # a run may reach over the end of a pass; steps are those of a source and pass
     runs = runs.withColumn("pass", F.explode(F.sequence(over(F.col("lo"), n), over(F.col("hi") - 1, n))))
-    keys = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), lambda r: drawn((F.col("source_rank") * 1024 + F.col("pass")) * ROUNDS + r, 5, n))
-    runs = runs.withColumn("keys", keys)
+    named = lambda r: (F.col("source_rank") * 1024 + F.col("pass")) * ROUNDS + r
+    steps = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), lambda r: F.struct(drawn(named(r), 5, n).alias("k"), (noise(noise(named(r), 9), 10) + 1).alias("m")))
+    runs = runs.withColumn("steps", steps)
     slots = runs.withColumn("slot", F.explode(F.sequence(F.greatest(F.col("lo"), F.col("pass") * n), F.least(F.col("hi"), (F.col("pass") + 1) * n) - 1)))
-    return slots.select("shard", "source_rank", "slot", permuted(F.col("slot") % n, n, F.col("keys")).alias("index"))
+    return slots.select("shard", "source_rank", "slot", permuted(F.col("slot") % n, n, F.col("steps")).alias("index"))
 
 
 def has_map(kind: T.DataType) -> bool:

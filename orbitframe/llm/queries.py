@@ -119,11 +119,12 @@ scaled AS (SELECT *, CASE WHEN drew_all > 0 THEN quota::HUGEINT * so_far // drew
 counts AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY source_rank ORDER BY shard), 0) AS begins FROM scaled),
 slots AS (SELECT source_rank, n, shard, unnest(range(begins, upto)) AS slot FROM counts),
 passes AS (
-  SELECT source_rank, pass, list_transform(range(1, 25), lambda r: {_drawn("(source_rank * 1024 + pass) * 24 + r", 5, "n")}) AS keys
+  SELECT source_rank, pass, list_transform(range(1, 17), lambda r: {_drawn("(source_rank * 1024 + pass) * 16 + r", 5, "n")}) AS k,
+    list_transform(range(1, 17), lambda r: {_noise(_noise("(source_rank * 1024 + pass) * 16 + r", "9"), "10")} + 1) AS m
   FROM (SELECT DISTINCT source_rank, n, slot // n AS pass FROM slots)),
 mapped AS (
-  SELECT source_rank, shard, list_reduce(range(1, 25), lambda x, r:
-      CASE WHEN {_noise("greatest(x, ((keys[r] - x) % n + n) % n)", "r")} % 64 < 32 THEN ((keys[r] - x) % n + n) % n ELSE x END, slot % n) AS index
+  SELECT source_rank, shard, list_reduce(range(1, 17), lambda x, r:
+      CASE WHEN greatest(x, ((k[r] - x) % n + n) % n) % 2147483647 * m[r] % 2147483647 % 64 < 32 THEN ((k[r] - x) % n + n) % n ELSE x END, slot % n) AS index
   FROM slots JOIN passes p USING (source_rank) WHERE p.pass = slot // n),
 blocks AS (SELECT source_rank, index, count(*) AS times, min(shard) AS first_shard, max(shard) AS last_shard FROM mapped GROUP BY ALL),
 laid AS (
