@@ -41,9 +41,10 @@ def invert(obs: DataFrame, n_epochs: int, config: InversionConfig = InversionCon
     """obs(pixel, ref_epoch, sec_epoch, disp, coh) -> (pixel, epoch, disp, n_obs), relative to epoch 0.
 
     A pixel's observations are collected to one row (at most the network's pairs); blocks of rows are solved per
-    Arrow batch. Pixels that fail the coherence gate, or have fewer usable pairs than unknowns, give no rows.
+    Arrow batch. Pixels that fail the coherence gate, or have fewer usable pairs than unknowns, give no rows. NaN counts as missing.
     """
-    good = (F.col("coh") > config.min_coherence) & F.col("disp").isNotNull() & ~F.isnan("disp")
+    obs = obs.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("disp", "coh")})
+    good = (F.col("coh") > config.min_coherence) & F.col("disp").isNotNull()
     gate = (F.count("coh") == F.count(F.lit(1))) & (F.avg("coh") > config.min_mean_coherence)
     item = F.struct("ref_epoch", "sec_epoch", "disp", "coh")
     pixels = obs.groupBy("pixel").agg(F.sort_array(F.collect_list(F.when(good, item))).alias("obs"), gate.alias("ok")).filter("ok").select("pixel", "obs").filter(F.size("obs") >= n_epochs - 1)

@@ -19,6 +19,8 @@ RULES = (
     (r"\bIt'?s important to note\b|\bIn conclusion\b|\bMoreover\b|\bFurthermore\b", "AI connective"),
     (r"\bIn summary\b|\bOverall,\b|\bUltimately,\b", "AI summary opener"),
 )
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+BLANK = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"  # white space of any kind
 HEADING = r"<h[1-6][^>]*>|<title|og:title|twitter:title"
 SNIPPET = 90
 
@@ -34,7 +36,7 @@ def portable(pattern: str) -> str:
 
 def lines_of(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, line (from 1), raw."""
-    return files.filter(F.col(content).isNotNull()).select(F.col(path).alias("path"), F.posexplode(F.split(content, r"\r\n|\r|\n")).alias("line", "raw")).withColumn("line", F.col("line") + 1)
+    return files.filter(F.col(content).isNotNull()).select(F.col(path).alias("path"), F.posexplode(F.split(content, LINE_END)).alias("line", "raw")).withColumn("line", F.col("line") + 1)
 
 
 def outside_style(lines: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def findings(lines: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Da
     heading = F.regexp_like("raw", F.lit(HEADING))
     tests = [F.when(F.regexp_like("text", F.lit(portable(p))) & ~(F.col("heading") & F.lit("em-dash" in m)), F.struct(F.lit(i).alias("rule"), F.lit(m).alias("message"))) for i, (p, m) in enumerate(rules)]
     found = lines.withColumn("text", text).withColumn("heading", heading).withColumn("hit", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))
-    return found.select("path", "line", "hit.rule", "hit.message", F.substring(F.trim("text"), 1, SNIPPET).alias("snippet"))
+    return found.select("path", "line", "hit.rule", "hit.message", F.substring(F.regexp_replace("text", f"^{BLANK}+|{BLANK}+$", ""), 1, SNIPPET).alias("snippet"))
 
 
 def lint(files: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -450,7 +450,7 @@ def _lint_sql() -> str:
     rules = ", ".join(f"({i}, {quote(textlint.portable(p))}, {quote(m)})" for i, (p, m) in enumerate(textlint.RULES))
     return f"""WITH {LINE_SQL.format(key="page_id", text="replace(html, 'with', 'not just')", source="pages")}, rules(rule, pattern, message) AS (VALUES {rules}),
 txt AS (SELECT path, line, raw, regexp_replace(raw, '<[^>]+>', ' ', 'g') AS text, regexp_matches(raw, {quote(textlint.HEADING)}) AS head FROM kept)
-SELECT path, line, rule::INT AS rule, message, left(trim(text, ' '), 90) AS snippet FROM txt, rules WHERE regexp_matches(text, pattern) AND NOT (head AND contains(message, 'em-dash'))"""
+SELECT path, line, rule::INT AS rule, message, left(regexp_replace(text, '^[\\s\\v\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\v\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g'), 90) AS snippet FROM txt, rules WHERE regexp_matches(text, pattern) AND NOT (head AND contains(message, 'em-dash'))"""
 
 
 def page_lines(spark, sf_dir, swap: bool = False):
@@ -481,9 +481,9 @@ def label_join(spark, sf_dir):
     return c.select("c_custkey", scalars.join_parts(F.col("c_name"), F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_mktsegment")), F.col("n_name")).alias("label"))
 
 
-@query("""SELECT o_custkey::VARCHAR AS batch, '10x2' AS looks, o_orderkey::VARCHAR AS job_id, strftime(o_orderdate, '%Y-%m-%d') AS ref FROM orders WHERE o_custkey < 20""")
+@query("""SELECT o_custkey::VARCHAR AS batch, '10x2' AS looks, o_orderkey::VARCHAR AS job_id, strftime(o_orderdate, '%Y-%m-%d') AS ref FROM orders""")
 def manifest_explode(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").filter("o_custkey < 20")
+    o = t(spark, sf_dir, "orders")
     m = o.groupBy(F.col("o_custkey").cast("string").alias("batch")).agg(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("job_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ref"))).alias("jobs"))
     return readers.manifest_jobs(m.withColumn("looks", F.lit("10x2")))
 

@@ -182,3 +182,18 @@ def test_harmonic_fit_equals_lstsq(spark):
     w = 2 * np.pi / 365.25
     x = np.array([[1, *(g(k * w * d) for k in (1, 2) for g in (np.cos, np.sin))] for d, _ in rows])
     assert np.allclose(got, np.linalg.lstsq(x, np.array([v for _, v in rows]), rcond=None)[0])
+
+
+def test_inversion_takes_nan_for_missing(spark):
+    """A NaN coherence fails the pixel's gate, as a missing one does; a NaN displacement is one observation less."""
+    nan, pairs = float("nan"), [(0, 1), (1, 2), (0, 2), (2, 3), (1, 3)]
+    rows = [(p, a, b, nan if (p, a, b) == (2, 0, 2) else float(b - a), nan if (p, a, b) == (1, 1, 2) else 0.9) for p in range(3) for a, b in pairs]
+    got = sbas.invert(spark.createDataFrame(rows, "pixel int, ref_epoch int, sec_epoch int, disp double, coh double"), 4).collect()
+    assert {r["pixel"] for r in got} == {0, 2} and all(abs(r["disp"] - r["epoch"]) < 1e-9 for r in got)
+
+
+def test_lint_snippets_and_line_ends(spark):
+    text = "one\x0btwo\u2028\t\t we delve here \u00a0\t\r\nplain\x85a robust thing"
+    got = {(r["line"], r["snippet"]) for r in textlint.lint(spark.createDataFrame([("f", text)], "path string, content string")).collect()}
+    assert got == {(3, "we delve here"), (5, "a robust thing")}
+    assert [r["raw"] for r in textlint.lines_of(spark.createDataFrame([("f", text)], "path string, content string")).orderBy("line").collect()] == text.splitlines()
