@@ -598,4 +598,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     wide = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.struct(*row_keys(docs)).alias("h"), F.struct("*").alias("row"))
     named = wide.join(kept, F.col("id") == F.col("kept"), "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
     nameless = wide.filter("id is null").groupBy("t").agg(F.min_by("row", "h").alias("row"))
-    return named.select("row").unionByName(nameless.select("row")).select("row.*")
+    return named.select("row").unionByName(nameless.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

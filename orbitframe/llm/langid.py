@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orbitframe.llm import textarrow as ta
 
@@ -205,8 +204,14 @@ def identify(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """docs without the rows that are rejected; a row's verdict travels with it, so no join is needed."""
-    model = fitted(docs, held_out_column(), config)
-    wide = docs.select(F.struct("*").alias("row"), "text")
-    verdicts = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return wide.mapInArrow(predictor(model), verdicts).filter("accepted").select("row.*")
+    """docs without the rows that are rejected; rows pass as they are, so no join is needed and any column may be there."""
+    model, at = fitted(docs, held_out_column(), config), docs.columns.index("text")
+    judge = predictor(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (verdict,) = judge(iter([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]))
+            yield batch.filter(verdict.column("accepted"))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # columns by place, as a name may hold a dot
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
