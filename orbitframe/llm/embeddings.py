@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm.components import connected_components, local_labels
 from orbitframe.llm.hnsw import Graph
-from orbitframe.llm.settings import scratch, written
+from orbitframe.llm.settings import scratch, shuffle_partitions, written
 
 SLACK = 1e-4  # float32 against double
 PIECES = 64  # in which the vectors of a label are counted
@@ -176,11 +176,12 @@ def link_embeddings(embeddings: DataFrame, config: Config = Config()) -> DataFra
     label = Window.partitionBy("label", "dim")
     sizes = pieced.groupBy("label", "dim", "piece").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.sum("n").over(label) / F.lit(float(config.shard_rows)))).drop("n")
     dealt = pieced.join(sizes, ["label", "dim", "piece"]).withColumn("shard", F.pmod("h1", "shards"))
+    tasks = 4 * shuffle_partitions(spark)  # by work, not by bytes: graphs are small and searches long
     blobs = "nodes binary, weights binary, vectors binary, graph binary"
-    built = dealt.select("label", "dim", "shard", "shards", "node", "weight", "vector").groupBy("label", "dim", "shard").applyInArrow(build_shard(dtype), f"label string, dim int, shard long, shards long, {blobs}")
+    built = dealt.select("label", "dim", "shard", "shards", "node", "weight", "vector").repartition(tasks, "label", "dim", "shard").groupBy("label", "dim", "shard").applyInArrow(build_shard(dtype), f"label string, dim int, shard long, shards long, {blobs}")
     graphs = written(built, f"{at}/graphs")
     paired = graphs.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).withColumn("x", F.least("shard", "with")).withColumn("y", F.greatest("shard", "with"))
-    found = written(paired.groupBy("label", "dim", "x", "y").applyInArrow(query_shards(config, dtype), "kind int, node long, value long"), f"{at}/found")
+    found = written(paired.repartition(tasks, "label", "dim", "x", "y").groupBy("label", "dim", "x", "y").applyInArrow(query_shards(config, dtype), "kind int, node long, value long"), f"{at}/found")
     links = found.filter("kind = 0").groupBy("node").agg(F.sum("value").alias("links"))
     parts = connected_components(found.filter("kind = 1").select(F.col("node").alias("src"), F.col("value").alias("dst")))
     known = reps.select("h1", "h2", "node", "rep", "weight").join(links, "node", "left").join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
