@@ -30,7 +30,6 @@ class InversionConfig:
     min_coherence: float = 0.3
     min_mean_coherence: float = 0.4
     orphan: str = "null"  # or "zero": what an epoch without observations gives
-    block: int = 4096  # pixels a task solves at a time
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,6 @@ class ChangeConfig:
     min_slope_deg: float = 15.0
     min_pixels: int = 8
     pixel_area_m2: float = 100.0
-    top: int = 100
 
 
 @dataclass(frozen=True)
@@ -61,4 +59,3 @@ class ClimatologyConfig:
 @dataclass(frozen=True)
 class RunConfig:
     steps: int = 3
-    quiet_max: float = 3.0

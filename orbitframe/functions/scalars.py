@@ -89,6 +89,7 @@ def asset_href(assets: Column, name: str, aliases: tuple[str, ...] = ()) -> Colu
 
 
 def _any_in(key: Column, parts: tuple[str, ...]) -> Column:
+    key = F.lower(key)
     out = F.contains(key, F.lit(parts[0]))
     for p in parts[1:]:
         out = out | F.contains(key, F.lit(p))
@@ -101,6 +102,23 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+def fixed4(x: Column) -> Column:
+    return F.format_string("%.4f", x)
+
+
+def uri_component(text: Column) -> Column:
+    """Percent-encoded UTF-8; letters, digits and - _ . ! ~ * ' ( ) stay."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def point_query(lon: Column, lat: Column) -> Column:
+    """The point of an archive request, encoded."""
+    return uri_component(F.concat(F.lit("POINT("), fixed4(lon), F.lit(" "), fixed4(lat), F.lit(")")))
+
+
 # Transverse Mercator by the Krüger series to the third order (WGS 84).
 _A, _FLAT, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = _FLAT / (2 - _FLAT)

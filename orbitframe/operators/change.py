@@ -32,18 +32,57 @@ def gradient(grid: DataFrame, value: str, step: float = 1.0) -> DataFrame:
     return out.withColumn("slope_deg", F.degrees(F.atan(F.hypot("d_row", "d_col"))))
 
 
-def hysteresis_clusters(cells: DataFrame, value: str, config: ChangeConfig = ChangeConfig(), halo: Column | None = None) -> DataFrame:
-    """Clusters of cells at or under the halo level that hold a seed and enough cells; lower is stronger."""
+def hysteresis_clusters(cells: DataFrame, value: str, config: ChangeConfig = ChangeConfig(), halo: Column | None = None, means: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters of cells at or under the halo level that hold a seed and enough cells; lower is stronger. ``means`` are averaged over their cells."""
     inside = cells.filter(F.col(value) <= config.grow_db) if halo is None else cells.filter(halo)
     labels = label_cells(inside.select("row", "col"))
     labelled = labels.join(inside, ["row", "col"])
     out = labelled.groupBy("label").agg(
-        F.count(F.lit(1)).alias("size"), F.min(value).alias("peak"), F.avg(value).alias("mean"), F.avg("row").alias("row"), F.avg("col").alias("col")
+        F.count(F.lit(1)).alias("size"), F.min(value).alias("peak"), F.avg(value).alias("mean"), F.avg("row").alias("row"), F.avg("col").alias("col"),
+        *(F.avg(c).alias(f"mean_{c}") for c in means),
     )
     out = out.filter((F.col("size") >= config.min_pixels) & (F.col("peak") <= config.seed_db))
     return out.withColumn("area_m2", F.col("size") * F.lit(config.pixel_area_m2)).withColumn("score", F.round(cluster_score(F.col("peak"), F.col("size")), 2))
 
 
+def steep_halo(value: str, slope: str, config: ChangeConfig = ChangeConfig()) -> Column:
+    """Cells that changed enough on a slope that is steep enough; missing values are outside."""
+    return F.coalesce((F.col(slope) >= config.min_slope_deg) & (F.col(value) <= config.grow_db), F.lit(False))
+
+
+_GROUP_ROWS = 1 << 24  # rows a group may have: groups lie that far apart, so that no cluster spans two
+
+
+def persistent_change(passes: DataFrame, terrain: DataFrame, groups: tuple[str, ...], config: ChangeConfig = ChangeConfig()) -> DataFrame:
+    """passes(group, seq, is_post, row, col, vh, vv as power), terrain(row, col, slope_deg) -> clusters of change per group and kind.
+
+    ``rapid`` holds the first pass afterwards against the median before, ``confirmed`` the median of all passes
+    afterwards: what changed for good stays, speckle doesn't repeat. All groups are labelled at once; they are a
+    given short list (orbits), of fewer than 128.
+    """
+    first = passes.filter("is_post").groupBy("group").agg(F.min("seq").alias("_first"))
+    index = F.array_position(F.array(*map(F.lit, groups)), F.col("group")) - 1
+    p = passes.filter(F.col("group").isin(*groups)).join(first, "group")
+    med = lambda c, side: F.percentile(F.when(side, decibel(F.col(c))), F.lit(0.5))
+    post = F.col("is_post")
+    sides = [m.alias(f"{c}_{n}") for c in ("vh", "vv") for n, m in (("pre", med(c, ~post)), ("confirmed", med(c, post)), ("rapid", med(c, post & (F.col("seq") == F.col("_first")))))]
+    cells = p.groupBy("group", "row", "col").agg(*sides).join(terrain.select("row", "col", "slope_deg"), ["row", "col"])
+    cells = cells.withColumn("row", F.col("row").cast("long") + index * _GROUP_ROWS)
+
+    def clusters(kind: str) -> DataFrame:
+        change = cells.select("row", "col", (F.col(f"vh_{kind}") - F.col("vh_pre")).alias("vh"), (F.col(f"vv_{kind}") - F.col("vv_pre")).alias("vv"), F.col("slope_deg").alias("slope"))
+        return hysteresis_clusters(change, "vh", config, steep_halo("vh", "slope", config), ("vv", "slope")).withColumn("kind", F.lit(kind))
+
+    out = clusters("rapid").unionByName(clusters("confirmed"))
+    at = F.shiftright("label", 56)
+    out = out.withColumn("group", F.element_at(F.array(*map(F.lit, groups)), (at + 1).cast("int")))
+    return out.withColumn("row", F.col("row") - at * _GROUP_ROWS).withColumn("label", F.col("label") - F.shiftleft(at, 56))
+
+
+def candidate_totals(candidates: DataFrame, keys: list[str], within: Column) -> DataFrame:
+    return candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(within).alias("n_within"))
+
+
 def ranked(clusters: DataFrame, within: Column) -> DataFrame:
     """Rank by score among the rows within; rows outside have none. The window is partitioned by the flag."""
     w = Window.partitionBy(within).orderBy(F.col("score").desc(), F.col("label"))

@@ -90,3 +90,14 @@ def placebo_rank(scores: DataFrame, key: str, is_event: Column, v: str) -> DataF
     )
     below = F.size(F.filter("null", lambda x: x < F.col("observed"))) / F.size("null")
     return out.select(key, "observed", F.when(F.size("null") > 0, below).alias("share_below"), F.when(F.col("null_se") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_se")).alias("offset_se"))
+
+
+def variance_explained(df: DataFrame, covariates: list[str], v: str) -> DataFrame:
+    """One row: the share of the variance of v that the covariates explain; NULL where v doesn't vary."""
+    left, spread = F.sum(F.col("detrended") * F.col("detrended")), F.var_pop(v) * F.count(v)
+    return detrended(df, covariates, v).filter(F.col(v).isNotNull()).agg(F.when(spread > 0, 1 - left / spread).alias("r2"), F.count(v).alias("n"))
+
+
+def detrended_exceedance(df: DataFrame, keys: list[str], ts: str, covariates: list[str], v: str, config: TrailingConfig = TrailingConfig()) -> DataFrame:
+    """The trailing-quartile detector on what the covariates leave."""
+    return trailing_quartiles(detrended(df, covariates, v), keys, ts, "detrended", config)

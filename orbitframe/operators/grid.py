@@ -57,6 +57,39 @@ def nearest(points: DataFrame, grid: DataFrame, spec: GridSpec, v: str) -> DataF
     return points.select("id", r.alias("row"), c.alias("col")).join(grid.select("row", "col", v), ["row", "col"], "left").select("id", v)
 
 
+def masked(grid: DataFrame, v: str, nodata: float | None = 0.0) -> DataFrame:
+    """NaN and the nodata value become NULL."""
+    known = F.col(v).isNotNull() & ~F.isnan(v)
+    return grid.withColumn(v, F.when(known if nodata is None else known & (F.col(v) != nodata), F.col(v)))
+
+
+def warped(grid: DataFrame, src: GridSpec, dst: GridSpec, v: str, nodata: float | None = 0.0) -> DataFrame:
+    """The values of a grid at the pixel centres of another one, bilinear; a cell next to nodata is NULL."""
+    x, y = dst.centre(F.col("row"), F.col("col"))
+    cells = dst.cells(grid.sparkSession).withColumn("id", F.col("row").cast("long") * dst.width + F.col("col"))
+    out = bilinear(cells.select("id", x.alias("x"), y.alias("y")), masked(grid, v, nodata), src, v)
+    return cells.join(out, "id").drop("id")
+
+
+def read_resampled(pixels: DataFrame, shape: tuple[int, int], out: tuple[int, int], v: str, method: str = "bilinear") -> DataFrame:
+    """A window of ``shape`` pixels as ``out`` pixels, sampled at the centre of each: between neighbours, or the nearest one."""
+    (h, w), (oh, ow) = shape, out
+    target = GridSpec(0.0, 0.0, 1.0, oh, ow)
+    cells = target.cells(pixels.sparkSession).withColumn("id", F.col("row").cast("long") * ow + F.col("col"))
+    points = cells.select("id", ((F.col("col") + 0.5) * (w / ow)).alias("x"), (-(F.col("row") + 0.5) * (h / oh)).alias("y"))
+    kernel = bilinear if method == "bilinear" else nearest
+    return cells.join(kernel(points, pixels, GridSpec(0.0, 0.0, 1.0, h, w), v), "id").drop("id")
+
+
+def aligned(bands: DataFrame, keys: list[str], band: str, v: str, names: list[str]) -> DataFrame:
+    """Long bands side by side, one row per pixel, in one aggregate."""
+    return bands.filter(F.col(band).isin(*names)).groupBy(*keys).agg(*(F.max(F.when(F.col(band) == n, F.col(v))).alias(n) for n in names))
+
+
+def valid_fraction(pixels: DataFrame, keys: list[str], v: str) -> DataFrame:
+    return pixels.groupBy(*keys).agg(F.avg(F.col(v).isNotNull().cast("int")).alias("valid_frac"))
+
+
 def window_around(pixels: DataFrame, sites: DataFrame, half: int = 40) -> DataFrame:
     """Pixels within ``half`` of each site(site, site_row, site_col), met on blocks of that size."""
     block = 2 * half
@@ -73,4 +106,16 @@ def hillshade(d_row: Column, d_col: Column, azimuth: float = 315.0, altitude: fl
     a, z = math.radians(360 - azimuth + 90), math.radians(90 - altitude)
     slope = F.atan(exaggeration * F.hypot(d_row, d_col))
     aspect = F.atan2(d_row, -d_col)
-    return F.greatest(F.lit(0.0), math.cos(z) * F.cos(slope) + math.sin(z) * F.sin(slope) * F.cos(a - aspect))
+    shade = math.cos(z) * F.cos(slope) + math.sin(z) * F.sin(slope) * F.cos(a - aspect)
+    return F.when(shade.isNotNull(), F.greatest(F.lit(0.0), shade))
+
+
+def map_table(terrain: DataFrame, elevation: str) -> DataFrame:
+    """Terrain with its gradients -> the table a map is drawn from: shade, and whether a cell is sea."""
+    return terrain.select("row", "col", hillshade(F.col("d_row"), F.col("d_col")).alias("shade"), (F.coalesce(F.col(elevation), F.lit(0.0)) <= 0).alias("sea"))
+
+
+def map_rings(candidates: DataFrame, inside: Column, top: int = 100) -> DataFrame:
+    """The first candidates with the size and colour of their ring."""
+    first = candidates.orderBy(F.col("score").desc(), "label").limit(top)
+    return first.withColumn("ring", F.greatest(F.lit(25.0), F.col("area_m2") / 80)).withColumn("colour", F.when(inside, "#ff3b30").otherwise("#8e8e93"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.config import HarmonicConfig
 from orbitframe.functions.scalars import floored_mad, robust_z
+from orbitframe.operators.select import require_rows
 
 
 def design(doy: Column, harmonics: int) -> list[Column]:
@@ -63,5 +64,6 @@ def with_robust_z(df: DataFrame, residual: str, threshold: float) -> DataFrame:
 
 
 def seasonal_anomaly(series: DataFrame, doy: str, value: str, config: HarmonicConfig = HarmonicConfig()) -> DataFrame:
-    rounded = series.withColumn(value, F.round(value, config.value_digits))
+    """Anomalies of a series around its seasonal cycle; fewer rows than the fit needs are an error."""
+    rounded = require_rows(series, config.min_rows, "seasonal baseline").withColumn(value, F.round(value, config.value_digits))
     return with_robust_z(with_baseline(rounded, doy, value, config), "residual", config.threshold)

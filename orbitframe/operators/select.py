@@ -69,3 +69,15 @@ def water_area(pixels: DataFrame, scene: str, green: str, nir: str, scl: str, mi
     wet = valid & ((normalized_difference(F.col(green), F.col(nir)) > 0) | (F.col(scl) == water))
     out = pixels.groupBy(scene).agg(F.avg(valid.cast("int")).alias("valid_frac"), (F.sum(F.coalesce(wet, F.lit(False)).cast("int")) * F.lit(area)).alias("water_km2"))
     return out.filter(F.col("valid_frac") >= min_valid)
+
+
+def ordered_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with its place (from 1) in a total order. Ranges of the order are sorted apart; only their sizes are summed in one place."""
+    from orbitframe.operators.components import checkpointed
+
+    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    parts = parts.withColumn("_part", F.shiftright("_at", 33))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    out = parts.join(F.broadcast(sizes), "_part")  # one row a shuffle partition
+    return out.withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_at", "_part", "_before")

@@ -59,3 +59,8 @@ def findings(lines: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Da
 
 def lint(files: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     return findings(outside_style(lines_of(files)), rules)
+
+
+def exit_status(found: DataFrame) -> DataFrame:
+    """One row: the number of findings, and 1 if there are any."""
+    return found.agg(F.count(F.lit(1)).alias("findings")).withColumn("status", F.when(F.col("findings") > 0, 1).otherwise(0))

@@ -307,7 +307,7 @@ SELECT s.site, min(d."rank") AS "rank", round(arg_min(d.m, d."rank"), 3) AS dist
 def truth_check(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
     at = lambda i, base: F.lit(base) + F.round(F.element_at("embedding", i).cast("double"), 5) / 50
-    cand = sbas.rank_in(e.select("vec_id", at(1, 22.3).alias("lat"), at(2, 114.2).alias("lon")), [F.lit(0)], ["vec_id"])
+    cand = select.ordered_rank(e.select("vec_id", at(1, 22.3).alias("lat"), at(2, 114.2).alias("lon")), ["vec_id"])
     sites = e.filter("label = 3").select(F.col("vec_id").alias("site"), (at(1, 22.3) + 0.001).alias("lat"), (at(2, 114.2) - 0.001).alias("lon"))
     return change.truth_check(cand, sites).select("site", F.col("rank").cast("long").alias("rank"), F.round("dist_m", 3).alias("dist_m"))
 
