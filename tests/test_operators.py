@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from orbitframe.config import ChangeConfig, InversionConfig
 from orbitframe.functions import scalars
-from orbitframe.operators import change, components, detectors, grid, harmonic, sbas, select, stats, textlint, zonal
+from orbitframe.operators import change, components, detectors, grid, harmonic, sbas, select, stats, textlint, trend, zonal
 from orbitframe.sources import readers, sinks
+from tests import golden
 
 
 def one(spark, *cols):
@@ -197,3 +198,70 @@ def test_lint_snippets_and_line_ends(spark):
     got = {(r["line"], r["snippet"]) for r in textlint.lint(spark.createDataFrame([("f", text)], "path string, content string")).collect()}
     assert got == {(3, "we delve here"), (5, "a robust thing")}
     assert [r["raw"] for r in textlint.lines_of(spark.createDataFrame([("f", text)], "path string, content string")).orderBy("line").collect()] == text.splitlines()
+
+
+def test_published_seasonal_baseline(spark):
+    rows = [(dt.date.fromisoformat(d), doy, v) for d, doy, v, _, _ in golden.SEASONAL]
+    got = harmonic.seasonal_anomaly(spark.createDataFrame(rows, "date date, doy int, v double"), "doy", "v").orderBy("date").collect()
+    assert [r["date"] for r in got if r["anomaly"]] == [dt.date(2025, 5, 9)]
+    for r, (_, _, _, expected, z) in zip(got, sorted(golden.SEASONAL), strict=True):
+        assert r["expected"] == pytest.approx(expected, abs=6e-4) and r["z"] == pytest.approx(z, abs=6e-3)
+
+
+def test_published_trend(spark):
+    df = spark.createDataFrame([(dt.date.fromisoformat(d), v) for d, v in golden.DISPLACEMENT], "date date, v double")
+    r = trend.trends(df.withColumn("t", scalars.year_fraction(F.col("date"))).withColumn("k", F.lit(0)), ["k"], "t", "v").first()
+    assert r["n"] == 37 and r["slope"] == pytest.approx(0.01, abs=0.006) and r["scatter"] == pytest.approx(2.33, abs=0.006)
+
+
+def test_published_scores(spark):
+    df = spark.createDataFrame([(float(p), a // 100, s) for p, a, s in golden.SCORES], "peak double, size int, score double")
+    assert all(abs(r["got"] - r["score"]) < 0.03 for r in df.withColumn("got", scalars.cluster_score(F.col("peak"), F.col("size"))).collect())
+
+
+def test_too_short_a_series_is_an_error(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(9)], "doy int, v double")
+    with pytest.raises(ValueError, match="9 rows"):
+        harmonic.seasonal_anomaly(df, "doy", "v")
+
+
+def test_ring_of_any_shape(spark):
+    hollow = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]  # a notch from above
+    df = spark.createDataFrame([([dict(x=x, y=y) for x, y in hollow],), ([],), (None,)], "ring array<struct<x: double, y: double>>")
+    at = lambda x, y: [r[0] for r in df.select(readers.in_ring(F.col("ring"), F.lit(x), F.lit(y))).collect()]
+    assert at(2.0, 0.5) == [True, False, None] and at(2.0, 2.0)[0] is False and at(0.5, 2.0)[0] is True and at(5.0, 1.0)[0] is False
+
+
+def test_noise_weighs_by_coherence_squared(spark):
+    obs = [(0, 1, 1.0, 0.9), (0, 1, 2.0, 0.5), (1, 2, 1.0, 0.8)]
+    df = spark.createDataFrame([(0, *o) for o in obs], "pixel long, ref_epoch int, sec_epoch int, disp double, coh double")
+    got = [r["disp"] for r in sbas.invert(df, 3).orderBy("epoch").collect()]
+    first = (0.81 * 1.0 + 0.25 * 2.0) / (0.81 + 0.25)
+    assert got == pytest.approx([0.0, first, first + 1.0])
+
+
+def test_nan_coherence_fails_the_gates(spark):
+    obs = [(p, i, j, 1.0, math.nan if p == 1 and i == 0 else 0.9) for p in (0, 1) for i, j in network(3)]
+    df = spark.createDataFrame(obs, "pixel long, ref_epoch int, sec_epoch int, disp double, coh double")
+    assert {r["pixel"] for r in sbas.invert(df, 3).collect()} == {0}
+
+
+def test_change_that_stays_and_change_that_does_not(spark):
+    """Two blocks fall on the first pass afterwards; one recovers. Equal places in two groups stay apart, flat ground is left out."""
+    rows = []
+    for g in ("a", "b"):
+        for s in range(6):
+            for r in range(10):
+                for c in range(10):
+                    low = g == "a" and ((r < 3 and c < 3 and s >= 3) or (r > 6 and c > 6 and s == 3))
+                    rows.append((g, s, s >= 3, r, c, 0.1 if low else 1.0, 1.0))
+    passes = spark.createDataFrame(rows, "group string, seq int, is_post boolean, row int, col int, vh double, vv double")
+    terrain = spark.createDataFrame([(r, c, 5.0 if r == 0 and c == 0 else 20.0) for r in range(10) for c in range(10)], "row int, col int, slope_deg double")
+    got = {(x["kind"], x["group"], x["size"], x["label"] >> 32) for x in change.persistent_change(passes, terrain, ("b", "a")).collect()}
+    assert got == {("rapid", "a", 8, 0), ("rapid", "a", 9, 7), ("confirmed", "a", 8, 0)}
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1009).repartition(7)
+    got = [r["k"] for r in select.ordered_rank(df, ["k"]).orderBy("rank").collect()]
+    assert got == sorted(got) and [r["rank"] for r in select.ordered_rank(df, ["k"]).orderBy("rank").collect()] == list(range(1, 1001))
