@@ -541,7 +541,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sets = written(token_sets(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-sets"), f"{at}/sets-0")
     links = linked(near, sets, "links-0")
     comps = connected_components(links)
-    members = lists.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("key"), "size", "rest", "part")
+    # Buckets name lists by their members, so lists of several buckets may be one: a member is in it once, however many buckets there are.
+    named = lists.filter("kind = 2").groupBy(F.col("a").alias("list"), "part", F.col("b").alias("key"))
+    members = written(named.agg(F.first("size").alias("size"), F.max("rest").alias("rest")), f"{at}/members")
 
     for k, across in ((1, False), (2, True)):
         shards = shards_of(members, comps, across)
