@@ -60,6 +60,8 @@ class Model:
 
     def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Mean of the projected rows of each text's subwords; zero where a text has none."""
+        # One more row of zeros, for where a segment ends with the slice.
+        table = np.vstack([self.table, np.zeros((1, len(self.labels)), self.table.dtype)])
         total = np.zeros((len(off) - 1, len(self.labels)))
         count = np.zeros(len(off) - 1)
         for n, ids in zip(GRAMS, gram_ids(data, self.bits), strict=True):
@@ -69,7 +71,7 @@ class Model:
             rows = np.flatnonzero(hi > lo)
             if not len(rows):
                 continue
-            got = np.vstack([self.table[ids], np.zeros((1, len(self.labels)), self.table.dtype)])
+            got = table[np.append(ids, np.uint32(len(self.table)))]
             total[rows] += np.add.reduceat(got, np.stack([lo[rows], hi[rows]], 1).ravel(), axis=0, dtype=np.float64)[::2]
             count += hi - lo
         return total / np.maximum(count, 1)[:, None] + self.bias
@@ -175,7 +177,7 @@ def predictor(model: Model | None):
             data, off = ta.utf8(batch.column(batch.schema.names.index("text")))
             n = len(off) - 1
             lang, score, sure = [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
-            for lo, hi in ta.slices(off, max(1 << 18, (8 << 20) // max(1, len(model.labels) if model else 1))):
+            for lo, hi in ta.slices(off, max(1 << 16, (2 << 20) // max(1, len(model.labels) if model else 1))):
                 if model is None:
                     break
                 part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
