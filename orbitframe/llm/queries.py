@@ -73,12 +73,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": MIX}
+    return {"op9_mix_sources": MIX, "op12_source_divergence": DIVERGENCE, "op13_spelling_variants": SPELLING}
 
 
 def _noise(x: str, k: str) -> str:
@@ -137,3 +155,51 @@ took AS (
   FROM pieces p JOIN blocks b ON b.source_rank = p.source_rank AND b.index = p.index GROUP BY row)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(first_shard, -1) AS first_shard, coalesce(last_shard, -1) AS last_shard FROM laid LEFT JOIN took USING (row)
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _weight(n: str, total: str, v: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + {v}))"
+
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+found AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), '{_UPPER}', '{_LOWER}') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(s.total, 0) AS total, coalesce(l.v, 0) AS v, coalesce(l.total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source LEFT JOIN langs l ON l.lang = g.lang),
+weights AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_weight("coalesce(c.n, 0)", "g.total", "g.v")} AS p, {_weight("k.n", "g.lang_total", "g.v")} AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM weights a JOIN weights b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM weights WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+# The checksum bit by bit: a table of 256 entries, then the bytes of id and run, which are ASCII or U+00C0 to U+00FF.
+SPELLING = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, i)) AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+times AS (SELECT doc, run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (SELECT doc, run, times, flatten(list_transform(range(1, len(doc) + len(run) + 2), lambda i:
+  CASE WHEN unicode(substr(doc || ':' || run, i, 1)) < 128 THEN [unicode(substr(doc || ':' || run, i, 1))] ELSE [195, unicode(substr(doc || ':' || run, i, 1)) - 64] END)) AS b FROM times),
+hashed AS (SELECT doc, run, times, xor(4294967295, list_reduce(b, lambda c, x: xor(c // 256, t[(xor(c, x) % 256 + 1)::INT]), 4294967295::BIGINT)) AS h FROM bytes, crc),
+slipped AS (SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE len(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT a AS word, count(*) AS n_near, min({{'minus': -w.n, 'form': b}}) AS best FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.minus >= 10 * n THEN best.form END AS form, (CASE WHEN -best.minus >= 10 * n THEN -best.minus END)::BIGINT AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS further FROM forms UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON forms.word = walk.further)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word AND walk.further IS NULL
+"""
