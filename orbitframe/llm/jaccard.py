@@ -72,10 +72,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.
     token = grams[np.repeat(first, count) + ta.ranges(count)] if len(row) else np.zeros(0, ta.U64)
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        p, inv = ta.powers(ta._WORD_BASE, len(words.hash))
-        total = np.append(ta.U64(0), np.cumsum(words.hash * p))
-        a, b = words.rows[short], words.rows[short + 1]
-        whole = ta.mix((total[b] - total[a]) * inv[a] + (b - a).astype(ta.U64) * ta.U64(0x9FB21C651E98DF25))
+        whole = ta.keyed_hash(words.hash[np.repeat(first[short], n[short]) + ta.ranges(n[short])], n[short], ta.WORD_SEED)
         row, token = np.concatenate([row, short]), np.concatenate([token, whole])
     key = np.unique((row.astype(ta.U64) << ta.U64(TOKEN_BITS)) | (token & MASK))
     rows = (key >> ta.U64(TOKEN_BITS)).astype(np.int64)

@@ -2,8 +2,9 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, i.e. ``[^\\x20\\x09-\\x0D]+``; in UTF-8
 no multi-byte character holds one of these bytes, so splitting bytes equals splitting characters. Hashes
-are polynomial sums modulo 2**64 taken from prefix sums, then mixed, so the cost is a few vector
-operations per byte and no Python object per word.
+of words and of runs of words are sums of (value x key of its place), one random odd key per place, then mixed: a few
+vector operations per byte and no Python object per word. Keys that are powers of one base would not do: modulo
+2**64 regular texts of a thousand characters then have equal sums.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93
-_BASES2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_BYTE_BASE = 0x9E3779B97F4A7C15 | 5
+BYTE_SEED, WORD_SEED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+SECOND_SEEDS = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+HELD_KEYS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +40,25 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 BYTE_VALUE_LOWER = BYTE_VALUE[LOWER]
 
+_keys: dict[int, np.ndarray] = {}
+
+
+def place_keys(seed: int, place: np.ndarray) -> np.ndarray:
+    """A random odd number for each place. Those of the first places are held."""
+    make = lambda at: mix(at.astype(U64) * U64(0xA0761D6478BD642F) + U64(seed)) | U64(1)
+    if seed not in _keys:
+        _keys[seed] = make(np.arange(HELD_KEYS))
+    return _keys[seed][place] if not len(place) or place.max() < HELD_KEYS else make(place)
+
+
+def keyed_hash(values: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each run of values; runs follow one another and have at least one value each."""
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * place_keys(seed, ranges(lengths)), out=total[1:])
+    ends = np.cumsum(lengths)
+    return mix(total[ends] - total[ends - lengths] + lengths.astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -102,24 +124,24 @@ class Words:
         self.starts = np.flatnonzero(word & before)
         self.ends = np.flatnonzero(word & after) + 1
         self.rows = np.searchsorted(self.starts, off)
-        values = BYTE_VALUE_LOWER if lower else BYTE_VALUE
-        self.hash = segment_hash(values[data], self.starts, self.ends, _BYTE_BASE)
-        self.hash2 = segment_hash(values[data], self.starts, self.ends, _BASES2[0]) if second else None
+        values, lengths = (BYTE_VALUE_LOWER if lower else BYTE_VALUE)[data[word]], self.ends - self.starts
+        self.hash = keyed_hash(values, lengths, BYTE_SEED)
+        self.hash2 = keyed_hash(values, lengths, SECOND_SEEDS[0]) if second else None
 
     def grams(self, k: int, second: bool = False) -> np.ndarray:
         """Hash of the k words from each word on; entries that would cross the end of a row are meaningless."""
-        h, base = (self.hash2, _BASES2[1]) if second else (self.hash, _WORD_BASE)
-        n = len(h)
-        if n < k:
+        h, seed = (self.hash2, SECOND_SEEDS[1]) if second else (self.hash, WORD_SEED)
+        n = len(h) - k + 1
+        if n < 1:
             return np.zeros(0, U64)
-        p, inv = powers(base, n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(h * p, out=total[1:])
-        return mix((total[k:] - total[:-k]) * inv[: n - k + 1])
+        total = np.zeros(n, U64)
+        for j, key in enumerate(place_keys(seed, np.arange(k))):
+            total += h[j : n + j] * key
+        return mix(total)
 
 
 def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each byte range, independent of where it lies."""
+    """Hash of each byte range, independent of where it lies: a polynomial, for ranges whose hashes may coincide."""
     p, inv = powers(base, len(values))
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values * p, out=total[1:])

@@ -445,7 +445,7 @@ def test_chat_round_trip(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     for r in chat.format_conversations(df).collect():
         assert len(r["formatted"]) == got[r["conv_id"]]["formatted_chars"]
-        assert "".join(chat.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss_spans"]) and True or got[r["conv_id"]]["loss_chars"] == 0
+        assert len("".join(chat.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss_spans"])) == got[r["conv_id"]]["loss_chars"]
     assert chat.format_digests(df.limit(0)).count() == 0
 
 
