@@ -59,3 +59,14 @@ class ClimatologyConfig:
 @dataclass(frozen=True)
 class RunConfig:
     steps: int = 3
+
+
+@dataclass(frozen=True)
+class PrecursorConfig:
+    """A study of the days before events: 30 scored days, each against the 15 before it; the twin window is a year earlier."""
+
+    scored_days: int = 30
+    history_days: int = 15
+    factor: float = 1.5
+    twin_months: int = 12
+    shifts: tuple[int, ...] = tuple(s for d in range(15, 76, 10) for s in (d, -d))

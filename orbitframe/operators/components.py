@@ -7,19 +7,16 @@ then spread by hooking to the smallest label and pointer jumping. Each round is
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.storage import shared_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbitframe-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.config import ClimatologyConfig, RunConfig, TrailingConfig
-from orbitframe.operators.harmonic import least_squares, linear
+from orbitframe.operators.harmonic import least_squares, linear, with_fit
 
 DAY = 86400
 
@@ -65,8 +65,10 @@ def despiked(df: DataFrame, keys: list[str], order: str, v: str, reach: int = 3,
     return df.withColumn("_med", med).withColumn(v, F.when(F.col(v) <= factor * F.abs("_med"), F.col(v))).drop("_med")
 
 
-def detrended(df: DataFrame, covariates: list[str], v: str) -> DataFrame:
-    """df with ``detrended``: the residual of v on an intercept and the covariates."""
+def detrended(df: DataFrame, covariates: list[str], v: str, keys: list[str] | None = None) -> DataFrame:
+    """df with ``detrended``: the residual of v on an intercept and the covariates; with keys, of one fit per key."""
+    if keys:
+        return with_fit(df, keys, [F.lit(1.0), *(F.col(c) for c in covariates)], v).withColumn("detrended", F.col("residual")).drop("expected", "residual")
     x = [F.lit(1.0), *(F.col(c) for c in covariates)]
     return df.withColumn("detrended", F.col(v) - linear(x, least_squares(df, x, v)))
 
@@ -84,20 +86,22 @@ def placebos(events: DataFrame, lon: str, shifts: tuple[int, ...] = tuple(s for
 
 def placebo_rank(scores: DataFrame, key: str, is_event: Column, v: str) -> DataFrame:
     """Per key: share of placebos below the event, and the event's offset from their mean in standard errors."""
+    seen = scores.groupBy(key).agg(F.max(F.when(is_event, F.col(v))).alias("observed"))
     null = F.when(~is_event, F.col(v))
-    out = scores.groupBy(key).agg(
-        F.max(F.when(is_event, F.col(v))).alias("observed"), F.sort_array(F.collect_list(null)).alias("null"), F.avg(null).alias("null_mean"), (F.stddev_samp(null) / F.sqrt(F.count(null))).alias("null_se")
+    below = F.count_if(~is_event & (F.col(v) < F.col("observed"))) / F.count(null)
+    out = scores.join(seen, key).groupBy(key).agg(
+        F.first("observed").alias("observed"), F.when(F.count(null) > 0, below).alias("share_below"), F.avg(null).alias("null_mean"), (F.stddev_samp(null) / F.sqrt(F.count(null))).alias("null_se")
     )
-    below = F.size(F.filter("null", lambda x: x < F.col("observed"))) / F.size("null")
-    return out.select(key, "observed", F.when(F.size("null") > 0, below).alias("share_below"), F.when(F.col("null_se") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_se")).alias("offset_se"))
+    return out.select(key, "observed", "share_below", F.when(F.col("null_se") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_se")).alias("offset_se"))
 
 
-def variance_explained(df: DataFrame, covariates: list[str], v: str) -> DataFrame:
-    """One row: the share of the variance of v that the covariates explain; NULL where v doesn't vary."""
+def variance_explained(df: DataFrame, covariates: list[str], v: str, keys: list[str] | None = None) -> DataFrame:
+    """One row, or one per key: the share of the variance of v that the covariates explain; NULL where v doesn't vary."""
     left, spread = F.sum(F.col("detrended") * F.col("detrended")), F.var_pop(v) * F.count(v)
-    return detrended(df, covariates, v).filter(F.col(v).isNotNull()).agg(F.when(spread > 0, 1 - left / spread).alias("r2"), F.count(v).alias("n"))
+    known = detrended(df, covariates, v, keys).filter(F.col(v).isNotNull())
+    return known.groupBy(*(keys or [])).agg(F.when(spread > 0, 1 - left / spread).alias("r2"), F.count(v).alias("n"))
 
 
-def detrended_exceedance(df: DataFrame, keys: list[str], ts: str, covariates: list[str], v: str, config: TrailingConfig = TrailingConfig()) -> DataFrame:
-    """The trailing-quartile detector on what the covariates leave."""
-    return trailing_quartiles(detrended(df, covariates, v), keys, ts, "detrended", config)
+def detrended_exceedance(df: DataFrame, keys: list[str], ts: str, covariates: list[str], v: str, config: TrailingConfig = TrailingConfig(), fit_keys: list[str] | None = None) -> DataFrame:
+    """The trailing-quartile detector on what the covariates leave; ``fit_keys`` are those that have a fit of their own."""
+    return trailing_quartiles(detrended(df, covariates, v, fit_keys), keys, ts, "detrended", config)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.operators.components import checkpointed
+from orbitframe.operators.quantiles import quantiles
+
 
 def trends(df: DataFrame, keys: list[str], t: str, v: str, min_points: int = 8) -> DataFrame:
     """Per key slope, intercept, points and the scatter around the line (population)."""
@@ -18,9 +21,9 @@ def trends(df: DataFrame, keys: list[str], t: str, v: str, min_points: int = 8)
 
 def hotspot(pixels: DataFrame, keys: list[str], t: str, v: str, min_pixels: int = 20, share: float = 0.1, min_points: int = 8) -> DataFrame:
     """Median series of the pixels whose slope is within the lowest ``share``; empty with fewer than ``min_pixels``."""
-    slopes = trends(pixels, keys, t, v, min_points).select(*keys, "slope")
-    cut = slopes.agg(F.percentile("slope", F.lit(share)).alias("cut"), F.count(F.lit(1)).alias("n_all")).filter(F.col("n_all") >= min_pixels)
-    hot = slopes.join(F.broadcast(cut), F.col("slope") <= F.col("cut")).select(*keys)  # cut is one row
+    slopes = checkpointed(trends(pixels, keys, t, v, min_points).select(*keys, "slope"))
+    cut = quantiles(slopes, "slope", [share])[0] if slopes.count() >= min_pixels else None
+    hot = slopes.filter(F.col("slope") <= F.lit(cut).cast("double")).select(*keys)
     return pixels.join(hot, keys).filter(F.col(v).isNotNull()).groupBy(t).agg(F.percentile(v, F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n_px"))
 
 

@@ -2,3 +2,4 @@
 
 from orbitframe.plans import catalogue  # noqa: F401, I001
 from orbitframe.plans import archive  # noqa: F401
+from orbitframe.plans import study  # noqa: F401

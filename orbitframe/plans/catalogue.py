@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orbitframe.config import ChangeConfig, ClimatologyConfig, HarmonicConfig, InversionConfig, RunConfig, TrailingConfig
 from orbitframe.functions import scalars
 from orbitframe.operators import change, components, coverage, detectors, harmonic, sbas, select, stats, textlint, trend, zonal
+from orbitframe.operators.quantiles import quantiles
 from orbitframe.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,12 +51,12 @@ MONTHLY = """monthly AS (
   FROM orders GROUP BY 1, 3)"""
 
 
-def gram_schmidt(source: str, columns: list[str], y: str, keep: str) -> str:
-    """CTEs that leave in y what the columns don't explain: modified Gram-Schmidt, one column at a time."""
-    n = len(columns)
+def gram_schmidt(source: str, columns: list[str], y: str, keep: str, by: str = "") -> str:
+    """CTEs that leave in y what the columns don't explain, within each group of ``by``: modified Gram-Schmidt, one column at a time."""
+    n, over = len(columns), f"OVER (PARTITION BY {by})" if by else "OVER ()"
     ctes = [f"g0 AS (SELECT {keep}, {', '.join(f'({c})::DOUBLE AS x{i}' for i, c in enumerate(columns))}, {y}::DOUBLE AS y FROM {source})"]
     for k in range(n):
-        proj = lambda v, k=k: f"{v} - (sum({v} * x{k}) OVER () / sum(x{k} * x{k}) OVER ()) * x{k} AS {v}"
+        proj = lambda v, k=k: f"{v} - (sum({v} * x{k}) {over} / sum(x{k} * x{k}) {over}) * x{k} AS {v}"
         rest = [proj(f"x{j}") for j in range(k + 1, n)] + [proj("y")]
         ctes.append(f"g{k + 1} AS (SELECT {keep}, {', '.join(rest)} FROM g{k})")
     return ",\n".join(ctes)
@@ -264,8 +265,7 @@ label AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)"""
 SELECT "row", col, (root // 1000)::INT AS top_row, (root % 1000)::INT AS top_col FROM label JOIN inside USING (id)""")
 def component_labels(spark, sf_dir):
     g = hour_grid(spark, sf_dir)
-    lim = g.agg(F.percentile("v", F.lit(0.7)).alias("halo"))
-    inside = g.join(F.broadcast(lim), F.col("v") >= F.col("halo"))  # lim is one row
+    inside = g.filter(F.col("v") >= F.lit(quantiles(g, "v", [0.7])[0]).cast("double"))
     out = components.label_cells(inside.select("row", "col"), 8)
     return out.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.shiftright("label", 32).cast("int").alias("top_row"), F.expr("cast(label & 4294967295 as int)").alias("top_col"))
 
@@ -277,7 +277,7 @@ clusters AS (SELECT root, count(*) AS size, max(v) AS peak, avg("row") AS mrow,
 
 def clusters(spark, sf_dir):
     g = hour_grid(spark, sf_dir)
-    lim = g.agg(F.percentile("v", F.array(F.lit(0.7), F.lit(0.9))).alias("q")).first()["q"] or [0.0, 0.0]
+    lim = [x or 0.0 for x in quantiles(g, "v", [0.7, 0.9])]
     falling = g.withColumn("v", -F.col("v"))
     return change.hysteresis_clusters(falling, "v", ChangeConfig(seed_db=-lim[1], grow_db=-lim[0], min_pixels=3))
 

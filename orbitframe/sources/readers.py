@@ -14,9 +14,19 @@ OPTICAL = "scene_id string, ts timestamp, cloud double, tile string, lon double,
 RADAR = "scene string, start string, path int, direction string, lon double, lat double, seq long"
 
 
-def scenes(catalogue: DataFrame, max_cloud: float = 60.0, tile: str | None = None, limit: int | None = 600) -> DataFrame:
-    """Catalogue rows under a cloud limit; predicates reach the scan of the catalogue table."""
+def scenes(
+    catalogue: DataFrame, max_cloud: float = 60.0, tile: str | None = None, limit: int | None = 600, since: str | None = None, until: str | None = None, box: tuple[float, float, float, float] | None = None
+) -> DataFrame:
+    """Catalogue rows under a cloud limit, latest first; of a tile, from ``since`` up to before ``until``, meeting a box (columns
+    west, south, east, north) where these are given. Predicates reach the scan of the catalogue table."""
     out = catalogue.filter(F.col("cloud") < max_cloud)
+    kind = catalogue.schema["ts"].dataType if since or until else None
+    if since is not None:
+        out = out.filter(F.col("ts") >= F.lit(since).cast(kind))
+    if until is not None:
+        out = out.filter(F.col("ts") < F.lit(until).cast(kind))
+    if box is not None:
+        out = out.filter(boxes_meet(*(F.col(c) for c in ("west", "south", "east", "north")), box))
     if tile is not None:
         out = out.filter(F.col("tile") == tile)
     return out.orderBy(F.col("ts").desc(), "scene_id").limit(limit) if limit else out
