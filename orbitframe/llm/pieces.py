@@ -34,7 +34,7 @@ from orbitframe.llm import textarrow as ta
 
 MODEL, SPACE, NEVER = "piece_bpe_32k.model", "▁", 1 << 60
 MARK = np.frombuffer(SPACE.encode(), np.uint8)
-KNOWN_UNITS, KNOWN_PAIRS, UNIT_BYTES, CHUNK_CHARS = 200_000, 2_000_000, 64, 1 << 20
+KNOWN_UNITS, KNOWN_PAIRS, UNIT_BYTES, CHUNK_BYTES = 200_000, 2_000_000, 64, 1 << 18
 
 # One replacement character for each byte that is no part of a character, as the library has it.
 codecs.register_error("orbitframe_each", lambda e: ("�", e.start + 1))
@@ -112,18 +112,18 @@ class Pieces:
         # Characters that only stand inside pieces are tokens too, numbered after the pieces and written as bytes.
         spare = sorted({c for p in plain for c in p} - plain.keys())
         self.tokens = plain | {c: size + k for k, c in enumerate(spare)}
+        # The automaton holds a record a token: (id to write or -1, length, what may follow as far as known, token).
         self.automaton = ahocorasick.Automaton()
-        self.length, self.left, self.right = {}, {}, {}
+        self.records, self.left, self.right, self.n_pairs = [], {}, {}, 0
         for piece, i in self.tokens.items():
             parts, done = merges(piece, self.rank)
             if len(parts) == 1:  # a piece that its own merges never make occurs in no encoding
-                self.automaton.add_word(piece, i)
-                self.length[i] = len(piece)
+                self.records.append((i if i < size else -1, len(piece), {}, i))
+                self.automaton.add_word(piece, self.records[-1])
                 self.left[i], self.right[i] = border(done, piece, False), border(done, piece, True)
         self.automaton.make_automaton()
         alphabet = {c for p in self.tokens for c in p}
         self.apart = next(c for c in map(chr, range(1, 1 << 16)) if c not in alphabet)
-        self.pairs: dict[int, bool] = {}
         self.known: dict[bytes, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -141,58 +141,58 @@ class Pieces:
                     return False
         return True
 
-    def prefix_table(self, text: str) -> array:
-        """The last token of each prefix; -1 for a character without a token."""
-        last = array("i", [-1]) * len(text)
-        pairs, length = self.pairs, self.length
-        if len(pairs) > KNOWN_PAIRS:
-            pairs.clear()
-        for end, token in self.automaton.iter(text):
-            if last[end] >= 0:
-                continue
-            at = end - length[token]
-            if at >= 0 and (before := last[at]) >= 0:
-                pair = before << 32 | token
-                fits = pairs.get(pair)
-                if fits is None:
-                    fits = pairs[pair] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end] = token
+    def prefix_table(self, text: str) -> list[tuple | None]:
+        """The record of the last token of each prefix; None for a character without a token, like the text's first one."""
+        last: list[tuple | None] = [None] * len(text)
+        if self.n_pairs > KNOWN_PAIRS:
+            self.n_pairs = 0
+            for record in self.records:
+                record[2].clear()
+        for end, record in self.automaton.iter(text):
+            if last[end] is None:
+                before = last[end - record[1]]
+                if before is not None:
+                    fits = before[2].get(record[3])
+                    if fits is None:
+                        fits = before[2][record[3]] = self.compatible(before[3], record[3])
+                        self.n_pairs += 1
+                    if not fits:
+                        continue
+                last[end] = record
         return last
 
-    def backwards(self, text: str, last: array, begin: int, end: int) -> bytes:
+    def backwards(self, text: str, last: list[tuple | None], begin: int, end: int) -> bytes:
         """The ids of text[begin:end] as 32-bit integers."""
-        ids, i, length, size = [], end - 1, self.length, len(self.control)
+        ids, i = [], end - 1
         while i >= begin:
-            token = last[i]
-            if 0 <= token < size:
-                ids.append(token)
-                i -= length[token]
+            record = last[i]
+            if record is not None and record[0] >= 0:
+                ids.append(record[0])
+                i -= record[1]
             else:
                 ids.extend(int(self.byte_id[b]) for b in reversed(text[i].encode()))
                 i -= 1
-        ids.reverse()
-        return array("i", ids).tobytes()
+        return array("i", ids[::-1]).tobytes()
 
     def units(self, units: list[bytes]) -> list[bytes]:
         """Ids of each unit. Units go through the automaton in chunks, kept apart by a character that no piece has."""
-        out = [self.known.get(u) for u in units]
-        todo, chunk, size = [k for k, ids in enumerate(out) if ids is None], [], 0
         if len(self.known) > KNOWN_UNITS:
             self.known.clear()
-        for n, k in enumerate(todo):
-            chunk.append((k, units[k].decode()))
-            size += len(chunk[-1][1]) + 1
-            if size >= CHUNK_CHARS or n == len(todo) - 1:
-                text, at = self.apart.join(u for _, u in chunk), 0
+        out = list(map(self.known.get, units))
+        chunk, size = [], 0
+        todo = [k for k, ids in enumerate(out) if ids is None]
+        for k in todo:
+            chunk.append(k)
+            size += len(units[k])
+            if size >= CHUNK_BYTES or k == todo[-1]:
+                parts = [units[c].decode() for c in chunk]
+                text, at = self.apart + self.apart.join(parts), 1
                 last = self.prefix_table(text)
-                for each, u in chunk:
-                    out[each] = self.backwards(text, last, at, at + len(u))
-                    at += len(u) + 1
-                    if len(units[each]) <= UNIT_BYTES:
-                        self.known[units[each]] = out[each]
+                for c, part in zip(chunk, parts, strict=True):
+                    out[c] = self.backwards(text, last, at, at + len(part))
+                    at += len(part) + 1
                 chunk, size = [], 0
+        self.known.update((units[k], out[k]) for k in todo if len(units[k]) <= UNIT_BYTES)
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
