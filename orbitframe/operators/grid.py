@@ -42,14 +42,16 @@ def decimated(pixels: DataFrame, keys: list[str], v: str, factor: int) -> DataFr
     return pixels.groupBy(*keys, r.alias("row"), c.alias("col")).agg(F.avg(v).alias(v))
 
 
-def bilinear(points: DataFrame, grid: DataFrame, spec: GridSpec, v: str) -> DataFrame:
-    """points(id, x, y) with the value between the four nearest pixel centres; NULL if one of them is missing."""
+def bilinear(points: DataFrame, grid: DataFrame, spec: GridSpec, v: str, renormalised: bool = False) -> DataFrame:
+    """points(id, x, y) with the value between the four nearest pixel centres. If one of them is missing: NULL, or, renormalised,
+    the mean of the others by their weights (NULL without any)."""
     fc, fr = (F.col("x") - spec.x0) / spec.step - 0.5, (spec.y0 - F.col("y")) / spec.step - 0.5
     p = points.withColumn("_c", F.floor(fc)).withColumn("_r", F.floor(fr)).withColumn("_fx", fc - F.col("_c")).withColumn("_fy", fr - F.col("_r"))
     corners = F.array(*(F.struct((F.col("_r") + dr).cast("int").alias("row"), (F.col("_c") + dc).cast("int").alias("col"), ((F.col("_fy") if dr else 1 - F.col("_fy")) * (F.col("_fx") if dc else 1 - F.col("_fx"))).alias("w")) for dr in (0, 1) for dc in (0, 1)))
     near = p.select("id", F.explode(corners).alias("k")).select("id", "k.*").filter("w > 0")
     got = near.join(grid.select("row", "col", v), ["row", "col"], "left")
-    return got.groupBy("id").agg(F.when(F.count(v) == F.count(F.lit(1)), F.sum(F.col(v) * F.col("w"))).alias(v))
+    total, weight = F.sum(F.col(v) * F.col("w")), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))
+    return got.groupBy("id").agg((total / weight if renormalised else F.when(F.count(v) == F.count(F.lit(1)), total)).alias(v))
 
 
 def nearest(points: DataFrame, grid: DataFrame, spec: GridSpec, v: str) -> DataFrame:
@@ -63,11 +65,11 @@ def masked(grid: DataFrame, v: str, nodata: float | None = 0.0) -> DataFrame:
     return grid.withColumn(v, F.when(known if nodata is None else known & (F.col(v) != nodata), F.col(v)))
 
 
-def warped(grid: DataFrame, src: GridSpec, dst: GridSpec, v: str, nodata: float | None = 0.0) -> DataFrame:
-    """The values of a grid at the pixel centres of another one, bilinear; a cell next to nodata is NULL."""
+def warped(grid: DataFrame, src: GridSpec, dst: GridSpec, v: str, nodata: float | None = 0.0, renormalised: bool = False) -> DataFrame:
+    """The values of a grid at the pixel centres of another one, bilinear; a cell next to nodata is NULL, or has its weights renormalised."""
     x, y = dst.centre(F.col("row"), F.col("col"))
     cells = dst.cells(grid.sparkSession).withColumn("id", F.col("row").cast("long") * dst.width + F.col("col"))
-    out = bilinear(cells.select("id", x.alias("x"), y.alias("y")), masked(grid, v, nodata), src, v)
+    out = bilinear(cells.select("id", x.alias("x"), y.alias("y")), masked(grid, v, nodata), src, v, renormalised)
     return cells.join(out, "id").drop("id")
 
 
@@ -81,6 +83,30 @@ def read_resampled(pixels: DataFrame, shape: tuple[int, int], out: tuple[int, in
     return cells.join(kernel(points, pixels, GridSpec(0.0, 0.0, 1.0, h, w), v), "id").drop("id")
 
 
+def axis_weights(spark: SparkSession, n: int, out: int) -> DataFrame:
+    """(src, dst, w): a triangle kernel from n cells to out cells along one axis; its reach grows with the factor, so no cell is skipped."""
+    scale = n / out
+    reach = max(1.0, scale)
+    centre = (F.col("dst") + 0.5) * scale - 0.5
+    taps = F.sequence(F.greatest(F.ceil(centre - reach), F.lit(0)).cast("int"), F.least(F.floor(centre + reach), F.lit(n - 1)).cast("int"))
+    cells = spark.range(out).select(F.col("id").cast("int").alias("dst")).withColumn("src", F.explode(taps))
+    return cells.withColumn("w", 1 - F.abs(F.col("src") - centre) / reach).filter("w > 0")
+
+
+def resampled(pixels: DataFrame, shape: tuple[int, int], out: tuple[int, int], v: str, keys: list[str] | None = None) -> DataFrame:
+    """A window of ``shape`` pixels as ``out`` pixels by a kernel that widens with the factor, rows first, then columns.
+
+    Weights are renormalised over the cells that have a value; a target without any is NULL, and is a row only where
+    its kernel met rows of ``pixels`` at all. Going up or by one this is bilinear sampling.
+    """
+    keys, spark = keys or [], pixels.sparkSession
+    rows, cols = (axis_weights(spark, n, m) for n, m in zip(shape, out, strict=True))
+    known = F.col(v).isNotNull()
+    down = pixels.withColumnRenamed("row", "src").join(rows, "src").groupBy(*keys, F.col("dst").alias("row"), "col").agg(F.sum(F.col("w") * F.col(v)).alias("_sum"), F.sum(F.when(known, F.col("w"))).alias("_weight"))
+    across = down.withColumnRenamed("col", "src").join(cols, "src").groupBy(*keys, "row", F.col("dst").alias("col")).agg(F.sum(F.col("w") * F.col("_sum")).alias("_s"), F.sum(F.col("w") * F.col("_weight")).alias("_w"))
+    return across.select(*keys, "row", "col", F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).alias(v))
+
+
 def aligned(bands: DataFrame, keys: list[str], band: str, v: str, names: list[str]) -> DataFrame:
     """Long bands side by side, one row per pixel, in one aggregate."""
     return bands.filter(F.col(band).isin(*names)).groupBy(*keys).agg(*(F.max(F.when(F.col(band) == n, F.col(v))).alias(n) for n in names))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbitframe.config import HarmonicConfig, PrecursorConfig, TrailingConfig
-from orbitframe.operators import detectors, grid, harmonic, spatial, windows
+from orbitframe.config import HarmonicConfig, InversionConfig, PrecursorConfig, TrailingConfig
+from orbitframe.operators import detectors, grid, harmonic, sbas, select, spatial, windows
 from orbitframe.operators.quantiles import quantiles
 from orbitframe.plans.catalogue import FISHER, GRID, HARMONIC_X, gram_schmidt, hour_grid, query, t
 from orbitframe.sources import pages, readers
@@ -147,3 +147,54 @@ SELECT site, day, n_prior, y < q[2] - 1.5 * (q[2] - q[1]) OR y > q[2] + 1.5 * (q
 def detrended_exceedance_by_site(spark, sf_dir):
     out = detectors.detrended_exceedance(site_flux(spark, sf_dir), ["site"], "at", ["flux", "flux81"], "v", TrailingConfig(), ["site"])
     return out.select("site", "day", "n_prior", "exceeds")
+
+
+def _triangle(n: int, out: int, name: str) -> str:
+    at, reach = f"((d + 0.5::DOUBLE) * {n / out!r} - 0.5)", max(1.0, n / out)
+    return f"{name} AS (SELECT s, d, 1 - abs(s - {at}) / {reach!r} AS w FROM range({n}) a(s), range({out}) b(d) WHERE abs(s - {at}) < {reach!r})"
+
+
+@query(f"""WITH {GRID}, {_triangle(30, 8, "wr")}, {_triangle(24, 7, "wc")}
+SELECT wr.d::INT AS "row", wc.d::INT AS col, round(sum(wr.w * wc.w * v) FILTER (floor(v) % 7 <> 0) / sum(wr.w * wc.w) FILTER (floor(v) % 7 <> 0), 6) AS v FROM grid JOIN wr ON wr.s = "row" JOIN wc ON wc.s = col GROUP BY 1, 2""")
+def widened_read(spark, sf_dir):
+    """A grid with holes at 1 / 3.75 of its rows and 1 / 3.43 of its columns."""
+    g = hour_grid(spark, sf_dir).withColumn("v", F.when(F.floor("v") % 7 != 0, F.col("v")))
+    return grid.resampled(g, (30, 24), (8, 7), "v").select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH {GRID}, tgt AS (SELECT r AS "row", c AS col, 1.3::DOUBLE + (r + 0.5) * 2 - 0.5 AS fr, 0.7::DOUBLE + (c + 0.5) * 2 - 0.5 AS fc FROM range(12) a(r), range(9) b(c)),
+four AS (SELECT t."row", t.col, floor(fr)::BIGINT + i AS gr, floor(fc)::BIGINT + j AS gc, abs(1 - i - (fr - floor(fr))) * abs(1 - j - (fc - floor(fc))) AS w FROM tgt t, range(2) p(i), range(2) q(j))
+SELECT f."row"::INT AS "row", f.col::INT AS col, round(sum(w * v) FILTER (floor(v) % 7 <> 0) / sum(w) FILTER (floor(v) % 7 <> 0), 6) AS v FROM four f LEFT JOIN grid g ON g."row" = gr AND g.col = gc WHERE w > 0 GROUP BY 1, 2""")
+def warped_beside_nodata(spark, sf_dir):
+    g = hour_grid(spark, sf_dir).withColumn("v", F.when(F.floor("v") % 7 != 0, F.col("v")).otherwise(0.0))
+    src, dst = grid.GridSpec(0.0, 0.0, 1.0, 30, 24), grid.GridSpec(0.7, -1.3, 2.0, 12, 9)
+    return grid.warped(g, src, dst, "v", renormalised=True).select("row", "col", F.round("v", 6).alias("v"))
+
+
+# Pixels 1 and 4 lack some pairs, 2 is incoherent, 3 has a layer without coherence, 5 too few usable pairs, 6 unreliable components.
+COHERENCE = {0: "0.9", 1: "CASE WHEN sec = ref + 1 AND ref % 2 = 1 THEN 0.2 ELSE 0.8 END", 2: "0.38", 3: "CASE WHEN ref <> 2 THEN 0.9 END", 4: "CASE WHEN sec = last THEN 0.1 ELSE 0.7 END", 5: "CASE WHEN sec = ref + 1 OR ref % 4 = 0 THEN 0.25 ELSE 0.9 END", 6: "0.85"}
+CASES = "CASE pixel " + " ".join(f"WHEN {k} THEN {c}" for k, c in COHERENCE.items()) + " END"
+UNRELIABLE = "pixel = 6 AND sec = ref + 2 AND ref % 3 = 0"
+
+
+@query(f"""WITH m AS (SELECT o_custkey % 7 AS pixel, date_trunc('quarter', o_orderdate)::DATE AS date, round(avg(o_totalprice) / 1000, 6) AS v FROM orders GROUP BY 1, 2),
+e AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS epoch FROM (SELECT DISTINCT date FROM m)), s AS (SELECT pixel, epoch, v FROM m JOIN e USING (date)),
+pairs AS (SELECT a.epoch AS ref, b.epoch AS sec, (SELECT max(epoch) FROM e) AS last FROM e a JOIN e b ON b.epoch - a.epoch IN (1, 2)),
+c AS (SELECT pixel, ref, sec, CASE WHEN {UNRELIABLE} THEN 0.0 ELSE ({CASES})::DOUBLE END AS coh FROM pairs, (SELECT DISTINCT pixel FROM s)),
+kept AS (SELECT pixel FROM c GROUP BY 1 HAVING count(coh) = count(*) AND avg(coh) > 0.4 AND count(*) FILTER (coh > 0.3) >= (SELECT count(*) - 1 FROM e)),
+seen AS (SELECT pixel, unnest([ref, sec]) AS epoch FROM c WHERE coh > 0.3), n AS (SELECT pixel, epoch, count(*)::INT AS n_obs FROM seen GROUP BY 1, 2)
+SELECT s.pixel, s.epoch, CASE WHEN n_obs > 0 THEN round(v - first_value(v) OVER (PARTITION BY s.pixel ORDER BY s.epoch), 6) END AS disp, coalesce(n_obs, 0)::INT AS n_obs
+FROM s JOIN kept USING (pixel) LEFT JOIN n ON n.pixel = s.pixel AND n.epoch = s.epoch""")
+def sbas_with_gaps(spark, sf_dir):
+    """An inversion that trips every gate: incoherent pairs and pixels, a missing layer, too few pairs, an orphan epoch, unreliable components."""
+    quarter = F.to_date(F.date_trunc("quarter", "o_orderdate"))
+    m = t(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("pixel"), quarter.alias("date")).agg(F.round(F.avg("o_totalprice") / 1000, 6).alias("v"))
+    e = select.epochs(m.select("date"))
+    n = e.count()
+    series = m.join(e, "date").select("pixel", "epoch", "v")
+    a, b = (series.select("pixel", F.col("epoch").alias(f"{side}_epoch"), F.col("v").alias(f"v{side}")) for side in ("ref", "sec"))
+    obs = select.pair_network(e).join(a, "ref_epoch").join(b, ["pixel", "sec_epoch"]).withColumns({"ref": F.col("ref_epoch"), "sec": F.col("sec_epoch"), "last": F.lit(n - 1)})
+    obs = obs.withColumn("coh", F.expr(f"cast({CASES} as double)")).withColumn("component", F.expr(f"CASE WHEN {UNRELIABLE} THEN 0 WHEN pixel % 2 = 0 THEN 1 END"))
+    obs = sbas.zero_unreliable(obs.withColumn("disp", F.col("vsec") - F.col("vref")), "coh", "component")
+    out = sbas.invert(obs.select("pixel", "ref_epoch", "sec_epoch", "disp", "coh"), n, InversionConfig())
+    return out.select("pixel", "epoch", (F.round("disp", 6) + F.lit(0.0)).alias("disp"), "n_obs")

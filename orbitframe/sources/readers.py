@@ -150,7 +150,9 @@ def raster_window(tiles: DataFrame, rows: tuple[int, int], cols: tuple[int, int]
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """(path, content) of UTF-8 files; a file that can't be decoded is left out, whole, as is one without bytes."""
+    text = F.col("content").cast("string")
+    return spark.read.format("binaryFile").load(path).select("path", text.alias("content")).filter(F.is_valid_utf8("content"))
 
 
 def place_hits(hits: DataFrame, limit: int = 6) -> DataFrame:
