@@ -83,9 +83,9 @@ def candidate_totals(candidates: DataFrame, keys: list[str], within: Column) ->
     return candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(within).alias("n_within"))
 
 
-def ranked(clusters: DataFrame, within: Column) -> DataFrame:
-    """Rank by score among the rows within; rows outside have none. The window is partitioned by the flag."""
-    w = Window.partitionBy(within).orderBy(F.col("score").desc(), F.col("label"))
+def ranked(clusters: DataFrame, within: Column, keys: list[str] | None = None) -> DataFrame:
+    """Rank by score among the rows within, per key where there are keys; rows outside have none. The window is partitioned by the flag."""
+    w = Window.partitionBy(*(keys or []), within).orderBy(F.col("score").desc(), F.col("label"))
     return clusters.withColumn("rank", F.when(within, F.row_number().over(w)))
 
 

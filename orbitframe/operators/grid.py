@@ -141,7 +141,7 @@ def map_table(terrain: DataFrame, elevation: str) -> DataFrame:
     return terrain.select("row", "col", hillshade(F.col("d_row"), F.col("d_col")).alias("shade"), (F.coalesce(F.col(elevation), F.lit(0.0)) <= 0).alias("sea"))
 
 
-def map_rings(candidates: DataFrame, inside: Column, top: int = 100) -> DataFrame:
-    """The first candidates with the size and colour of their ring."""
-    first = candidates.orderBy(F.col("score").desc(), "label").limit(top)
+def map_rings(candidates: DataFrame, inside: Column, top: int = 100, ties: list[str] | None = None) -> DataFrame:
+    """The first candidates with the size and colour of their ring; equal scores go by ``ties``, else by label."""
+    first = candidates.orderBy(F.col("score").desc(), *(ties or ["label"])).limit(top)
     return first.withColumn("ring", F.greatest(F.lit(25.0), F.col("area_m2") / 80)).withColumn("colour", F.when(inside, "#ff3b30").otherwise("#8e8e93"))

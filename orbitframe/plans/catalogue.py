@@ -299,7 +299,7 @@ def top_candidates(spark, sf_dir):
 
 
 POINTS = """cand AS (SELECT 22.3 + round(embedding[1]::DOUBLE, 5) / 50 AS lat, 114.2 + round(embedding[2]::DOUBLE, 5) / 50 AS lon, row_number() OVER (ORDER BY vec_id) AS "rank" FROM embeddings),
-site AS (SELECT vec_id AS site, 22.3 + round(embedding[1]::DOUBLE, 5) / 50 + 0.001 AS lat, 114.2 + round(embedding[2]::DOUBLE, 5) / 50 - 0.001 AS lon FROM embeddings WHERE label = 3)"""
+site AS (SELECT vec_id AS site, 22.3 + round(embedding[1]::DOUBLE, 5) / 50 + 0.001 AS lat, 114.2 + round(embedding[2]::DOUBLE, 5) / 50 - 0.001 AS lon FROM embeddings)"""
 
 
 @query(f"""WITH {POINTS}, d AS (SELECT site, "rank", sqrt(pow((c.lat - s.lat) * 111320, 2) + pow((c.lon - s.lon) * 111320 * cos(radians(s.lat)), 2)) AS m FROM cand c, site s)
@@ -308,7 +308,7 @@ def truth_check(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
     at = lambda i, base: F.lit(base) + F.round(F.element_at("embedding", i).cast("double"), 5) / 50
     cand = select.ordered_rank(e.select("vec_id", at(1, 22.3).alias("lat"), at(2, 114.2).alias("lon")), ["vec_id"])
-    sites = e.filter("label = 3").select(F.col("vec_id").alias("site"), (at(1, 22.3) + 0.001).alias("lat"), (at(2, 114.2) - 0.001).alias("lon"))
+    sites = e.select(F.col("vec_id").alias("site"), (at(1, 22.3) + 0.001).alias("lat"), (at(2, 114.2) - 0.001).alias("lon"))
     return change.truth_check(cand, sites).select("site", F.col("rank").cast("long").alias("rank"), F.round("dist_m", 3).alias("dist_m"))
 
 
@@ -459,6 +459,18 @@ def page_lines(spark, sf_dir, swap: bool = False):
     return textlint.lines_of(t(spark, sf_dir, "pages").select("page_id", cut.alias("content")), "page_id")
 
 
+def _lint_count_sql() -> str:
+    """How many findings all rules have: one constant pattern each."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    hits = " + ".join(f"(regexp_matches(text, {quote(textlint.portable(p))}){' AND NOT head' if 'em-dash' in m else ''})::INT" for p, m in textlint.RULES)
+    return f"""WITH {LINE_SQL.format(key="page_id", text="replace(html, 'with', 'not just')", source="pages")},
+txt AS (SELECT regexp_replace(raw, '<[^>]+>', ' ', 'g') AS text, regexp_matches(raw, {quote(textlint.HEADING)}) AS head FROM kept)
+SELECT coalesce(sum({hits}), 0)::BIGINT AS findings FROM txt"""
+
+
+LINT_COUNT = _lint_count_sql()
+
+
 @query(_lint_sql())
 def prose_lint(spark, sf_dir):
     return textlint.findings(textlint.outside_style(page_lines(spark, sf_dir, True)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitframe.config import HarmonicConfig, InversionConfig, PrecursorConfig, TrailingConfig
-from orbitframe.operators import detectors, grid, harmonic, sbas, select, spatial, windows
+from orbitframe.functions import scalars
+from orbitframe.operators import coverage, detectors, grid, harmonic, sbas, select, spatial, windows
 from orbitframe.operators.quantiles import quantiles
 from orbitframe.plans.catalogue import FISHER, GRID, HARMONIC_X, gram_schmidt, hour_grid, query, t
 from orbitframe.sources import pages, readers
@@ -198,3 +199,36 @@ def sbas_with_gaps(spark, sf_dir):
     obs = sbas.zero_unreliable(obs.withColumn("disp", F.col("vsec") - F.col("vref")), "coh", "component")
     out = sbas.invert(obs.select("pixel", "ref_epoch", "sec_epoch", "disp", "coh"), n, InversionConfig())
     return out.select("pixel", "epoch", (F.round("disp", 6) + F.lit(0.0)).alias("disp"), "n_obs")
+
+
+@query("""WITH p AS (SELECT c_custkey, count(o_orderkey) AS n, max(CASE WHEN c_custkey % 3 = 0 THEN o_custkey END) AS context, max(CASE WHEN c_custkey % 5 <> 0 THEN 10 END) AS number FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT c_custkey, n, coalesce(context, number, n)::BIGINT AS matched, coalesce(context, number, n) = n AND n = 10 AS cut_off FROM p""")
+def page_matches(spark, sf_dir):
+    """How many items a search matched: what the page says in one of two places, else its length; and whether the page cuts them off."""
+    c, o = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
+    p = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.collect_list("o_orderkey").alias("features"), F.max(F.when(F.col("c_custkey") % 3 == 0, F.col("o_custkey"))).alias("context"))
+    m, cut = coverage.matched(F.col("features"), F.col("context"), F.when(F.col("c_custkey") % 5 != 0, F.lit(10)), 10)
+    return p.select("c_custkey", F.size("features").cast("long").alias("n"), m.cast("long").alias("matched"), cut.alias("cut_off"))
+
+
+@query("""SELECT c_custkey, zone, round(lon, 7) + 0.0 AS lon, round(lat, 7) + 0.0 AS lat, CASE WHEN c_custkey % 50 = 0 THEN 500000::DOUBLE END AS easting FROM (
+  SELECT c_custkey, (c_custkey % 60 + 1)::INT AS zone, (6 * (c_custkey % 60 + 1) - 183)::DOUBLE + CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE c_custkey % 7 - 3 END AS lon, c_nationkey * 6.1::DOUBLE - 73 AS lat FROM customer)""")
+def projected_and_back(spark, sf_dir):
+    """Places to map metres and back; on a zone's middle meridian the easting is known."""
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select("c_custkey", (k % 60 + 1).cast("int").alias("zone"), (6 * (k % 60 + 1) - 183 + F.when(k % 50 == 0, 0).otherwise(k % 7 - 3)).cast("double").alias("lon"), (F.col("c_nationkey") * 6.1 - 73).alias("lat"))
+    moved = c.withColumn("lon", F.col("lon") - (6 * F.col("zone") - 183) - 177)  # zone 1 has them all, after a turn
+    x, y = scalars.utm_from_lonlat(F.col("lon"), F.col("lat"), 1)
+    back = scalars.lonlat_from_utm(F.col("x"), F.col("y"), 1)
+    out = moved.withColumn("x", x).withColumn("y", y).select("c_custkey", "zone", (back[0] + 177 + 6 * F.col("zone") - 183).alias("lon"), back[1].alias("lat"), "x")
+    return out.select("c_custkey", "zone", *((F.round(n, 7) + F.lit(0.0)).alias(n) for n in ("lon", "lat")), F.when(F.col("c_custkey") % 50 == 0, F.round("x", 4)).alias("easting"))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT n_nationkey AS site, (n_nationkey * 7 % 30)::INT AS site_row, (n_nationkey * 5 % 24)::INT AS site_col FROM nation)
+SELECT site, count(*) AS n, round(sum(v), 4) AS total, min("row")::INT AS first_row, max(col)::INT AS last_col FROM s JOIN grid ON "row" >= site_row - 4 AND "row" < site_row + 4 AND col >= site_col - 4 AND col < site_col + 4 GROUP BY 1""")
+def site_windows(spark, sf_dir):
+    """A window of eight by eight pixels around each site."""
+    k = F.col("n_nationkey")
+    sites = t(spark, sf_dir, "nation").select(k.alias("site"), (k * 7 % 30).cast("int").alias("site_row"), (k * 5 % 24).cast("int").alias("site_col"))
+    out = grid.window_around(hour_grid(spark, sf_dir), sites, 4)
+    return out.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.min("row").cast("int").alias("first_row"), F.max("col").cast("int").alias("last_col"))
