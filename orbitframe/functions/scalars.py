@@ -128,12 +128,18 @@ _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 *
 _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
-def utm_from_lonlat(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+def _conformal(lon: Column, lat: Column, zone: int | Column) -> tuple[Column, Column]:
+    """(tangent of the conformal latitude, longitude from the middle meridian)."""
     e = 2 * math.sqrt(_N) / (1 + _N)
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    dl = F.radians(lon - (6 * zone - 183))
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    return F.sinh(F.atanh(s) - e * F.atanh(e * s)), F.radians(lon - (6 * zone - 183))
+
+
+def _sphere(t: Column, dl: Column) -> tuple[Column, Column]:
+    return F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+
+
+def _metres(xi: Column, eta: Column) -> tuple[Column, Column]:
     x, y = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -141,7 +147,19 @@ def utm_from_lonlat(lon: Column, lat: Column, zone: int) -> tuple[Column, Column
     return 500000 + _K0 * _R * x, _K0 * _R * y
 
 
-def lonlat_from_utm(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
+def utm_from_lonlat(lon: Column, lat: Column, zone: int | Column) -> tuple[Column, Column]:
+    return _metres(*_sphere(*_conformal(lon, lat, zone)))
+
+
+def utm_outline(points: Column, zone: int | Column) -> Column:
+    """array<struct<lon, lat>> -> array<struct<x, y>>. A step's figures are array elements, so later steps don't derive them again."""
+    pair = lambda a, b, of: F.struct(of[0].alias(a), of[1].alias(b))
+    first = F.transform(points, lambda p: pair("t", "dl", _conformal(p["lon"], p["lat"], zone)))
+    second = F.transform(first, lambda p: pair("xi", "eta", _sphere(p["t"], p["dl"])))
+    return F.transform(second, lambda p: pair("x", "y", _metres(p["xi"], p["eta"])))
+
+
+def lonlat_from_utm(easting: Column, northing: Column, zone: int | Column) -> tuple[Column, Column]:
     y, x = northing / (_K0 * _R), (easting - 500000) / (_K0 * _R)
     xi, eta = y, x
     for j, b in enumerate(_BETA, 1):

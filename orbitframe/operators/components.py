@@ -1,8 +1,8 @@
 """Connected components of grid cells (8-neighbours).
 
-Cells are labelled inside tiles first, so that only tile borders become edges of a graph; labels of that graph
-then spread by hooking to the smallest label and pointer jumping. Each round is checkpointed in the folder of
-``spark.checkpoint.dir``, which all executors share.
+Cells are labelled inside tiles first, so that only tile borders become edges of a graph. That graph is contracted
+to stars: in turn each node sends its larger and its smaller neighbours to the least one it knows, so chains halve
+and the edges never grow in number. Each round is checkpointed in the folder of ``spark.checkpoint.dir``, which all executors share.
 """
 
 from __future__ import annotations
@@ -46,19 +46,29 @@ def _label_tile(table: pa.Table) -> pa.Table:
     return pa.table({"row": r, "col": c, "label": (r[root].astype(np.int64) << 32) + c[root]})
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def spread_labels(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (node, label): the smallest node of each component, for every node in an edge."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
-        met = labels.join(near, "node").select("node", F.least("label", "lb").alias("label"), F.col("label").alias("was"))
-        jump = met.select(F.col("node").alias("label"), F.col("label").alias("up")).distinct()
-        new = checkpointed(met.join(jump, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "was"))
-        if not new.filter("label <> was").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    """edges(a, b) -> (node, label): the smallest node of each component, for every node in an edge.
+
+    Edges point from the larger node to the smaller one. The least neighbours are pre-aggregated and joined back, so the
+    neighbours of a hub are never one group. Repeated edges and loops are harmless; an edge with a NULL is left out.
+    """
+    known = checkpointed(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    stars = checkpointed(known.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state, before = _state(stars), None
+    while state != before:
+        below = stars.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low"))
+        ends = stars.select(F.col("b").alias("n")).distinct().join(below, "n", "left").select("n", F.coalesce("low", "n").alias("low"))
+        large = stars.join(ends, F.col("b") == F.col("n")).select("a", F.col("low").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low"))
+        small = large.join(least, F.col("a") == F.col("n")).select(F.when(F.col("b") > F.col("low"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b"))
+        stars = checkpointed(small.distinct())
+        state, before = _state(stars), state
+    nodes = known.select(F.col("a").alias("node")).union(known.select("b")).distinct()
+    return nodes.join(stars, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("label"))
 
 
 def label_cells(cells: DataFrame, tile: int = 512) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitframe.functions.scalars import lonlat_from_utm, utm_outline
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -36,6 +37,31 @@ class GridSpec:
         return F.floor((self.y0 - y) / self.step).cast("int"), F.floor((x - self.x0) / self.step).cast("int")
 
 
+def common_grids(boxes: DataFrame, zone: int | Column, step: float, edge_points: int = 21) -> DataFrame:
+    """boxes(west, south, east, north in degrees, ...) with the map grid that holds each one: zone, x0, y0, height, width.
+
+    Edges are curved on the map, so each carries ``edge_points`` places besides its corners. The outline is snapped outwards
+    to multiples of the step. A box with a missing side has no grid: NULLs.
+    """
+    share = [i / (edge_points + 1) for i in range(edge_points + 2)]
+    west, south, east, north = (F.col(c).cast("double") for c in ("west", "south", "east", "north"))
+    upright = [F.struct(x.alias("lon"), (south + (north - south) * s).alias("lat")) for s in share for x in (west, east)]
+    level = [F.struct((west + (east - west) * s).alias("lon"), y.alias("lat")) for s in share for y in (south, north)]
+    outline = F.array(*upright, *level)
+    out = boxes.withColumn("zone", zone if isinstance(zone, Column) else F.lit(zone))
+    out = out.withColumn("_ring", utm_outline(outline, F.col("zone")))
+    side = lambda of, c: of(F.transform("_ring", lambda p: p[c]))
+    out = out.withColumns({"x0": F.floor(side(F.array_min, "x") / step) * step, "y0": F.ceil(side(F.array_max, "y") / step) * step})
+    out = out.withColumns({"height": F.ceil((F.col("y0") - side(F.array_min, "y")) / step).cast("int"), "width": F.ceil((side(F.array_max, "x") - F.col("x0")) / step).cast("int")})
+    return out.drop("_ring").withColumns({c: F.when(west.isNotNull() & south.isNotNull() & east.isNotNull() & north.isNotNull(), F.col(c)) for c in ("x0", "y0", "height", "width")})
+
+
+def pixel_lonlat(grids: DataFrame, row: Column, col: Column, step: float) -> DataFrame:
+    """Grids of ``common_grids`` with the degrees (lon, lat) of the centre of one of their pixels."""
+    back = lonlat_from_utm(F.col("x0") + (col + 0.5) * step, F.col("y0") - (row + 0.5) * step, F.col("zone"))
+    return grids.withColumns({"lon": back[0], "lat": back[1]})
+
+
 def decimated(pixels: DataFrame, keys: list[str], v: str, factor: int) -> DataFrame:
     """Block means; a block without values is NULL."""
     r, c = F.floor(F.col("row") / factor).cast("int"), F.floor(F.col("col") / factor).cast("int")

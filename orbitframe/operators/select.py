@@ -23,17 +23,18 @@ def first_valid(df: DataFrame, keys: list[str], value: str, order: Column) -> Da
     return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias(value))
 
 
-def epochs(dates: DataFrame, date: str = "date") -> DataFrame:
-    """Distinct dates with a dense index. One row per epoch of one network, so a single ordering is small."""
-    return dates.select(F.col(date).alias("date")).filter("date is not null").distinct().withColumn("epoch", F.row_number().over(Window.orderBy("date")) - 1)
+def epochs(dates: DataFrame, date: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct dates of each network with a dense index from 0. Without keys all dates are one network."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    return dates.select(*keys, F.col(date).alias("date")).filter("date is not null").distinct().withColumn("epoch", F.row_number().over(w) - 1)
 
 
-def pair_network(epochs_: DataFrame, reach: int = 2) -> DataFrame:
+def pair_network(epochs_: DataFrame, reach: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
     """Each epoch with its next ``reach`` ones: 2n - 3 pairs for n epochs and a reach of 2. No join."""
-    w = Window.orderBy("epoch")
+    w = Window.partitionBy(*keys).orderBy("epoch")
     later = F.array(*(F.struct(F.lead("date", k).over(w).alias("sec"), F.lead("epoch", k).over(w).alias("sec_epoch")) for k in range(1, reach + 1)))
-    out = epochs_.select(F.col("date").alias("ref"), F.col("epoch").alias("ref_epoch"), later.alias("later"))
-    return out.select("ref", "ref_epoch", F.explode("later").alias("p")).select("ref", "ref_epoch", "p.sec", "p.sec_epoch").filter("sec is not null")
+    out = epochs_.select(*keys, F.col("date").alias("ref"), F.col("epoch").alias("ref_epoch"), later.alias("later"))
+    return out.select(*keys, "ref", "ref_epoch", F.explode("later").alias("p")).select(*keys, "ref", "ref_epoch", "p.sec", "p.sec_epoch").filter("sec is not null")
 
 
 def new_pairs(pairs: DataFrame, submitted: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from orbitframe.config import HarmonicConfig, InversionConfig, PrecursorConfig, TrailingConfig
 from orbitframe.functions import scalars
-from orbitframe.operators import coverage, detectors, grid, harmonic, sbas, select, spatial, windows
+from orbitframe.operators import coherence, coverage, detectors, grid, harmonic, sbas, select, spatial, windows
 from orbitframe.operators.quantiles import quantiles
-from orbitframe.plans.catalogue import FISHER, GRID, HARMONIC_X, gram_schmidt, hour_grid, query, t
+from orbitframe.plans.archive import PRODUCTS, product_files
+from orbitframe.plans.catalogue import EPOCHS, FISHER, GRID, HARMONIC_X, gram_schmidt, hour_grid, order_epochs, query, t
 from orbitframe.sources import pages, readers
 from orbitframe.storage import scratch
 
@@ -232,3 +233,72 @@ def site_windows(spark, sf_dir):
     sites = t(spark, sf_dir, "nation").select(k.alias("site"), (k * 7 % 30).cast("int").alias("site_row"), (k * 5 % 24).cast("int").alias("site_col"))
     out = grid.window_around(hour_grid(spark, sf_dir), sites, 4)
     return out.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.min("row").cast("int").alias("first_row"), F.max("col").cast("int").alias("last_col"))
+
+
+@query("""WITH e AS (SELECT l_suppkey % 50 AS site, date, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY date) - 1 AS epoch
+  FROM (SELECT DISTINCT l_suppkey, date_trunc('week', l_shipdate)::DATE AS date FROM lineitem WHERE l_shipdate IS NOT NULL) GROUP BY 1, 2)
+SELECT a.site, a.date AS ref, a.epoch::INT AS ref_epoch, b.date AS sec, b.epoch::INT AS sec_epoch FROM e a JOIN e b ON b.site = a.site AND b.epoch BETWEEN a.epoch + 1 AND a.epoch + 3""")
+def networks_by_site(spark, sf_dir):
+    """Pair networks of fifty sites in one plan, each epoch with its next three."""
+    days = t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("site"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"))
+    return select.pair_network(select.epochs(days, "date", ("site",)), 3, ("site",))
+
+
+TARGET_BOX, CONTROL_BOX = (10.6, 47.4, 12.1, 49.3), (12.2, 46.1, 13.9, 49.9)
+
+
+def _zone(box) -> str:
+    w, s, e, n = box
+    return f"10 + (col + 0.5) * 0.5 BETWEEN {w} AND {e} AND 50 - (row_ + 0.5) * 0.5 BETWEEN {s} AND {n}"
+
+
+@query(f"""WITH {EPOCHS}, {PRODUCTS},
+chosen AS (SELECT p.ref, p.sec, min(folder || '/x_corr.tif') AS path, arg_min(o_orderkey, folder || '/x_corr.tif') AS k FROM pairs p JOIN prod USING (ref, sec) WHERE o_orderkey % 7 <> 3 GROUP BY 1, 2),
+px AS (SELECT l_orderkey AS k, l_linenumber - 1 AS row_, col, (min(l_partkey) * 7 + col * 37) % 100 / 100.0::DOUBLE AS v FROM lineitem, range(0, 8) r(col) WHERE l_linenumber <= 8 GROUP BY 1, 2, 3),
+z AS (SELECT ref, sec, path, CASE WHEN {_zone(TARGET_BOX)} THEN v END AS a, CASE WHEN {_zone(CONTROL_BOX)} THEN v END AS b FROM chosen LEFT JOIN (SELECT * FROM px WHERE v > 0) px USING (k))
+SELECT ref, sec, path, ref < DATE '1995-03-15' AND DATE '1995-03-15' < sec AS spans_event, count(a) AS n_target, count(b) AS n_control,
+  round(avg(a), 6) AS target_mean, round(avg(b), 6) AS control_mean, round(avg(CASE WHEN a IS NULL THEN NULL WHEN a < 0.3 THEN 1.0 ELSE 0.0 END), 6) AS target_low FROM z GROUP BY 1, 2, 3""")
+def coherence_loss(spark, sf_dir):
+    """Every pair of the network with its product's coherence over a target and a control, from file names to figures."""
+    files = product_files(spark, sf_dir).filter(F.endswith("path", F.lit("_corr.tif")))
+    lines = t(spark, sf_dir, "lineitem").filter("l_linenumber <= 8").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    px = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("row"), "l_partkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("col"))
+    tile = lambda c: F.floor(F.col(c) / 4).cast("int").alias(f"tile_{c}")
+    at, v = (F.col("row") % 4 * 4 + F.col("col") % 4).cast("int"), (F.col("l_partkey") * 7 + F.col("col") * 37) % 100 / F.lit(100.0)
+    cells = px.groupBy("l_orderkey", tile("row"), tile("col")).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("i"), v.cast("double").alias("v")))).alias("m"))  # 16 of them at most
+    tiles = cells.select("l_orderkey", "tile_row", "tile_col", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.try_element_at("m", i)).alias("data"))
+    tiles = tiles.join(files.select(F.col("o_orderkey").alias("l_orderkey"), F.col("path").alias("raster_id")), "l_orderkey").drop("l_orderkey")
+    jobs = select.pair_network(order_epochs(spark, sf_dir))
+    out = coherence.coherence_loss(jobs, files.select("path"), tiles, grid.GridSpec(10.0, 50.0, 0.5, 8, 8), TARGET_BOX, CONTROL_BOX, F.lit("1995-03-15").cast("date"), size=4)
+    return out.select("ref", "sec", "path", "spans_event", "n_target", "n_control", *(F.round(c, 6).alias(c) for c in ("target_mean", "control_mean", "target_low")))
+
+
+def _utm_sql(source: str) -> str:
+    """CTE ``m``: the columns of source(lon, lat, zone, ...) with map metres x and y, by the same series to the third order."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    radius, ecc = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * n**0.5 / (1 + n)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    sh, ch = (lambda x: f"((exp({x}) - exp(-({x}))) / 2)"), (lambda x: f"((exp({x}) + exp(-({x}))) / 2)")
+    ath = lambda x: f"(ln((1 + {x}) / (1 - {x})) / 2)"
+    east = " + ".join(f"{a!r}::DOUBLE * cos({2 * j} * xi) * {sh(f'{2 * j} * eta')}" for j, a in enumerate(alpha, 1))
+    north = " + ".join(f"{a!r}::DOUBLE * sin({2 * j} * xi) * {ch(f'{2 * j} * eta')}" for j, a in enumerate(alpha, 1))
+    return f"""m0 AS (SELECT *, sin(radians(lat)) AS s, radians(lon - (6 * zone - 183)) AS dl FROM {source}),
+m1 AS (SELECT *, {ath("s")} - {ecc!r}::DOUBLE * {ath(f"({ecc!r}::DOUBLE * s)")} AS q FROM m0), m2 AS (SELECT *, {sh("q")} AS tt FROM m1),
+m3 AS (SELECT *, atan2(tt, cos(dl)) AS xi, {ath("(sin(dl) / sqrt(1 + tt * tt))")} AS eta FROM m2),
+m AS (SELECT *, 500000 + {radius!r}::DOUBLE * (eta + {east}) AS x, {radius!r}::DOUBLE * (xi + {north}) AS y FROM m3)"""
+
+
+@query(f"""WITH b AS (SELECT c_custkey, (c_custkey % 60 + 1)::INT AS zone, (6 * (c_custkey % 60 + 1) - 183)::DOUBLE - 1.7 + c_custkey % 5 * 0.31::DOUBLE AS w, c_nationkey * 5.3::DOUBLE - 64 AS s FROM customer),
+k AS (SELECT *, w + 0.43::DOUBLE AS e, s + 0.27::DOUBLE AS n FROM b), i AS (SELECT unnest(range(0, 23)) / 22.0::DOUBLE AS f),
+p AS (SELECT c_custkey, zone, x_ AS lon, s + (n - s) * f AS lat FROM k, i, unnest([w, e]) u(x_) UNION ALL SELECT c_custkey, zone, w + (e - w) * f AS lon, y_ AS lat FROM k, i, unnest([s, n]) u(y_)),
+{_utm_sql("p")}, g AS (SELECT c_custkey, zone, floor(min(x) / 10) * 10.0::DOUBLE AS x0, ceil(max(y) / 10) * 10.0::DOUBLE AS y0, min(y) AS low, max(x) AS far FROM m GROUP BY 1, 2)
+SELECT c_custkey, zone, x0, y0, ceil((y0 - low) / 10)::INT AS height, ceil((far - x0) / 10)::INT AS width, true AS middle_inside FROM g""")
+def grids_of_boxes(spark, sf_dir):
+    """A map grid of ten metres around a box of degrees for each customer; the middle pixel, taken back to degrees, lies in the box."""
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select(k, (k % 60 + 1).cast("int").alias("nth"), (F.col("c_nationkey") * 5.3 - 64).alias("south"))
+    west = 6 * F.col("nth") - 183 - F.lit(1.7) + k % 5 * F.lit(0.31)
+    boxes = c.withColumn("west", west).withColumns({"east": F.col("west") + 0.43, "north": F.col("south") + 0.27})
+    out = grid.pixel_lonlat(grid.common_grids(boxes, F.col("nth"), 10.0), F.floor(F.col("height") / 2), F.floor(F.col("width") / 2), 10.0)
+    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    return out.select("c_custkey", "zone", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), "height", "width", inside.alias("middle_inside"))
