@@ -30,6 +30,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths in the shared store that a glob pattern matches; none where its folder is not there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    return [f.getPath().toString() for f in found]
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a table in the shared store: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession

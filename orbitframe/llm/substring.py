@@ -24,6 +24,13 @@ Hot keys. A task sends each anchor, and each window, once per slice of text, wit
 others of the slice are settled on the spot. So a passage that a third of all documents hold reaches its bucket
 once per few thousand documents. Buckets are packed arrays, not rows.
 
+An index that lives on. ``FingerprintIndex.opened`` takes up the index in a folder, and ``deliver`` brings it documents: their windows
+are held against all that was delivered before, and they become part of it. Ids ascend from delivery to delivery (checked), so
+a delivery never changes what an earlier one lost, and deliveries one after the other remove what one pass over all would. The
+folder holds runs, the anchors of candidates and a manifest. The manifest of a delivery is written last and names all that counts; files it no longer
+names go after that. A delivery that dies, at any point, leaves the index as it was, and is simply made again. Texts stay with the caller,
+who gives the earlier documents as ``history``; of these only the ones that share an anchor with the delivery are taken into its windows.
+
 Defined cases: null text has no words; documents shorter than a window lose nothing; null doc_ids stand first;
 rows of one doc_id are ordered by their keys; repeated rows lose all but the first; an empty table gives an empty
 result; other columns are ignored.
@@ -32,6 +39,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm import textarrow as ta
-from orbitframe.llm.settings import remove, scratch, shuffle_partitions, written
+from orbitframe.llm.settings import matching, remove, scratch, shuffle_partitions, written
 
 WIDTH, GRAM = 20, 6
 NO_ID = -(1 << 63)
@@ -219,6 +227,71 @@ class FingerprintIndex:
     fanout: int = 2
     runs: list[str] = field(default_factory=list)
     made: int = 0
+    durable: bool = False  # files of earlier deliveries stay until a manifest that doesn't name them is written
+    candidates: list[str] = field(default_factory=list)
+    stale: list[str] = field(default_factory=list)
+    version: int = 0
+    last_id: int | None = None
+    made_candidates: int = 0
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str, buckets: int | None = None, width: int = WIDTH, gram: int = GRAM, fanout: int = 2) -> FingerprintIndex:
+        """The index of a folder of the shared store as its last whole delivery left it; a new one where there is none.
+
+        Buckets, width and gram are those it was made with; another width or gram is an error.
+        """
+        path = path.rstrip("/")
+        found = [int(p.rsplit("/", 2)[-2].rpartition("-")[2]) for p in matching(spark, f"{path}/manifest-*/_SUCCESS")]
+        if not found:
+            return cls(spark, path, buckets or 4 * shuffle_partitions(spark), width, gram, fanout, durable=True)
+        kept = json.loads(spark.read.text(f"{path}/manifest-{max(found)}").first()[0])
+        if (kept["width"], kept["gram"]) != (width, gram):
+            raise ValueError(f"the index in {path} has windows of {kept['width']} words and grams of {kept['gram']}")
+        named = lambda names: [f"{path}/{n}" for n in names]
+        return cls(spark, path, kept["buckets"], width, gram, fanout, named(kept["runs"]), kept["made"], True, named(kept["candidates"]), named(kept["stale"]), max(found), kept["last_id"])
+
+    def commit(self) -> None:
+        """Writes the manifest, then removes what it doesn't name. ``stale`` is in it too, so that a crash in between leaves no litter."""
+        names = lambda paths: [p.rsplit("/", 1)[1] for p in paths]
+        text = json.dumps({"buckets": self.buckets, "width": self.width, "gram": self.gram, "made": self.made, "last_id": self.last_id,
+                           "runs": names(self.runs), "candidates": names(self.candidates), "stale": names(self.stale)})
+        self.version += 1
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version}")
+        for old in [*self.stale, f"{self.path}/manifest-{self.version - 1}"]:
+            remove(self.spark, old)
+        self.stale = []
+
+    def deliver(self, docs: DataFrame, history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+        """Rows of ``dedup_substrings`` for docs(doc_id, text), held against themselves and all delivered before.
+
+        ``history``: the documents (doc_id, text) of all earlier deliveries. It may be left out on the first one only.
+        """
+        docs = keyed(docs)
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.last_id is not None:
+            if low <= self.last_id:
+                raise ValueError(f"doc_ids of a delivery must be greater than {self.last_id}, the largest delivered before")
+            if history is None:
+                raise ValueError("the documents of earlier deliveries are needed to verify windows")
+        earlier = [self.spark.read.parquet(p) for p in self.candidates]
+        found = self.add(docs.select("key", "text"))
+        self.candidates.append(f"{self.path}/candidates-{self.made_candidates}")
+        pool, shared = docs, found
+        if history is not None and self.last_id is not None:
+            old = keyed(history).filter(F.col("doc_id") <= self.last_id)
+            per_anchor = found.mapInArrow(unpacked_anchors, "key long, hash long")
+            asked = per_anchor.join(docs.select("key").distinct(), "key", "left_semi").select("hash").distinct()
+            every = per_anchor
+            for e in earlier:
+                every = every.unionByName(e.mapInArrow(unpacked_anchors, "key long, hash long"))
+            near = every.join(asked, "hash", "left_semi").groupBy("key").agg(F.collect_list("hash").alias("hashes"))
+            shared, pool = near.mapInArrow(packed_anchors, "key long, body binary"), docs.unionByName(old)
+        at = f"{self.path}/rows-{self.made}"
+        rows = written(without_repeats(docs, pool, shared, self.buckets, with_text, self.width, self.gram), at)
+        if high is not None:
+            self.last_id = max(high, self.last_id if self.last_id is not None else high)
+        self.commit()
+        return rows
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Merge-joins a batch (key, text) with all runs, adds its run, and returns (key, body): candidates' shared anchors."""
@@ -233,6 +306,7 @@ class FingerprintIndex:
         self.runs.append(run)
         found = written(out.filter(F.col("kind") == CANDIDATE).select("key", "body"), f"{self.path}/candidates-{self.made}")
         remove(self.spark, at)
+        self.made_candidates = self.made
         if len(self.runs) > self.fanout:
             self.compact()
         return found
@@ -242,11 +316,29 @@ class FingerprintIndex:
         self.made += 1
         merged = f"{self.path}/run-{self.made}"
         written(self.spark.read.parquet(*self.runs).select("bucket", "body").groupBy("bucket").applyInArrow(compact_bucket, MOVED).select("bucket", "body"), merged)
-        for old in self.runs:
-            remove(self.spark, old)
+        if self.durable:
+            self.stale += self.runs
+        else:
+            for old in self.runs:
+                remove(self.spark, old)
         self.runs = [merged]
 
 
+def unpacked_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, body) -> a row per anchor hash."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            bodies = [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column(1)[lo : lo + 1000]]
+            keys = np.repeat(batch.column(0).to_numpy()[lo : lo + 1000], [len(b) for b in bodies])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(bodies), pa.int64())], ["key", "hash"])
+
+
+def packed_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies = [np.unique(h.values.to_numpy()).tobytes() for h in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["key", "body"])
+
+
 def window_messages(buckets: int, width: int, gram: int):
     """Windows under shared anchors: the first of each in a slice goes to its bucket, later ones are repeats already."""
 
@@ -341,11 +433,28 @@ def kept_words(width: int, with_text: bool):
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text). A null doc_id stands first; with no nulls, both joins of texts read one and the same shuffle."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def without_repeats(docs: DataFrame, pool: DataFrame, found: DataFrame, buckets: int, with_text: bool, width: int, gram: int) -> DataFrame:
+    """Keyed docs without the words of windows that start earlier in ``pool``, which has the docs and what they are held against."""
+    parts = shuffle_partitions(docs.sparkSession)
+    dealt = docs.repartition(parts, "key")
+    against = dealt if pool is docs else pool.repartition(parts, "key")
+    shared = found.groupBy("key").agg(F.collect_list("body").alias("anchors"))
+    windows = against.join(shared.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "anchors").mapInArrow(window_messages(buckets, width, gram), MOVED)
+    again = windows.groupBy("bucket").applyInArrow(repeats_of_bucket, MOVED).filter("kind >= 0").groupBy("key").agg(F.collect_list(F.struct("doc_id", "body")).alias("starts"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    kept = dealt.join(again.hint("shuffle_hash"), "key", "left").select("doc_id", "key", "text", "starts").mapInArrow(kept_words(width, with_text), schema)
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def dedup_substrings(docs: DataFrame, batches: int = 4, with_text: bool = False, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Whole corpus in ``batches`` ranges of doc_id through one index; then repeats are verified and removed."""
     spark = docs.sparkSession
-    # A null doc_id stands first; with no nulls, both joins below read one and the same shuffle of the texts.
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    docs = keyed(docs)
     at = scratch(spark, "substring")
     index = FingerprintIndex(spark, at, 4 * shuffle_partitions(spark), width, gram)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or [] if batches > 1 else []
@@ -361,11 +470,4 @@ def dedup_substrings(docs: DataFrame, batches: int = 4, with_text: bool = False,
         found = got if found is None else found.unionByName(got)
     for run in index.runs:
         remove(spark, run)
-    parts = shuffle_partitions(spark)
-    dealt = docs.repartition(parts, "key")
-    shared = found.groupBy("key").agg(F.collect_list("body").alias("anchors"))
-    windows = dealt.join(shared.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "anchors").mapInArrow(window_messages(index.buckets, width, gram), MOVED)
-    again = windows.groupBy("bucket").applyInArrow(repeats_of_bucket, MOVED).filter("kind >= 0").groupBy("key").agg(F.collect_list(F.struct("doc_id", "body")).alias("starts"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    kept = dealt.join(again.hint("shuffle_hash"), "key", "left").select("doc_id", "key", "text", "starts").mapInArrow(kept_words(width, with_text), schema)
-    return kept.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return without_repeats(docs, docs, found, index.buckets, with_text, width, gram)
