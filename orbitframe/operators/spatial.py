@@ -71,8 +71,22 @@ def places_in_footprints(places: DataFrame, footprints: DataFrame, lon: str = "l
     seen = known.withColumn("level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("cell", cell_of(F.col(lon), F.col(lat), F.col("level")))
     visits = seen.join(hot, ["level", "cell"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     dealt = filed.join(hot, ["level", "cell"], "left").withColumn("_part", F.pmod(F.xxhash64("west", "south", "east", "north", ring), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    met = visits.join(dealt.drop("west", "south", "east", "north"), ["level", "cell", "_part"])
-    return met.filter(in_ring(F.col(ring), F.col(lon), F.col(lat))).drop("level", "cell", "_part")
+    box = dealt.withColumnsRenamed({"west": "_w", "south": "_s", "east": "_e", "north": "_n"})
+    met = visits.join(box, ["level", "cell", "_part"])
+    near = F.col(lon).between(F.col("_w"), F.col("_e")) & F.col(lat).between(F.col("_s"), F.col("_n"))  # a cell holds several times what its boxes do
+    return met.filter(near & in_ring(F.col(ring), F.col(lon), F.col(lat))).drop("level", "cell", "_part", "_w", "_s", "_e", "_n")
+
+
+def footprint_totals(places: DataFrame, footprints: DataFrame, key: str, lon: str = "lon", lat: str = "lat", ring: str = "footprint", levels: int = LEVELS, part_rows: int = 100_000) -> DataFrame:
+    """places that some footprint holds, with the number (n), the least key (first_key) and the sum of keys (key_sum) of these footprints.
+
+    Equal rings meet as one footprint and equal coordinates as one place, so pairs grow with the shapes and spots that
+    differ, not with the rows that repeat them.
+    """
+    shapes = footprints.groupBy(ring).agg(F.count(F.lit(1)).alias("_count"), F.min(key).alias("_first"), F.sum(key).alias("_sum"))
+    met = places_in_footprints(places.select(lon, lat).distinct(), shapes, lon, lat, ring, levels, part_rows)
+    totals = met.groupBy(lon, lat).agg(F.sum("_count").alias("n"), F.min("_first").alias("first_key"), F.sum("_sum").alias("key_sum"))
+    return places.join(totals, [lon, lat])
 
 
 def raster_in_boxes(tiles: DataFrame, spec: GridSpec, boxes: DataFrame, keys: list[str], size: int = 256) -> DataFrame:

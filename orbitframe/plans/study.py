@@ -83,8 +83,8 @@ def places_in_footprints(spark, sf_dir):
     k = F.element_at(F.array(F.lit(0.5), F.lit(3.0), F.lit(30.0)), (F.col("o_orderkey") % 3 + 1).cast("int"))
     x, y = (F.col("o_custkey") * 7 % 360 - 180).cast("double"), (F.col("o_orderkey") * 11 % 140 - 70).cast("double")
     ring = F.array(*(F.struct((x + k * dx).alias("x"), (y + k * dy).alias("y")) for dx, dy in ((-1.0, -2 / 3), (1.0, -1 / 3), (1.0, 2 / 3), (-1.0, 1 / 3))))
-    met = spatial.places_in_footprints(places, t(spark, sf_dir, "orders").select("o_orderkey", ring.alias("footprint")), part_rows=1000)
-    return met.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.sum("o_orderkey").alias("key_sum"))
+    totals = spatial.footprint_totals(places, t(spark, sf_dir, "orders").select("o_orderkey", ring.alias("footprint")), "o_orderkey", part_rows=1000)
+    return totals.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.min("first_key").alias("first_key"), F.sum("key_sum").alias("key_sum"))
 
 
 @query(f"""WITH {GRID}, b AS (SELECT n_nationkey, 9 + n_nationkey * 0.4::DOUBLE AS w, 12.31 + n_nationkey * 0.4::DOUBLE AS e, 46.1 - n_nationkey * 0.5::DOUBLE AS s, 50.21 - n_nationkey * 0.5::DOUBLE AS n FROM nation)

@@ -154,6 +154,18 @@ def test_places_in_footprints_against_all_pairs(spark, part_rows):
     assert sorted((r["place"], r["item"]) for r in met.collect()) == want and len(want) > 200
 
 
+def test_repeated_shapes_and_places_meet_once(spark, monkeypatch):
+    """Totals count every row, but copies of a place or of a ring don't multiply the pairs that are tested."""
+    ring = lambda k: [{"x": float(x), "y": float(y)} for x, y in ((-k, -k), (k, -k), (k, k), (-k, k))]
+    places = spark.createDataFrame([(i, i % 3 * 4.0, 0.5) for i in range(60)] + [(60, None, 0.5)], "place int, lon double, lat double")
+    prints = spark.createDataFrame([(i, ring((3, 6)[i % 2])) for i in range(400)] + [(400, None)], "item long, footprint array<struct<x: double, y: double>>")
+    pairs, plain = [], spatial.places_in_footprints
+    monkeypatch.setattr(spatial, "places_in_footprints", lambda *a, **k: pairs.append(plain(*a, **k)) or pairs[-1])
+    got = {r["place"]: (r["n"], r["first_key"], r["key_sum"]) for r in spatial.footprint_totals(places, prints, "item").collect()}
+    odd, both = (200, 1, sum(range(1, 400, 2))), (400, 0, sum(range(400)))
+    assert got == {i: (both, odd, None)[i % 3] for i in range(60) if i % 3 < 2} and pairs[0].count() == 3
+
+
 def test_cells_follow_the_z_order_curve(spark):
     x, y = 0b1011, 0b0110
     want = sum(((x >> k & 1) << 2 * k) | ((y >> k & 1) << 2 * k + 1) for k in range(16))
