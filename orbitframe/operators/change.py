@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.config import ChangeConfig
+from orbitframe.config import METRES_PER_DEGREE, ChangeConfig
 from orbitframe.functions.scalars import cluster_score, decibel, metres_between
 from orbitframe.operators.components import label_cells
 
@@ -89,20 +93,55 @@ def ranked(clusters: DataFrame, within: Column, keys: list[str] | None = None) -
     return clusters.withColumn("rank", F.when(within, F.row_number().over(w)))
 
 
+_SPLIT = 4  # cells to a radius
+
+
+def _narrowed(band: Column, cell: float, most: bool) -> Column:
+    """The largest or smallest cosine in a band of latitude, or a little beyond it."""
+    half = math.radians(cell) / 2
+    middle = F.abs(F.cos(F.radians((band + 0.5) * cell)))
+    return F.least(middle + half, F.lit(1.0)) if most else F.greatest(middle - half, F.lit(1e-12))
+
+
+def _cell(lat: Column, lon: Column, cell: float) -> list[Column]:
+    """Cells ``cell`` degrees high and as wide in metres: wider in degrees towards the poles."""
+    la = F.floor(lat / cell)
+    return [la.alias("la"), F.floor(lon * _narrowed(la, cell, True) / cell).alias("lo")]
+
+
+def _cells_near(cells: DataFrame, radius_m: float, cell: float) -> DataFrame:
+    """cells(la, lo) with each cell (near_la, near_lo) that their radius may touch, and ``whole``: it lies within the radius of any point of theirs."""
+    reach = radius_m / METRES_PER_DEGREE
+    la, near = F.col("la"), F.col("near_la")
+    width, near_width = cell / _narrowed(la, cell, True), cell / _narrowed(near, cell, True)
+    west, side = F.col("lo") * width, F.least(reach / _narrowed(la, cell, False), F.lit(360.0)) * (1 + 1e-9)
+    out = cells.withColumn("near_la", F.explode(F.sequence(la - _SPLIT - 1, la + _SPLIT + 1)))
+    out = out.withColumn("near_lo", F.explode(F.sequence(F.floor((west - side) / near_width), F.floor((west + width + side) / near_width))))
+    near_west = F.col("near_lo") * near_width
+    north = (F.abs(near - la) + 1) * cell
+    east = F.greatest(near_west + near_width - west, west + width - near_west) * _narrowed(la, cell, True)
+    return out.withColumn("whole", F.hypot(north, east) <= reach * (1 - 1e-9))
+
+
 def truth_check(candidates: DataFrame, sites: DataFrame, radius_m: float = 300.0) -> DataFrame:
     """Each site with the best-ranked candidate (not the nearest) within the radius, if any.
 
-    Both sides meet on cells of a latitude and longitude grid: a candidate is filed under its own cell, a site
-    under every cell its radius touches, so this is an equi-join at any size.
+    Both sides are filed under cells, several to a radius. The best rank in the cells that lie wholly within the radius
+    bounds a site's answer; only candidates of that rank or better in the cells it may touch are tested one by one, so
+    crowded places cost no pairs. Where no cell lies wholly within the radius or all of those are empty, all in touch are tested.
     """
-    cell = radius_m / 111320.0
-    la, lo = F.floor(F.col("lat") / cell), F.floor(F.col("lon") / cell)
-    filed = candidates.select("lat", "lon", "rank", la.alias("la"), lo.alias("lo"))
-    reach = F.ceil(1 / F.greatest(F.cos(F.radians(F.abs("site_lat") + cell)), F.lit(0.01)))
-    spots = sites.select("site", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
-    spots = spots.withColumn("la", F.explode(F.sequence(F.floor(F.col("site_lat") / cell) - 1, F.floor(F.col("site_lat") / cell) + 1)))
-    spots = spots.withColumn("lo", F.explode(F.sequence(F.floor(F.col("site_lon") / cell) - reach, F.floor(F.col("site_lon") / cell) + reach)))
+    cell = radius_m / METRES_PER_DEGREE / _SPLIT
+    known = lambda *c: functools.reduce(operator.and_, (F.col(x).isNotNull() & ~F.isnan(x) for x in c))
+    spots = sites.select("site", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")).filter(known("site_lat", "site_lon"))
+    spots = spots.select("*", *_cell(F.col("site_lat"), F.col("site_lon"), cell))
+    filed = candidates.filter(known("lat", "lon") & F.col("rank").isNotNull()).groupBy("lat", "lon").agg(F.min("rank").alias("rank"))
+    filed = filed.select("lat", "lon", "rank", *(c.alias(n) for c, n in zip(_cell(F.col("lat"), F.col("lon"), cell), ("near_la", "near_lo"), strict=True)))
+    near = _cells_near(spots.select("la", "lo").distinct(), radius_m, cell)
+    met = near.join(filed.groupBy("near_la", "near_lo").agg(F.min("rank").alias("_best")), ["near_la", "near_lo"])
+    bound = met.groupBy("la", "lo").agg(F.min(F.when(F.col("whole"), F.col("_best"))).alias("_bound"))
+    within = met.join(bound, ["la", "lo"]).filter("_bound IS NULL OR _best <= _bound").select("la", "lo", "near_la", "near_lo", "_bound")
+    tested = filed.join(within, ["near_la", "near_lo"]).filter("_bound IS NULL OR rank <= _bound").select("la", "lo", "lat", "lon", "rank")
     d = metres_between(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon"))
-    hits = filed.join(spots, ["la", "lo"]).withColumn("dist_m", d).filter(F.col("dist_m") <= radius_m)
+    hits = spots.join(tested, ["la", "lo"]).withColumn("dist_m", d).filter(F.col("dist_m") <= radius_m)
     best = hits.groupBy("site").agg(F.min(F.struct("rank", "dist_m")).alias("m")).select("site", "m.rank", "m.dist_m")
     return sites.select("site").join(best, "site", "left")

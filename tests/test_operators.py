@@ -108,6 +108,39 @@ def test_lowest_rank_wins_not_the_nearest(spark):
     assert got == {"a": 1, "b": None}
 
 
+@pytest.mark.parametrize("lat", [0.0, 22.3, -60.0, 89.995])
+def test_truth_check_against_all_pairs(spark, lat):
+    rng = random.Random(int(lat))
+    wide = 0.008 / max(math.cos(math.radians(lat)), 1e-3)
+    at = lambda: (lat + rng.uniform(-0.008, 0.004), 10 + rng.uniform(-wide, wide))
+    cand = [(*at(), i) for i in range(300)] + [(None, 10.0, 300), (float("nan"), 10.0, -1), (lat, 10.0, None)]
+    cand += [(*cand[7][:2], 301)]
+    sites = [(i, *at()) for i in range(200)] + [(200, None, 10.0), (201, lat - 3.0, 10.0)]
+    a, b = spark.createDataFrame(cand, "lat double, lon double, rank int"), spark.createDataFrame(sites, "site int, lat double, lon double")
+    metres = lambda y, x, sy, sx: math.hypot((y - sy) * 111320, (x - sx) * 111320 * math.cos(math.radians(sy)))
+    for radius in (300.0, 40.0):
+        want = {s: min(((r, metres(y, x, sy, sx)) for y, x, r in cand if None not in (y, r, sy) and metres(y, x, sy, sx) <= radius), default=(None, None)) for s, sy, sx in sites}
+        got = {r["site"]: (r["rank"], r["dist_m"]) for r in change.truth_check(a, b, radius).collect()}
+        assert {s: r for s, (r, _) in got.items()} == {s: r for s, (r, _) in want.items()} and sum(r is not None for r, _ in want.values()) > 15
+        assert all(d is None or d == pytest.approx(want[s][1]) for s, (_, d) in got.items())
+
+
+def test_truth_check_of_a_crowd_tests_few_pairs(spark):
+    """Ten thousand candidates around one place: the rows that its joins put out grow with the rows, not with the pairs."""
+    n = 10_000
+    df = spark.range(n).select(F.col("id").alias("site"), (22.3 + F.col("id") % 101 / 40000).alias("lat"), (114.2 + F.col("id") % 97 / 40000).alias("lon"), F.col("id").alias("rank"))
+    out = change.truth_check(df.drop("site"), df.drop("rank"))
+    assert out.filter("rank IS NULL").count() == 0
+    out.collect()
+    queue, most = [out._jdf.queryExecution().executedPlan()], 0
+    while queue:
+        p = queue.pop()
+        queue += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+        m = p.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+    assert n <= most < 60 * n
+
+
 def test_fisher_exact_by_enumeration(spark):
     for a, b, c, d in ((3, 1, 1, 3), (0, 5, 5, 0), (2, 2, 2, 2), (0, 0, 3, 4)):
         ways = {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
