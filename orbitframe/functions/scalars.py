@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,12 +152,24 @@ def utm_from_lonlat(lon: Column, lat: Column, zone: int | Column) -> tuple[Colum
     return _metres(*_sphere(*_conformal(lon, lat, zone)))
 
 
-def utm_outline(points: Column, zone: int | Column) -> Column:
-    """array<struct<lon, lat>> -> array<struct<x, y>>. A step's figures are array elements, so later steps don't derive them again."""
-    pair = lambda a, b, of: F.struct(of[0].alias(a), of[1].alias(b))
-    first = F.transform(points, lambda p: pair("t", "dl", _conformal(p["lon"], p["lat"], zone)))
-    second = F.transform(first, lambda p: pair("xi", "eta", _sphere(p["t"], p["dl"])))
-    return F.transform(second, lambda p: pair("x", "y", _metres(p["xi"], p["eta"])))
+def utm_bounds(west: np.ndarray, south: np.ndarray, east: np.ndarray, north: np.ndarray, zone: np.ndarray, edge_points: int) -> np.ndarray:
+    """Least x and y and largest x and y on the map of each box's outline, corners and ``edge_points`` places an edge: four rows. NaN where a figure is missing."""
+    share = np.linspace(0.0, 1.0, edge_points + 2)[:, None]
+    across, up = west + (east - west) * share, south + (north - south) * share
+    flat = np.zeros_like(share)
+    lon = np.concatenate([west + flat, east + flat, across, across])
+    lat = np.concatenate([up, up, south + flat, north + flat])
+    with np.errstate(all="ignore"):
+        e = 2 * math.sqrt(_N) / (1 + _N)
+        s, dl = np.sin(np.radians(lat)), np.radians(lon - (6 * zone - 183))
+        t = np.sinh(np.arctanh(s) - e * np.arctanh(e * s))
+        xi, eta = np.arctan2(t, np.cos(dl)), np.arctanh(np.sin(dl) / np.sqrt(1 + t * t))
+        x, y = eta.copy(), xi.copy()
+        for j, a in enumerate(_ALPHA, 1):
+            x += a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+            y += a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    x, y = 500000 + _K0 * _R * x, _K0 * _R * y
+    return np.stack([x.min(axis=0), y.min(axis=0), x.max(axis=0), y.max(axis=0)])
 
 
 def lonlat_from_utm(easting: Column, northing: Column, zone: int | Column) -> tuple[Column, Column]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.functions.scalars import lonlat_from_utm, utm_outline
+from orbitframe.functions.scalars import lonlat_from_utm, utm_bounds
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -41,19 +43,19 @@ def common_grids(boxes: DataFrame, zone: int | Column, step: float, edge_points:
     """boxes(west, south, east, north in degrees, ...) with the map grid that holds each one: zone, x0, y0, height, width.
 
     Edges are curved on the map, so each carries ``edge_points`` places besides its corners. The outline is snapped outwards
-    to multiples of the step. A box with a missing side has no grid: NULLs.
+    to multiples of the step. A box with a missing side or NaN has no grid: NULLs. Outlines are worked out in numpy, a slice of boxes at a time.
     """
-    share = [i / (edge_points + 1) for i in range(edge_points + 2)]
-    west, south, east, north = (F.col(c).cast("double") for c in ("west", "south", "east", "north"))
-    upright = [F.struct(x.alias("lon"), (south + (north - south) * s).alias("lat")) for s in share for x in (west, east)]
-    level = [F.struct((west + (east - west) * s).alias("lon"), y.alias("lat")) for s in share for y in (south, north)]
-    outline = F.array(*upright, *level)
+
+    @F.pandas_udf("left double, bottom double, right double, top double")
+    def bounds(west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series, zone: pd.Series) -> pd.DataFrame:
+        sides, most = np.stack([c.to_numpy(float) for c in (west, south, east, north, zone)]), max(1, (1 << 18) // (4 * edge_points + 8))
+        parts = [utm_bounds(*sides[:, k : k + most], edge_points) for k in range(0, sides.shape[1], most)]
+        return pd.DataFrame(np.concatenate(parts, axis=1).T if parts else np.empty((0, 4)), columns=["left", "bottom", "right", "top"])
+
     out = boxes.withColumn("zone", zone if isinstance(zone, Column) else F.lit(zone))
-    out = out.withColumn("_ring", utm_outline(outline, F.col("zone")))
-    side = lambda of, c: of(F.transform("_ring", lambda p: p[c]))
-    out = out.withColumns({"x0": F.floor(side(F.array_min, "x") / step) * step, "y0": F.ceil(side(F.array_max, "y") / step) * step})
-    out = out.withColumns({"height": F.ceil((F.col("y0") - side(F.array_min, "y")) / step).cast("int"), "width": F.ceil((side(F.array_max, "x") - F.col("x0")) / step).cast("int")})
-    return out.drop("_ring").withColumns({c: F.when(west.isNotNull() & south.isNotNull() & east.isNotNull() & north.isNotNull(), F.col(c)) for c in ("x0", "y0", "height", "width")})
+    out = out.withColumn("_b", bounds(*(F.col(c).cast("double") for c in ("west", "south", "east", "north", "zone"))))
+    out = out.withColumns({"x0": F.floor(F.col("_b.left") / step) * step, "y0": F.ceil(F.col("_b.top") / step) * step})
+    return out.withColumns({"height": F.ceil((F.col("y0") - F.col("_b.bottom")) / step).cast("int"), "width": F.ceil((F.col("_b.right") - F.col("x0")) / step).cast("int")}).drop("_b")
 
 
 def pixel_lonlat(grids: DataFrame, row: Column, col: Column, step: float) -> DataFrame:

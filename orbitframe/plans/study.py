@@ -296,7 +296,8 @@ SELECT c_custkey, zone, x0, y0, ceil((y0 - low) / 10)::INT AS height, ceil((far
 def grids_of_boxes(spark, sf_dir):
     """A map grid of ten metres around a box of degrees for each customer; the middle pixel, taken back to degrees, lies in the box."""
     k = F.col("c_custkey")
-    c = t(spark, sf_dir, "customer").select(k, (k % 60 + 1).cast("int").alias("nth"), (F.col("c_nationkey") * 5.3 - 64).alias("south"))
+    rows = t(spark, sf_dir, "customer").repartition("c_custkey")  # a box costs far more than the few bytes it is stored in
+    c = rows.select(k, (k % 60 + 1).cast("int").alias("nth"), (F.col("c_nationkey") * 5.3 - 64).alias("south"))
     west = 6 * F.col("nth") - 183 - F.lit(1.7) + k % 5 * F.lit(0.31)
     boxes = c.withColumn("west", west).withColumns({"east": F.col("west") + 0.43, "north": F.col("south") + 0.27})
     out = grid.pixel_lonlat(grid.common_grids(boxes, F.col("nth"), 10.0), F.floor(F.col("height") / 2), F.floor(F.col("width") / 2), 10.0)

@@ -1,6 +1,7 @@
 """Keyed networks, contraction to stars, grids around boxes, coherence loss: against plain Python."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -85,6 +86,24 @@ def test_grid_around_a_box(spark):
     assert abs(back["lon"] - 114.15) < 2e-3 and abs(back["lat"] - 22.375) < 2e-3
 
 
+def test_outlines_of_boxes_follow_the_series(spark):
+    """Bounds found in numpy equal those of the Column series; they are derived once a box, and a NaN side leaves no grid."""
+    rng = random.Random(4)
+    rows = [(i, rng.uniform(-2, 1), rng.uniform(-80, 80), rng.uniform(0.01, 1.5), rng.choice((1, 30, 60))) for i in range(300)]
+    rows = [(i, 6 * z - 183 + w, s, 6 * z - 183 + w + d, s + d, z) for i, w, s, d, z in rows] + [(300, float("nan"), 1.0, 2.0, 2.0, 30), (301, 1.0, 1.0, 2.0, float("nan"), 30), (302, 1.0, 1.0, 2.0, 2.0, None)]
+    boxes = spark.createDataFrame(rows, "id int, west double, south double, east double, north double, nth int")
+    out = grid.common_grids(boxes, F.col("nth"), 10.0, 3)
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: (r["x0"], r["y0"], r["height"], r["width"]) for r in out.collect()}
+    assert all(got[i] == (None,) * 4 for i in (300, 301, 302))
+    pts = [(i, x, y, z) for i, w, s, e, n, z in rows[:300] for k in range(5) for x, y in ((w, s + (n - s) * k / 4), (e, s + (n - s) * k / 4), (w + (e - w) * k / 4, s), (w + (e - w) * k / 4, n))]
+    x, y = scalars.utm_from_lonlat(F.col("lon"), F.col("lat"), F.col("zone"))
+    sides = spark.createDataFrame(pts, "id int, lon double, lat double, zone int").groupBy("id").agg(F.min(x).alias("x0"), F.max(y).alias("y0"), F.min(y).alias("y1"), F.max(x).alias("x1"))
+    for r in sides.collect():
+        x0, y0 = math.floor(r["x0"] / 10) * 10.0, math.ceil(r["y0"] / 10) * 10.0
+        assert got[r["id"]] == (x0, y0, math.ceil((y0 - r["y1"]) / 10), math.ceil((r["x1"] - x0) / 10))
+
+
 def test_coherence_loss(spark):
     d = lambda m: dt.date(2019, m, 1)
     jobs = spark.createDataFrame([(d(1), d(2)), (d(2), d(3)), (d(3), d(4)), (d(4), d(5))], "ref date, sec date")
