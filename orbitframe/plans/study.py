@@ -11,7 +11,7 @@ from orbitframe.operators.quantiles import quantiles
 from orbitframe.plans.archive import PRODUCTS, product_files
 from orbitframe.plans.catalogue import EPOCHS, FISHER, GRID, HARMONIC_X, gram_schmidt, hour_grid, order_epochs, query, t
 from orbitframe.sources import pages, readers
-from orbitframe.storage import scratch
+from orbitframe.storage import scratch, written
 
 
 def order_scenes(spark, sf_dir):
@@ -259,17 +259,22 @@ z AS (SELECT ref, sec, path, CASE WHEN {_zone(TARGET_BOX)} THEN v END AS a, CASE
 SELECT ref, sec, path, ref < DATE '1995-03-15' AND DATE '1995-03-15' < sec AS spans_event, count(a) AS n_target, count(b) AS n_control,
   round(avg(a), 6) AS target_mean, round(avg(b), 6) AS control_mean, round(avg(CASE WHEN a IS NULL THEN NULL WHEN a < 0.3 THEN 1.0 ELSE 0.0 END), 6) AS target_low FROM z GROUP BY 1, 2, 3""")
 def coherence_loss(spark, sf_dir):
-    """Every pair of the network with its product's coherence over a target and a control, from file names to figures."""
+    """Every pair of the network with its product's coherence over a target and a control, from file names to figures.
+
+    The product of each pair is found by name first, so tiles are made of the lines of those products alone.
+    """
     files = product_files(spark, sf_dir).filter(F.endswith("path", F.lit("_corr.tif")))
-    lines = t(spark, sf_dir, "lineitem").filter("l_linenumber <= 8").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    jobs = select.pair_network(order_epochs(spark, sf_dir))
+    chosen = readers.product_for_pair(files.select("path"), jobs.select("ref", "sec").distinct()).select("path")
+    chosen = written(files.select(F.col("o_orderkey").alias("l_orderkey"), F.col("path").alias("raster_id")).join(chosen.withColumnRenamed("path", "raster_id"), "raster_id"), scratch(spark, "chosen"))
+    lines = t(spark, sf_dir, "lineitem").filter("l_linenumber <= 8").join(chosen, "l_orderkey", "left_semi").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     px = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("row"), "l_partkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("col"))
     tile = lambda c: F.floor(F.col(c) / 4).cast("int").alias(f"tile_{c}")
     at, v = (F.col("row") % 4 * 4 + F.col("col") % 4).cast("int"), (F.col("l_partkey") * 7 + F.col("col") * 37) % 100 / F.lit(100.0)
     cells = px.groupBy("l_orderkey", tile("row"), tile("col")).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("i"), v.cast("double").alias("v")))).alias("m"))  # 16 of them at most
     tiles = cells.select("l_orderkey", "tile_row", "tile_col", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.try_element_at("m", i)).alias("data"))
-    tiles = tiles.join(files.select(F.col("o_orderkey").alias("l_orderkey"), F.col("path").alias("raster_id")), "l_orderkey").drop("l_orderkey")
-    jobs = select.pair_network(order_epochs(spark, sf_dir))
-    out = coherence.coherence_loss(jobs, files.select("path"), tiles, grid.GridSpec(10.0, 50.0, 0.5, 8, 8), TARGET_BOX, CONTROL_BOX, F.lit("1995-03-15").cast("date"), size=4)
+    tiles = tiles.join(chosen, "l_orderkey").drop("l_orderkey")
+    out = coherence.coherence_loss(jobs, chosen.select(F.col("raster_id").alias("path")), tiles, grid.GridSpec(10.0, 50.0, 0.5, 8, 8), TARGET_BOX, CONTROL_BOX, F.lit("1995-03-15").cast("date"), size=4)
     return out.select("ref", "sec", "path", "spans_event", "n_target", "n_control", *(F.round(c, 6).alias(c) for c in ("target_mean", "control_mean", "target_low")))
 
 
