@@ -29,7 +29,7 @@ def catalogue_pages(spark, sf_dir):
     """All orders as pages of JSON features; the search opens the pages whose time, box, cloud and tile may fit."""
     pages.register(spark)
     at = scratch(spark, "pages")
-    order_scenes(spark, sf_dir).repartitionByRange(8, "ts").sortWithinPartitions("ts").write.format("catalogue_pages").option("page_size", 250).mode("append").save(at)
+    order_scenes(spark, sf_dir).repartitionByRange("ts").sortWithinPartitions("ts").write.format("catalogue_pages").option("page_size", 250).mode("append").save(at)
     found = readers.scenes(spark.read.format("catalogue_pages").load(at), 60.0, None, None, "1996-01-01", "1999-01-01", (-60, -40, 100, 50))
     return found.filter(F.col("tile").isin("1-URGENT", "5-LOW")).select("scene_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "cloud", "tile")
 

@@ -1,9 +1,9 @@
 """A catalogue kept as pages of JSON features, as a Spark data source that prunes pages by pushed filters.
 
 A page is a feature collection, as catalogue services return them. Writing makes pages of ``page_size`` features a task
-and, when all tasks are done, one index file with each page's extremes; pages of failed or repeated tasks are in no
-index and are never read. Reading plans one partition per page that the pushed filters leave, and applies them to its
-rows too, so a search by time, box, cloud or tile opens the pages that may hold an answer and no others.
+with a list of their extremes and, when all tasks are done, one index file that names these lists; pages of failed or
+repeated tasks are in no index and are never read. Reading deals the pages that the pushed filters leave over partitions and
+applies the filters to their rows too, so a search by time, box, cloud or tile opens the pages that may hold an answer and no others.
 
     register(spark)
     df.write.format("catalogue_pages").option("page_size", 500).mode("append").save(path)
@@ -116,9 +116,19 @@ class Test:
         return pc.fill_null(COMPARED[self.kind](column, pa.scalar(self.values[0], column.type)), False)
 
 
+SPREAD, TASK_ROWS = 200, 50_000  # up to so many partitions hold one page each; above, a partition holds pages of about so many rows at most
+
+
 @dataclass
-class Page(InputPartition):
-    file: str
+class Pages(InputPartition):
+    files: list[str]
+
+
+def packed(entries: list[tuple[str, int]]) -> list[Pages]:
+    """Pages (file, rows) dealt in order to partitions of about equal rows, so that their number follows the rows and not the pages."""
+    parts = min(len(entries), max(SPREAD, -(-sum(n for _, n in entries) // TASK_ROWS)))
+    cuts = [k * len(entries) // parts for k in range(parts + 1)] if parts else [0]
+    return [Pages([f for f, _ in entries[a:b]]) for a, b in zip(cuts, cuts[1:])] or [Pages([])]
 
 
 class PageReader(DataSourceReader):
@@ -133,29 +143,30 @@ class PageReader(DataSourceReader):
             else:
                 self.tests.append(test)
 
-    def index(self) -> list[dict]:
+    def index(self) -> Iterator[dict]:
+        """The entries of all indexes; one index part, which is one task's, is held at a time."""
         files, at = opened(self.path)
         found = files.get_file_info(fs.FileSelector(at, recursive=False, allow_not_found=True))
-        names = sorted(f.path for f in found if f.base_name.startswith("_index-"))
-        return [entry for n in names for entry in json.loads(files.open_input_stream(n).readall())]
+        for n in sorted(f.path for f in found if f.base_name.startswith("_index-")):
+            for entry in json.loads(files.open_input_stream(n).readall()):
+                yield from json.loads(files.open_input_stream(f"{at}/{entry['part']}").readall()) if "part" in entry else (entry,)
 
     def partitions(self) -> Sequence[InputPartition]:
-        left = [e for e in self.index() if all(t.page_may_hold(e["known"][t.column]) for t in self.tests)]
-        return [Page(e["file"]) for e in left] or [Page("")]
+        return packed([(e["file"], e["rows"]) for e in self.index() if all(t.page_may_hold(e["known"][t.column]) for t in self.tests)])
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         files, at = opened(self.path)
-        table = rows_of(json.loads(files.open_input_stream(f"{at}/{partition.file}").readall()))
-        for t in self.tests:
-            table = table.filter(t.rows(table))
-        yield from table.combine_chunks().to_batches()
+        for name in partition.files:
+            table = rows_of(json.loads(files.open_input_stream(f"{at}/{name}").readall()))
+            for t in self.tests:
+                table = table.filter(t.rows(table))
+            yield from table.combine_chunks().to_batches()
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    pages: list[dict]
+    part: str
+    files: list[str]
 
 
 class PageWriter(DataSourceArrowWriter):
@@ -182,7 +193,12 @@ class PageWriter(DataSourceArrowWriter):
                 held, rows = [table.slice(self.page_size)], rows - self.page_size
         if rows:
             flush(pa.concat_tables(held))
-        return Written(pages)
+        if not pages:
+            return Written("", [])
+        part = f"part-{uuid.uuid4().hex}.json"  # a task lists its own pages, so the driver holds none of the lists
+        with files.open_output_stream(f"{at}/{part}") as out:
+            out.write(json.dumps(pages).encode())
+        return Written(part, [p["file"] for p in pages])
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """One new index makes all pages visible at once; overwriting drops the indexes that were there."""
@@ -190,14 +206,14 @@ class PageWriter(DataSourceArrowWriter):
         files.create_dir(at, recursive=True)
         old = [f.path for f in files.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("_index-")] if self.overwrite else []
         with files.open_output_stream(f"{at}/_index-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps([p for m in messages if m for p in m.pages]).encode())
+            out.write(json.dumps([{"part": m.part} for m in messages if m and m.part]).encode())
         for name in old:
             files.delete_file(name)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         files, at = opened(self.path)
-        for p in (p for m in messages if m for p in m.pages):
-            files.delete_file(f"{at}/{p['file']}")
+        for name in (n for m in messages if m and m.part for n in (m.part, *m.files)):
+            files.delete_file(f"{at}/{name}")
 
 
 class CataloguePages(DataSource):

@@ -166,6 +166,16 @@ def test_repeated_shapes_and_places_meet_once(spark, monkeypatch):
     assert got == {i: (both, odd, None)[i % 3] for i in range(60) if i % 3 < 2} and pairs[0].count() == 3
 
 
+def test_many_pages_share_partitions(spark, tmp_path):
+    """Partitions follow the rows; a thousand small pages are no thousand tasks, and none is lost or read twice."""
+    pages.register(spark)
+    at = str(tmp_path / "many")
+    df = spark.range(3001).select(F.col("id").cast("string").alias("scene_id"), F.timestamp_seconds("id").alias("ts"), F.lit(1.0).alias("cloud"), F.lit("T").alias("tile"), *(F.col("id").cast("double").alias(c) for c in ("west", "south", "east", "north")))
+    df.repartition(3, "scene_id").write.format("catalogue_pages").option("page_size", 3).mode("append").save(at)
+    got = spark.read.format("catalogue_pages").load(at)
+    assert got.rdd.getNumPartitions() == pages.SPREAD and got.exceptAll(df).count() == 0 and got.count() == 3001
+
+
 def test_cells_follow_the_z_order_curve(spark):
     x, y = 0b1011, 0b0110
     want = sum(((x >> k & 1) << 2 * k) | ((y >> k & 1) << 2 * k + 1) for k in range(16))
