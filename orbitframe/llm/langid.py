@@ -13,6 +13,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,9 +167,18 @@ def fitted(docs: DataFrame, held_out, config: Config = Config()) -> Model | None
     ids = few.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= config.per_language).select(F.col("lang").alias("l"), "id")
     # ids has per_language rows a label at most; rows that repeat an id count once, with their smallest text
     joined = pool.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
-    rows = joined.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], config)
+    rows = joined.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(learned(config), "model binary").collect()  # the driver gets the model, never texts
+    return pickle.loads(got[0]["model"]) if got else None
+
+
+def learned(config: Config):
+    def run(sample: pa.Table) -> pa.Table:
+        rows = sorted(sample.to_pylist(), key=lambda r: (r["doc_id"], r["lang"]))
+        model = train([r["text"] for r in rows], [r["lang"] for r in rows], config)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return run
 
 
 def predictor(model: Model | None):
